@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembering, arrow_rows
+from .common import Remembering, arrow_rows, schema_with
 
 #: Pre-tokens that a task remembers at most (a matter of speed, not of results).
 REMEMBERED = 200_000
@@ -150,8 +150,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
 
         return step
 
-    schema = kept.schema.add(ids, "binary").add(n_tokens, "long")
-    return arrow_rows(kept, schema, per_partition)
+    return arrow_rows(kept, schema_with(kept, f"{ids} binary", f"{n_tokens} long"), per_partition)
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded", keep: list[str] | None = None) -> DataFrame:
@@ -169,7 +168,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "dec
 
         return step
 
-    return arrow_rows(kept, kept.schema.add(decoded, "binary"), per_partition)
+    return arrow_rows(kept, schema_with(kept, f"{decoded} binary"), per_partition)
 
 
 def op4_byte_bpe(spark, sf_dir):

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A-Z to a-z in UTF-8 bytes; other bytes stay.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -43,7 +44,15 @@ def fold(id_column: str, folds: int) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def arrow_rows(df: DataFrame, schema: str, per_partition: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
+def schema_with(df: DataFrame, *more: str) -> StructType:
+    """df's schema and further columns, each given as `name type`."""
+    schema = StructType(list(df.schema.fields))
+    for column in more:
+        schema = schema.add(*column.rsplit(" ", 1))
+    return schema
+
+
+def arrow_rows(df: DataFrame, schema: StructType, per_partition: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
     """mapInArrow with state built once a task: per_partition() returns the function of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import Remembering, arrow_rows
+from .common import Remembering, arrow_rows, schema_with
 
 SPACE = "▁"
 #: Units and token pairs that a task remembers at most (a matter of speed, not of results).
@@ -121,10 +121,7 @@ def prefix_counts(df: DataFrame, model_path: str, text: str = "text", budgets: t
 
         return step
 
-    schema = kept.schema
-    for n in names:
-        schema = schema.add(n, "binary" if n == steps else "long")
-    return arrow_rows(kept, schema, per_partition)
+    return arrow_rows(kept, schema_with(kept, *(f"{n} {'binary' if n == steps else 'long'}" for n in names)), per_partition)
 
 
 def fit(steps: np.ndarray, budget: int) -> int:
