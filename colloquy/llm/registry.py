@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .bpe import op4_byte_bpe
+from .license_scan import op5_license_scan
 from .token_counts import op1_token_counts
+from .url_filter import OP3_SQL, op3_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_byte_bpe)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_url_filter, op4_byte_bpe, op5_license_scan)}
+ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL}
