@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -48,7 +50,8 @@ def schema_with(df: DataFrame, *more: str) -> StructType:
     """df's schema and further columns, each given as `name type`."""
     schema = StructType(list(df.schema.fields))
     for column in more:
-        schema = schema.add(*column.rsplit(" ", 1))
+        name, kind = column.rsplit(" ", 1)
+        schema = schema.add(name, StructType.fromDDL(f"x {kind}").fields[0].dataType)
     return schema
 
 
@@ -78,6 +81,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def once(key, make: Callable):
+    """make(), called once in this Python process for the key: what a worker's later tasks can use again."""
+    held = sys.modules.setdefault("_colloquy_held", types.ModuleType("_colloquy_held")).__dict__
+    if key not in held:
+        if len(held) > 20:  # of ended queries
+            for k in [k for k in held if isinstance(k, tuple)]:
+                del held[k]
+        held[key] = make()
+    return held[key]
+
+
 class Remembering(dict):
     """A dictionary that works out missing entries and keeps between n and 2n of those met lately."""
 
