@@ -7,13 +7,15 @@ every prefix gives the count at every prefix; counts are kept as differences fro
 prefix to the next, one signed byte a code point, and answer truncation and budget
 questions without encoding anything again.
 
-Vocabulary pieces never hold a space after another character, nor a line feed; texts are
-cut there into units, and a task remembers the differences of the units it met lately.
+Texts are cut into units where no vocabulary piece can reach across: before a space after
+another character, around line feeds, and before punctuation that no piece has after a
+letter or digit. A task remembers the differences of the units it met lately.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import Remembering, arrow_rows, schema_with
+from .common import Remembering, arrow_rows, once, schema_with
 
 SPACE = "▁"
 #: Units and token pairs that a task remembers at most (a matter of speed, not of results).
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 
 def load_pieces(path: str) -> dict[str, int]:
@@ -56,25 +58,33 @@ class PrefixCounter(Remembering):
         super().__init__(REMEMBERED)
         if any("\n" in p or re.search(r"[^ ] ", p) for p in ranks):
             raise ValueError("units can't be cut at spaces and line feeds under this vocabulary")
-        self.ranks, self.longest = ranks, max(map(len, ranks))
+        self.ranks = ranks
         self.tokens = {p for p in ranks if len(p) > 1 and encode_short(p, ranks) == [p]}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.units = re.compile(" *[^ \n]+|\n| +").findall
-
-    def fits(self, a: str, b: str) -> bool:
-        if (known := self.pairs.get((a, b))) is None:
-            known = self.pairs[a, b] = encode_short(a + b, self.ranks) == [a, b]
+        never = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") - {b for p in ranks for a, b in zip(p, p[1:], strict=False) if a.isalnum()}
+        cut = f" *[^ \n]*?[^\\W_](?=[{re.escape(''.join(sorted(never)))}])|" if never else ""
+        self.units = re.compile(cut + " *[^ \n]+|\n| +").findall
+        #: By the last two characters of a token, the lengths of such tokens, longest first.
+        lengths: dict[str, set[int]] = {}
+        for p in self.tokens:
+            lengths.setdefault(p[-2:], set()).add(len(p))
+        self.lengths = {k: sorted(v, reverse=True) for k, v in lengths.items()}
+
+    def fits(self, pair: tuple[str, str]) -> bool:
+        known = self.pairs[pair] = encode_short("".join(pair), self.ranks) == [*pair]
         return known
 
     def work_out(self, unit: str) -> bytes:
         counts, last = [0], [""]
-        ranks, tokens, longest, fits = self.ranks, self.tokens, self.longest, self.fits
+        ranks, tokens, lengths, pairs = self.ranks, self.tokens, self.lengths, self.pairs
         for end in range(1, len(unit) + 1):
-            for start in range(max(0, end - longest), end - 1):
-                token = unit[start:end]
-                if token in tokens and (not start or fits(last[start], token)):
-                    counts.append(counts[start] + 1)
-                    break
+            for n in lengths.get(unit[max(0, end - 2) : end], ()):
+                if n > end or (token := unit[end - n : end]) not in tokens:
+                    continue
+                if n < end and not (known if (known := pairs.get(pair := (last[end - n], token))) is not None else self.fits(pair)):
+                    continue
+                counts.append(counts[end - n] + 1)
+                break
             else:
                 token = unit[end - 1]  # a character of its own; without a piece it falls back to its bytes
                 counts.append(counts[end - 1] + (1 if token in ranks else len(token.encode())))
@@ -86,7 +96,7 @@ class PrefixCounter(Remembering):
         if not text:
             return np.zeros(0, np.int8)
         self.age()
-        if len(self.pairs) > 2 * REMEMBERED:
+        if len(self.pairs) > REMEMBERED:
             self.pairs.clear()
         steps = np.frombuffer(b"".join(map(self.__getitem__, self.units(" " + text.replace(SPACE, " ")))), np.int8).copy()
         steps[1] += steps[0]
@@ -101,10 +111,10 @@ def prefix_counts(df: DataFrame, model_path: str, text: str = "text", budgets: t
     """
     names = [n_tokens, *(f"fit_{b}" for b in budgets), *([steps] if steps else [])]
     kept = df.drop(*names)
-    at, shared = kept.columns.index(text), df.sparkSession.sparkContext.broadcast(load_pieces(model_path))
+    at, key, shared = kept.columns.index(text), uuid.uuid4().hex, df.sparkSession.sparkContext.broadcast(load_pieces(model_path))
 
     def per_partition():
-        counter = PrefixCounter(shared.value)
+        counter = once(("prefix counter", key), lambda: PrefixCounter(shared.value))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = []
