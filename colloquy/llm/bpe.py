@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +18,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembering, arrow_rows, schema_with
+from .common import Remembering, arrow_rows, once, schema_with
 
 #: Pre-tokens that a task remembers at most (a matter of speed, not of results).
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -137,11 +138,11 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     Rows are independent: ties, repeated rows and clashing extra columns change nothing.
     """
     shared = df.sparkSession.sparkContext.broadcast(PerfectHash(load_ranks(ranks_path)).state())
-    kept = df.drop(ids, n_tokens)
+    kept, key = df.drop(ids, n_tokens), uuid.uuid4().hex
     at = kept.columns.index(text)
 
     def per_partition():
-        encoder = Encoder(PerfectHash.of(shared.value), pattern)
+        encoder = once(("byte BPE", key), lambda: Encoder(PerfectHash.of(shared.value), pattern))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             packed = [encoder(x) if x else b"" for x in batch.column(at).to_pylist()]
