@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 #: A-Z to a-z in UTF-8 bytes; other bytes stay.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -48,7 +48,7 @@ def fold(id_column: str, folds: int) -> F.Column:
 
 def schema_with(df: DataFrame, *more: str) -> StructType:
     """df's schema and further columns, each given as `name type`."""
-    schema = StructType(list(df.schema.fields))
+    schema = StructType([StructField(f.name, f.dataType) for f in df.schema.fields])
     for column in more:
         name, kind = column.rsplit(" ", 1)
         schema = schema.add(name, StructType.fromDDL(f"x {kind}").fields[0].dataType)
