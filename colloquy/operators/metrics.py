@@ -83,7 +83,7 @@ def span_prf(gold: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
     """One row: tp, fp, fn, precision, recall, f1 of exactly equal spans, each a row of `keys`."""
     both = gold.select(*keys, F.lit(1).alias("g"), F.lit(0).alias("p")).distinct().union(pred.select(*keys, F.lit(0).alias("g"), F.lit(1).alias("p")).distinct())
     each = both.groupBy(*keys).agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
-    c = each.agg(F.count_if("g = 1 and p = 1").alias("tp"), F.count_if("g = 0").alias("fp"), F.count_if("p = 0").alias("fn"))
+    c = each.agg(F.count_if(F.expr("g = 1 and p = 1")).alias("tp"), F.count_if(F.col("g") == 0).alias("fp"), F.count_if(F.col("p") == 0).alias("fn"))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return c.select("tp", "fp", "fn", divided(tp, tp + fp).alias("precision"), divided(tp, tp + fn).alias("recall"), divided(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
