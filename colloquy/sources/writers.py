@@ -66,7 +66,7 @@ class RankingStore:
         todo = self.pending(queries)
         hits = retrieve(todo).select("query_id", "rank", "docid", "score")
         rows = todo.select("query_id").distinct().join(hits, "query_id", "left")
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in schemas.HITS.fields]).write.mode("append").parquet(self.path)
+        rows.select("query_id", F.col("rank").cast("int"), F.col("docid").cast("string"), F.col("score").cast("double")).write.mode("append").parquet(self.path)
 
     def hits(self) -> DataFrame:
         return self.read().where("docid is not null")
