@@ -142,7 +142,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     at = kept.columns.index(text)
 
     def per_partition():
-        encoder = once(("byte BPE", key), lambda: Encoder(PerfectHash.of(shared.value), pattern))
+        encoder = once("byte BPE", key, lambda: Encoder(PerfectHash.of(shared.value), pattern))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             packed = [encoder(x) if x else b"" for x in batch.column(at).to_pylist()]

@@ -3,44 +3,21 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ..session import read, table  # noqa: F401
+
 #: A-Z to a-z in UTF-8 bytes; other bytes stay.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the master is local and none is set."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="colloquy-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends there, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(id_column: str, folds: int) -> F.Column:
     """crc32 of the id as text, modulo folds; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
@@ -81,15 +58,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def once(key, make: Callable):
-    """make(), called once in this Python process for the key: what a worker's later tasks can use again."""
+def once(kind: str, key, make: Callable):
+    """make(), called once in this Python process for the key; a worker's later tasks use it again. One of each kind is held."""
     held = sys.modules.setdefault("_colloquy_held", types.ModuleType("_colloquy_held")).__dict__
-    if key not in held:
-        if len(held) > 20:  # of ended queries
-            for k in [k for k in held if isinstance(k, tuple)]:
-                del held[k]
-        held[key] = make()
-    return held[key]
+    if kind not in held or held[kind][0] != key:
+        held[kind] = key, make()
+    return held[kind][1]
 
 
 class Remembering(dict):

@@ -9,15 +9,14 @@ them are skipped; agreements in them are counted on the candidates' signatures.
 the match threshold are confirmed on the documents' full shingle sets.
 
 Documents of equal sets are one class from the start. Within a list the classes are first
-held against one leader each, in rounds with different leaders, and only classes that are
-still in different components are then paired with each other; so a large group of copies
-costs its size and not its square, and no link between components is lost.
+held against one leader each, the least edited copy, in rounds with different leaders. Only
+lists with several components are looked at again: between() pairs their classes across
+components by the places of their shared shingles. So a large group of copies costs its
+size and not its square, and no link between components is lost.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,7 +29,7 @@ K, T = 48, 22
 #: Id tables of up to so many rows (8 bytes each) are broadcast to pick texts; larger ones are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Rounds of leaders at most before the remaining classes are paired.
-ROUNDS = 3
+ROUNDS = 2
 
 
 class WordHashes(Remembering):
@@ -51,28 +50,28 @@ def shingles(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
     n = max(1, len(h) - width + 1)
     out = np.full(n, len(h) if len(h) < width else width, np.uint64)
     for k in range(min(width, len(h))):
-        out = mix(out + h[k : k + n] * _ODD[k])
-    return np.unique(out)
+        out += h[k : k + n] * _ODD[k]
+    return np.unique(mix(out))
 
 
-_MULTIPLIERS = mix(np.arange(1000, 1000 + K, dtype=np.uint64)) | np.uint64(1)
+_MULTIPLIERS = (mix(np.arange(1000, 1000 + K, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)[:, None] | np.uint32(1)
 
 
 def signature(hashed: np.ndarray) -> np.ndarray:
     """K coordinate-value pairs, each as one 64-bit number."""
-    least = np.empty(K, np.uint64)
-    for k in range(K):
-        x = hashed * _MULTIPLIERS[k]
-        least[k] = (x ^ (x >> np.uint64(32))).min() if len(x) else k
-    return mix(least * np.uint64(K + 1) + np.arange(K, dtype=np.uint64))
+    least = np.full((K, 1), 2**32 - 1, np.uint32)
+    for at in range(0, len(hashed), 4096):  # so many at once stay in a cache
+        x = hashed[at : at + 4096].astype(np.uint32)[None, :] * _MULTIPLIERS
+        least = np.minimum(least, (x ^ (x >> np.uint32(15))).min(axis=1, keepdims=True))
+    return mix(least[:, 0].astype(np.uint64) * np.uint64(K + 1) + np.arange(K, dtype=np.uint64))
 
 
 def signed(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, digest (of the whole set; null without words) and keys (the coordinate-value pairs) of each row."""
-    kept, key = docs.select("doc_id", "text"), uuid.uuid4().hex
+    kept = docs.select("doc_id", "text")
 
     def per_partition():
-        hashes = once(("words", key), lambda: WordHashes(300_000))
+        hashes = once("words", 0, lambda: WordHashes(200_000))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingles(x, width, hashes) for x in batch.column(1).to_pylist()]
@@ -96,10 +95,9 @@ def confirmed(docs: DataFrame, pairs: DataFrame, width: int, least: tuple[int, i
     ids = table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
     texts = picked(docs.select("doc_id", "text"), ids)
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    key = uuid.uuid4().hex
 
     def per_partition():
-        hashes = once(("words", key), lambda: WordHashes(300_000))
+        hashes = once("words", 0, lambda: WordHashes(200_000))
         last: list = [None, None]
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -158,7 +156,7 @@ def groups(docs: DataFrame, width: int = 5, least: tuple[int, int] = (80, 100))
     shared = posted.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
     # a class with fewer than T shared pairs has no partner; its unshared pairs, the rarest, fill the prefix first
     ordered = posted.join(shared, "key").groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("f", "key"))).alias("shared")).where(F.size("shared") >= T)
-    prefix = table(ordered.select("rep", "n", F.explode(F.slice("shared", F.lit(1), F.size("shared") - F.lit(T - 1))).alias("s")).select("rep", "n", "s.key"), "near-prefix")
+    prefix = table(ordered.select("rep", "n", (K - F.size("shared")).alias("alone"), F.explode(F.slice("shared", F.lit(1), F.size("shared") - F.lit(T - 1))).alias("s")).select("rep", "n", "alone", "s.key"), "near-prefix")
     of = spread(prefix)
     edges = None
     for turn in range(ROUNDS):
@@ -170,23 +168,56 @@ def groups(docs: DataFrame, width: int = 5, least: tuple[int, int] = (80, 100))
         labels = table(components(edges), "near-labels")
         of = table(spread(prefix, labels), "near-prefix")
     mixed = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = table(of.join(mixed, "key", "left_semi"), "near-rest")
-    x, y = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "component"))) for s in "xy")
-    met = x.join(y, "key").where((F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y")) & _sizes(F.col("n_x"), F.col("n_y"), least))
-    pairs = table(_alike(met.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct(), classes), "near-pairs")
+    rest = table(of.join(mixed, "key", "left_semi").select("rep", "component").distinct(), "near-rest")
+    pairs = table(_alike(between(docs, rest, width, least), classes), "near-pairs")
     labels = table(components(edges.union(confirmed(docs, pairs, width, least))), "near-labels")
     return _labelled(every, classes, labels)
 
 
+def between(docs: DataFrame, rest: DataFrame, width: int, least: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of classes of different components (rest: rep, component) that can be alike, by the shingles themselves.
+
+    A pair that is alike shares so many of its shingles that, ordered by how many classes have them, the first one both have
+    stands early in each, the shorter one's place being bounded tighter, and enough shingles follow it in both. The lists of
+    shingles of edited copies begin with those of their edits, which no other class has; copies too far apart never meet.
+    """
+    kept = picked(docs.select("doc_id", "text"), table(rest.select(F.col("rep").alias("doc_id")), "near-ids"))
+
+    def per_partition():
+        hashes = once("words", 0, lambda: WordHashes(200_000))
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingles(x, width, hashes).view(np.int64) for x in batch.column(1).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "hashes"])
+
+        return step
+
+    sets = arrow_rows(kept, schema_with(kept.select(F.col("doc_id").alias("rep")), "hashes array<long>"), per_partition).dropDuplicates(["rep"])
+    posted = table(sets.join(rest, "rep").select("rep", "component", F.size("hashes").alias("n"), F.explode("hashes").alias("h")), "near-shingles")
+    shared = posted.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
+    low, high = least
+    ordered = posted.join(shared, "h").groupBy("rep", "component", "n").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("shared")).where(high * F.size("shared") >= low * F.col("n"))
+    longer = F.col("n") - F.ceil(F.col("n") * low / high - 1e-9) + 1  # places within which the first common shingle of the longer one stands
+    shorter = F.col("n") - F.ceil(F.col("n") * (2 * low) / (low + high) - 1e-9) + 1
+    placed = ordered.select("rep", "component", "n", (F.col("n") - F.size("shared")).alias("alone"), F.posexplode("shared").alias("i", "s")).select("rep", "component", "n", (F.col("alone") + F.col("i") + 1).alias("p"), "s.h").where(F.col("p") <= longer)
+    placed = table(placed.withColumn("early", F.col("p") <= shorter), "near-placed")
+    x, y = (placed.select("h", "early", *(F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "component", "p"))) for side in "xy")
+    first = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("rep_x") < F.col("rep_y")))
+    room = 1 + F.least(F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y"))
+    enough = (low + high) * room >= low * (F.col("n_x") + F.col("n_y"))
+    met = x.where("early").drop("early").join(y.drop("early"), "h").where(first & (F.col("component_x") != F.col("component_y")) & (high * F.col("n_x") >= low * F.col("n_y")) & enough)
+    return met.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
+
+
 def _sizes(n: F.Column, m: F.Column, least: tuple[int, int]) -> F.Column:
     """Whether sets of these sizes can be alike enough."""
     return F.least(n, m) * least[1] >= F.greatest(n, m) * least[0]
 
 
 def _leader(turn: int) -> F.Column:
-    """One member of a list: the least id at first, others by a hash later."""
+    """One member of a list: the one with the fewest pairs that no other class has, the least edited copy, at first; others by a hash later."""
     member = F.struct("rep", "n", "component")
-    return F.min(member) if turn == 0 else F.min_by(member, F.xxhash64("rep", F.lit(turn)))
+    return F.min_by(member, F.struct("alone", "rep") if turn == 0 else F.xxhash64("rep", F.lit(turn)))
 
 
 def spread(prefix: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -199,7 +230,7 @@ def spread(prefix: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 def _labelled(every: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
     several = classes.where("copies > 1").select("digest", "rep")
     rows = every.select("doc_id", "n_shingles", "digest").join(several, "digest", "left").withColumn("id", F.coalesce("rep", "doc_id"))
-    rows = rows.join(labels, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
+    rows = rows.join(labels, "id", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id")))
     return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 

@@ -114,7 +114,7 @@ def prefix_counts(df: DataFrame, model_path: str, text: str = "text", budgets: t
     at, key, shared = kept.columns.index(text), uuid.uuid4().hex, df.sparkSession.sparkContext.broadcast(load_pieces(model_path))
 
     def per_partition():
-        counter = once(("prefix counter", key), lambda: PrefixCounter(shared.value))
+        counter = once("prefix counter", key, lambda: PrefixCounter(shared.value))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = []
