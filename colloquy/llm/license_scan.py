@@ -182,3 +182,26 @@ def op5_license_scan(spark, sf_dir):
 
     found = scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.drop("text")
+
+
+def _pattern(markup: str) -> str:
+    """The markup as a regular expression over words, each followed by a space."""
+    out = ""
+    for part in re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+", markup):
+        out += {"[[": "(?:", "]]": ")?"}.get(part) or (f"(?:[^ ]+ ){{0,{part[2:-2]}}}" if part[0] == "{" else f"{part} ")
+    return out
+
+
+def sql() -> str:
+    """What op5 returns, as DuckDB SQL."""
+    base = {label: phrase.split() for label, phrase in BASE}
+    places = ", ".join(f"list_filter(range(1, len(ws) + 1), lambda i: ws[i:i + {len(p) - 1}] = {p}) AS p{k}" for k, p in enumerate(base.values()))
+    own = [(label, f"regexp_matches(joined, ' {_pattern(markup)}')", Template(label, markup).mandatory) for label, markup in OWN]
+    found = [(label, f"len(p{k}) > 0", len(p)) for k, (label, p) in enumerate(base.items())] + own
+    listed = lambda kinds: "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN {test} THEN '{label}' END" for label, test, _ in kinds) + "], lambda x: x IS NOT NULL)), ',')"
+    weight = " + ".join(f"CASE WHEN {test} THEN {n} ELSE 0 END" for _, test, n in found)
+    every = " || ".join(f"p{k}" for k in range(len(base)))
+    return f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+p AS (SELECT doc_id, len(ws) AS n_words, ' ' || array_to_string(ws, ' ') || ' ' AS joined, {places} FROM w), a AS (SELECT *, {every} AS places, {weight} AS weight FROM p)
+SELECT doc_id, n_words, len(places) AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word, {listed(found[: len(base)])} AS base_labels, {listed(found)} AS labels, weight / (weight + 1) AS score FROM a"""

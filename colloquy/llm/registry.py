@@ -7,6 +7,7 @@ from .decontaminate import op10_decontaminate
 from .fingerprint import op2_fingerprints
 from .language_id import op6_language_id
 from .license_scan import op5_license_scan
+from .license_scan import sql as op5_sql
 from .lm_score import op8_lm_score
 from .near_dedup import op9_near_dedup
 from .quality import op7_quality
@@ -14,4 +15,4 @@ from .token_counts import op1_token_counts
 from .url_filter import OP3_SQL, op3_url_filter
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_fingerprints, op3_url_filter, op4_byte_bpe, op5_license_scan, op6_language_id, op7_quality, op8_lm_score, op9_near_dedup, op10_decontaminate)}
-ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL}
+ORACLES: dict[str, str] = {"op3_url_filter": OP3_SQL, "op5_license_scan": op5_sql()}
