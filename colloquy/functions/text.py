@@ -106,3 +106,16 @@ def bin_of(c: Column, bounds: dict[str, tuple[int, int | None]]) -> Column:
 
 # History-depth bins, inclusive; the last is open.
 DEPTH_BINS = {"d00": (0, 0), "d01": (1, 1), "d02_04": (2, 4), "d05_06": (5, 6), "d07_08": (7, 8), "d09_10": (9, 10), "d11_14": (11, 14), "d15_plus": (15, None)}
+
+
+def is_passage_part(c: Column) -> Column:
+    """Whether an id ends in `_p<number>`."""
+    return c.rlike(r"_p\d+$")
+
+
+def chosen_places(n: Column, keep: Column, *seed: Column) -> Column:
+    """`keep` of the places 0 to n - 1, in order: those of the least digests of the seed and the place."""
+    salt = F.concat_ws(":", *[s.cast("string") for s in seed])
+    keyed = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.md5(F.concat(salt, F.lit(":"), i.cast("string"))).alias("h"), i.alias("i")))
+    picked = F.transform(F.slice(F.array_sort(keyed), F.lit(1), F.least(keep, n)), lambda x: x["i"])
+    return F.when(n > 0, F.array_sort(picked)).otherwise(F.array().cast("array<int>"))

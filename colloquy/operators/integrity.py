@@ -70,3 +70,18 @@ def id_derived_join(left: DataFrame, right: DataFrame, ids: str, split: str, key
     """Joins ids of the form <conversation>_<turn> with sample ids <split>:<conversation>:<turn>."""
     derived = F.concat(F.lit(split + ":"), F.regexp_extract(ids, r"^(.*)_(\d+)$", 1), F.lit(":"), F.regexp_extract(ids, r"^(.*)_(\d+)$", 2))
     return left.withColumn(key, derived).join(right, key)
+
+
+def attached(samples: DataFrame, metadata: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """samples with metadata columns; raises if a sample has two different rows of them, none, or other values already."""
+    one = require_unique(metadata.select(key, *columns).distinct(), [key])
+    had = [c for c in columns if c in samples.columns]
+    joined = samples.join(one.select(key, *[F.col(c).alias(f"_{c}") for c in columns]), key, "left")
+    if odd := joined.where(" or ".join([f"`_{columns[0]}` is null", *[f"not (`{c}` <=> `_{c}`)" for c in had]])).head(1):
+        raise ValueError(f"no metadata, or other values, for {odd[0][key]}")
+    return joined.drop(*had).withColumnsRenamed({f"_{c}": c for c in columns})
+
+
+def cluster_key(*columns: str) -> Column:
+    """The columns as one JSON list: an id of a cluster of rows."""
+    return F.to_json(F.array(*[F.col(c).cast("string") for c in columns]))

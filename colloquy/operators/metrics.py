@@ -94,3 +94,8 @@ def balanced_weights(df: DataFrame, label: str, classes: list) -> DataFrame:
     total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # a row for each class
     complete = F.assert_true(F.count("*").over(Window.partitionBy(F.lit(0))) == len(classes), F.lit("a class has no rows"))
     return counts.select(label, "n", F.round(total / (len(classes) * F.col("n")), DECIMALS).alias("weight"), complete.alias("_c")).where("_c is null").drop("_c")
+
+
+def metric_columns(df: DataFrame) -> list[str]:
+    """Columns that hold metrics by their names."""
+    return [c for c in df.columns if c == "MRR" or c.startswith(("nDCG@", "nDCG_", "R@", "R_"))]

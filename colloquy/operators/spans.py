@@ -130,3 +130,40 @@ def sampled_path(scores: np.ndarray, moves: np.ndarray, uniforms: np.ndarray) ->
         p = np.exp(logits - logits.max())
         path.append(int(min(np.searchsorted(np.cumsum(p) / p.sum(), uniforms[t], side="right"), len(p) - 1)))
     return path[::-1]
+
+
+def surface_match(tokens: list[str], phrase: str) -> list[int]:
+    """Places of a phrase's words among tokens, compared without punctuation and case: its only unbroken run, else the first places at which its
+    words follow each other with gaps; none if they don't."""
+    fold = lambda t: re.sub(r"\W+", "", t).casefold()
+    have, want = [fold(t) for t in tokens], [w for w in map(fold, phrase.split()) if w]
+    runs = [k for k in range(len(have) - len(want) + 1) if have[k : k + len(want)] == want] if want else []
+    if len(runs) == 1:
+        return list(range(runs[0], runs[0] + len(want)))
+    places, at = [], 0
+    for w in want:
+        while at < len(have) and have[at] != w:
+            at += 1
+        if at == len(have):
+            return []
+        places.append(at)
+        at += 1
+    return places
+
+
+def kept_text(field: str, spans: list[tuple[int, int]]) -> str:
+    """A field's text under spans, held within it: chunks in order of place, white space as single spaces, chunks of punctuation alone and
+    repeats (but for case) left out."""
+    seen, out = set(), []
+    for a, b in sorted((max(0, a), min(len(field), b)) for a, b in spans):
+        chunk = " ".join(field[a:b].split())
+        if chunk and re.search(r"\w", chunk) and chunk.casefold() not in seen:
+            seen.add(chunk.casefold())
+            out.append(chunk)
+    return " ".join(out)
+
+
+def united_targets(labelled: DataFrame, scored: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, teacher, evidence and target of the tokens of both: kept by the teacher (column kept), or of positive score (score_raw)."""
+    both = labelled.select(*keys, F.col("kept").alias("teacher")).join(scored.select(*keys, (F.col("score_raw") > 0).alias("evidence")), keys, "full")
+    return both.na.fill(False, ["teacher", "evidence"]).withColumn("target", F.col("teacher") | F.col("evidence"))

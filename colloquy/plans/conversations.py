@@ -307,3 +307,42 @@ def crf_paths(spark, d):
             yield pd.DataFrame(out, columns=["sample_id", "best", "sampled"])
 
     return s.mapInPandas(decode, "sample_id string, best string, sampled string")
+
+
+@query(f"""WITH {TURNS}, w AS (SELECT sample_id, len(regexp_extract_all(question, '\\S+')) AS n FROM samples), p AS (SELECT sample_id, n, unnest(range(0, n)) AS i FROM w), r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY md5('control:' || sample_id || ':' || i)) AS place FROM p)
+  SELECT sample_id, string_agg(i::VARCHAR, ',' ORDER BY i) AS places FROM r WHERE place <= 5 GROUP BY sample_id""")
+def random_token_control(spark, d):
+    """Five places of each question's words, drawn by digests."""
+    n = F.size(T.words(F.col("question")))
+    s = samples(spark, d).withColumn("places", T.chosen_places(n, F.lit(5), F.lit("control"), F.col("sample_id")))
+    return s.where(F.size("places") > 0).select("sample_id", F.array_join("places", ",").alias("places"))
+
+
+@query(f"WITH {TURNS} SELECT sample_id, conv_id, '[\"dev\",\"' || conv_id || '\"]' AS cluster FROM samples")
+def attached_metadata(spark, d):
+    s = samples(spark, d)
+    meta = s.select("sample_id", integrity.cluster_key("split", "conv_id").alias("cluster"))
+    return integrity.attached(s.select("sample_id", "conv_id"), meta, "sample_id", ["cluster"])
+
+
+@query(f"""WITH {_TOKENS} SELECT sample_id, index, tag > 0 AS teacher, score > 0 AS evidence, tag > 0 OR score > 0 AS target FROM tags""")
+def united_targets(spark, d):
+    t = _tags(spark, d)
+    return spans.united_targets(t.select("sample_id", "index", (F.col("tag") > 0).alias("kept")), t.select("sample_id", "index", F.col("score").alias("score_raw")), ["sample_id", "index"])
+
+
+@query(f"WITH {TURNS} SELECT sample_id, question FROM samples WHERE conv_id = (SELECT min(conv_id) FROM samples)")
+def first_group_scan(spark, d):
+    from ..sources.readers import first_group
+
+    return first_group(samples(spark, d).select("sample_id", "conv_id", "question"), "conv_id", "conv_id").select("sample_id", "question")
+
+
+@query()
+def f1_bootstrap(spark, d):
+    """Interval of the token F1, conversations drawn with replacement."""
+    from ..operators.statistics import f1_bootstrap as bootstrap
+
+    t = _tags(spark, d).select(F.regexp_extract("sample_id", ":(\\d+):", 1).alias("conv"), F.col("tag").alias("gold"), "pred")
+    counts = metrics.micro_prf(t, 0, ["conv"]).withColumn("arm", F.lit("words"))
+    return bootstrap(counts, "conv", ["arm"])

@@ -104,3 +104,9 @@ def shard_summary(df: DataFrame, column: str = "shard_id", vector: str = "vector
     g = df.groupBy(column).agg(F.count("*").alias("rows"), F.max(F.size(vector)).alias("dimension"), F.min(F.size(vector)).alias("_least"))
     follows = F.coalesce(F.lag(column).over(Window.orderBy(column)) == F.col(column) - 1, F.lit(True))  # a row for each shard
     return g.select(column, "rows", "dimension", (F.col("rows") * F.col("dimension") * 4 + 45).alias("bytes"), (F.col("_least") == F.col("dimension")).alias("even"), follows.alias("contiguous"))
+
+
+def first_group(df: DataFrame, key: str, order: str) -> DataFrame:
+    """The rows of the group that comes first."""
+    first = df.select(order, key).orderBy(order, key).limit(1).select(F.col(key).alias("_first"))
+    return df.join(F.broadcast(first), F.col(key) == F.col("_first"), "left_semi")

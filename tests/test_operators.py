@@ -220,3 +220,37 @@ def test_offsets_stand_where_they_say(spark):
     last = conversation.with_history(h).where("turn_id = 12").select(conversation.rendered("history").alias("t"), conversation.field_offsets("history").alias("o")).first()
     for o, (q, a) in zip(last.o, [("qé", "a"), ("second", "")], strict=True):
         assert last.t[o.question_start :].startswith(q) and last.t[o.answer_start :].startswith(a + "\n\n")
+
+
+def test_surface_and_kept_text():
+    tokens = "The Analytical, engine and the engine".split()
+    assert spans.surface_match(tokens, "analytical engine") == [1, 2]
+    assert spans.surface_match(tokens, "the engine") == [4, 5]
+    assert spans.surface_match(tokens, "analytical the") == [1, 4] and spans.surface_match(tokens, "absent") == []
+    assert spans.kept_text("Ada  Lovelace, ada lovelace!", [(0, 13), (13, 14), (15, 27), (-3, 3)]) == "Ada Ada Lovelace"
+
+
+def test_metadata_conflicts(spark):
+    s = spark.createDataFrame([("a", 1)], "sample_id string, conv int")
+    with pytest.raises(ValueError):
+        integrity.attached(s, spark.createDataFrame([("a", 2)], "sample_id string, conv int"), "sample_id", ["conv"])
+    with pytest.raises(ValueError):
+        integrity.attached(s, spark.createDataFrame([("b", 1)], "sample_id string, conv int"), "sample_id", ["conv"])
+
+
+def test_allocation():
+    from colloquy.operators import models
+
+    got = models.allocated({"x": ["p"], "y": ["p", "q"], "z": ["q", "r"]}, {"p": [1], "q": [2], "r": [3]})
+    assert got["x"] == 1 and sorted(got.values()) == [1, 2, 3]
+    with pytest.raises(ValueError):
+        models.allocated({"x": ["p"], "y": ["p"]}, {"p": [1]})
+
+
+def test_injected_models(spark):
+    from colloquy.operators import models
+
+    df = spark.createDataFrame([("a a b c",), (None,)], "input string")
+    assert {r.rewrite for r in models.rewritten(df).collect()} == {"a b c", ""}
+    loud = models.rewritten(df, lambda: lambda rows: {"rewrite": rows["input"].str.upper()})
+    assert {r.rewrite for r in loud.collect()} == {"A A B C", None}
