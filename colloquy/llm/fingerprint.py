@@ -90,7 +90,8 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     ids = docs.sparkSession.createDataFrame(sorted(before.items()), "first long, before int")
     extra = rows.join(F.broadcast(ids), F.coalesce("doc_id", F.lit(-(2**63))) == F.col("first")).select("doc_id", "text", F.col("before").alias("range"), F.lit(True).alias("extra"))
     order = Window.partitionBy("range").orderBy("extra", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    after = rows.unionByName(extra).select("range", "extra", "doc_id", "text", F.lead("text").over(order).alias("next"), F.row_number().over(order).alias("row"))
+    # a partition for each range keeps the tables of terms below small
+    after = rows.unionByName(extra).repartition(len(bounds) + 1, "range").select("range", "extra", "doc_id", "text", F.lead("text").over(order).alias("next"), F.row_number().over(order).alias("row"))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.coalesce("next", F.lit("")), F.lit(1), half))
     return after.select("range", "row", "extra", "doc_id", "text", F.when(~F.col("extra"), edited).alias("edited"))
