@@ -64,10 +64,10 @@ def weighted_postings(passages: DataFrame, wanted: DataFrame, k1: float = K1, b:
 
 
 def top_k(scored: DataFrame, k: int, descending_ids: bool = False) -> DataFrame:
-    """query_id, rank, docid, score: the k best of each query, ties by docid as text."""
+    """query_id, rank, docid (as text), score: the k best of each query, ties by docid."""
     docid = F.col("docid").cast("string")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), docid.desc() if descending_ids else docid.asc())
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "docid", "score")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", docid.alias("docid"), "score")
 
 
 def bm25(queries: DataFrame, passages: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:

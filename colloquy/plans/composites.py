@@ -145,7 +145,7 @@ def replayed_fusion(spark, d):
 
 
 @query(f"""WITH {ASKED}, listed AS (SELECT DISTINCT sample_id, docid, unnest(generate_series(0, 1)) AS far FROM gold), wanted AS (SELECT sample_id, CASE WHEN far = 1 THEN '-' || docid ELSE docid END AS docid FROM listed)
-  SELECT sample_id, count(*) AS listed, count(doc_id) AS found, count_if(lang IS NOT DISTINCT FROM 'en') AS exact FROM wanted LEFT JOIN documents ON doc_id::VARCHAR = wanted.docid GROUP BY sample_id""")
+  SELECT sample_id, count(*) AS listed, count(doc_id) AS found, count(*) FILTER (lang IS NOT DISTINCT FROM 'en') AS exact FROM wanted LEFT JOIN documents ON doc_id::VARCHAR = wanted.docid GROUP BY sample_id""")
 def gold_context_lookup(spark, d):
     """Listed gold passages, half of them unknown, looked up with found and exact flags."""
     gold = _gold(spark, d).distinct().select("sample_id", F.explode(F.array("docid", F.concat(F.lit("-"), F.col("docid")))).alias("docid"))

@@ -147,7 +147,7 @@ def granularity_expansion(spark, d):
 
 # tokens of questions with tags: words of more than six letters are kept
 _TOKENS = f"""{TURNS}, listed AS (SELECT sample_id, regexp_extract_all(question, '\\S+') AS words FROM samples),
-tokens AS (SELECT sample_id, unnest(words) AS token, generate_subscripts(words, 1) - 1 AS index FROM listed),
+tokens AS (SELECT sample_id, unnest(words) AS token, (generate_subscripts(words, 1) - 1)::INT AS index FROM listed),
 tags AS (SELECT *, CASE WHEN length(token) <= 6 THEN 0 WHEN index % 3 = 0 THEN 1 ELSE 2 END AS tag, CASE WHEN length(token) <= 5 THEN 0 ELSE 2 END AS pred, length(token) % 4 - 1 AS score FROM tokens)"""
 
 
@@ -171,7 +171,7 @@ def binary_spans(spark, d):
     return spans.tag_spans(_tags(spark, d).select("sample_id", "index", F.col("pred").alias("tag")), ["sample_id"], begins=False)
 
 
-@query(f"""WITH {_TOKENS}, c AS (SELECT count_if(tag = pred AND tag <> 0) AS tp, count_if(pred <> 0 AND tag <> pred) AS fp, count_if(tag <> 0 AND tag <> pred) AS fn, count_if(tag = pred) AS same, count(*) AS n FROM tags)
+@query(f"""WITH {_TOKENS}, c AS (SELECT count(*) FILTER (tag = pred AND tag <> 0) AS tp, count(*) FILTER (pred <> 0 AND tag <> pred) AS fp, count(*) FILTER (tag <> 0 AND tag <> pred) AS fn, count(*) FILTER (tag = pred) AS same, count(*) AS n FROM tags)
   SELECT tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 9) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 9) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1, round(coalesce(same / nullif(n, 0), 0), 9) AS accuracy FROM c""")
 def token_prf(spark, d):
     return metrics.micro_prf(_tags(spark, d).select(F.col("tag").alias("gold"), "pred"))

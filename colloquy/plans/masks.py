@@ -87,7 +87,7 @@ def cand_dedup_provenance(spark, d):
 
 
 @query(f"""WITH {ALL}, c AS (SELECT family, sample_id, count(*) AS n FROM rows WHERE role = 'generator' GROUP BY ALL), g AS (SELECT f.family, s.sample_id, coalesce(n, 0) AS n FROM s CROSS JOIN (SELECT DISTINCT family FROM c) f LEFT JOIN c USING (family, sample_id))
-  SELECT family, round(avg(n), 9) AS mean, median(n) AS median, max(n) AS most, count_if(n = 0) AS abstentions FROM g GROUP BY family""")
+  SELECT family, round(avg(n), 9) AS mean, median(n) AS median, max(n) AS most, count(*) FILTER (n = 0) AS abstentions FROM g GROUP BY family""")
 def generator_coverage(spark, d):
     return M.coverage(_all(spark, d), _samples(spark, d))
 

@@ -86,7 +86,7 @@ def bm25_term_weights(spark, d):
 
 
 @query(f"""WITH {HITS}, w AS (SELECT a.query_id, q.term, coalesce(w.weight, 0) AS raw FROM asking a JOIN (SELECT query_id, docid FROM raw_hits WHERE rank = 1) r USING (query_id) JOIN raw_hits_q q USING (query_id) LEFT JOIN raw_hits_w w ON w.doc_id::VARCHAR = r.docid AND w.term = q.term)
-  SELECT query_id, count(*) AS terms, count_if(raw > 0) AS positive, round(avg(raw) FILTER (raw > 0), 6) AS mean_positive, round(quantile_cont(raw, 0.9) FILTER (raw > 0), 6) AS p90_positive, round(max(raw), 6) AS most FROM w GROUP BY query_id""")
+  SELECT query_id, count(*) AS terms, count(*) FILTER (raw > 0) AS positive, round(avg(raw) FILTER (raw > 0), 6) AS mean_positive, round(quantile_cont(raw, 0.9) FILTER (raw > 0), 6) AS p90_positive, round(max(raw), 6) AS most FROM w GROUP BY query_id""")
 def gold_score_statistics(spark, d):
     asked = _asked(spark, d)
     best = retrieval.bm25(asked.select("query_id", "query"), passages(spark, d), 1).select("query_id", F.col("docid").cast("long").alias("docid"))

@@ -41,7 +41,7 @@ def test_query(spark, sf_dir, sql, name):
     assert sorted(found.columns) == sorted(df.columns)
     columns = sorted(df.columns)
     want = rows_of(found.fetchall(), columns, lambda r, c: r[found.columns.index(c)])
-    assert rows_of(got, columns, lambda r, c: r[c]) == pytest.approx(want) if not want or not isinstance(want[0][0], str) else rows_of(got, columns, lambda r, c: r[c]) == want
+    assert rows_of(got, columns, lambda r, c: r[c]) == want
 
 
 def test_entry(spark):
