@@ -63,8 +63,8 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = 5, least: tuple[int, i
     """doc_id, item_id, start_word and similarity: where a document's window of an item's length is best alike with the item.
 
     docs (doc_id, text), items (item_id, text). A pair is reported if least[1] * S >= least[0] for the weighted Jaccard
-    similarity S of their shingles of `width` words (of all words in items with fewer); the first of the best windows
-    counts. Null and empty texts, and texts without words, match nothing; rows with null ids are left out. Rows that
+    similarity S of their shingles of `width` words (of all words in items with fewer); the best window counts, the first
+    of equals among those that line up with a shared shingle. Null and empty texts, and texts without words, match nothing; rows with null ids are left out. Rows that
     repeat a doc_id or item_id are judged each, and the best counts. Extra columns are ignored.
     """
     need = lambda n: F.ceil(n * (2 * least[0]) / (least[0] + least[1]) - 1e-9)  # noqa: E731  shared shingles, with repeats, of n

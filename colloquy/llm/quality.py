@@ -53,11 +53,12 @@ def features(text: str | None) -> np.ndarray:
 
 
 def _descend(x: np.ndarray, gradient, steps: int, rate: float = 0.03) -> np.ndarray:
-    """Adam from zero weights; gradient(x @ w) gives the risk's derivative by the scores."""
+    """Adam from zero weights; gradient(x @ w) gives the risk's derivative by the scores. Few rows are held to small weights."""
+    decay = max(1e-4, 0.5 / len(x))
     w = np.zeros(x.shape[1])
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        g = x.T @ gradient(x @ w) + 1e-4 * w
+        g = x.T @ gradient(x @ w) + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
@@ -68,11 +69,10 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The least ratio, corrected for sample sizes, of unlabelled to positive mass above a threshold of a first scorer's output."""
+    """The least ratio of unlabelled to positive mass above a threshold of a first scorer's output, over thresholds that keep
+    at least 2/5 of the positives."""
     cuts = np.quantile(positive, np.linspace(0.0, 0.6, 61))
-    slack = 0.5 * (len(positive) ** -0.5 + len(unlabelled) ** -0.5)
-    ratios = [(np.mean(unlabelled >= c) + slack / 2) / max(np.mean(positive >= c) - slack / 2, 1e-9) for c in cuts if np.mean(positive >= c) > 2 * slack]
-    return float(np.clip(min(ratios, default=0.5), 0.05, 0.95))
+    return float(np.clip(min(np.mean(unlabelled >= c) / max(np.mean(positive >= c), 1e-9) for c in cuts), 0.05, 0.95))
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400) -> dict:
@@ -85,11 +85,13 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400) -> dict:
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     n, u = len(positive), len(unlabelled)
 
-    def logistic(z):
-        p = _sigmoid(z)
-        return np.concatenate([(p[:n] - 1) / n, p[n:] / u])
-
-    first = x @ _descend(x, logistic, steps // 2)
+    # each half's rows are scored by the first scorer of the other half, so that the prior isn't read off rows it has learnt
+    first, half = np.zeros(len(x)), np.arange(len(x)) % 2
+    for part in (0, 1):
+        rows, others = np.flatnonzero(half == part), np.flatnonzero(half != part)
+        is_positive = rows < n
+        share = np.where(is_positive, 1 / max(is_positive.sum(), 1), 1 / max((~is_positive).sum(), 1))
+        first[others] = x[others] @ _descend(x[rows], lambda z, p=is_positive, s=share: (_sigmoid(z) - p) * s, steps // 2)
     prior = class_prior(first[:n], first[n:])
 
     def non_negative(z):
