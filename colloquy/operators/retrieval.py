@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import table
 
 K1, B = 0.9, 0.4
 #: Distinct query terms, or query vectors, that are broadcast at most; more are joined by a shuffle.
@@ -55,8 +56,8 @@ def weight(tf: Column, length: Column, df: Column, documents: Column, average: C
 
 
 def weighted_postings(passages: DataFrame, wanted: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """docid, term and weight of the wanted terms."""
-    found = postings(passages, wanted)
+    """docid, term and weight of the wanted terms. Their postings are written once and read for frequencies and for weights."""
+    found = table(postings(passages, wanted), "postings")
     s = corpus_statistics(passages).first()
     frequency = found.groupBy("term").agg(F.count("*").alias("df"))
     joined = found.join(bounded_broadcast(frequency), "term")
@@ -75,7 +76,7 @@ def bm25(queries: DataFrame, passages: DataFrame, k: int = 10, k1: float = K1, b
 
     Only postings of the queries' terms leave the scan; scores are rounded before they are compared.
     """
-    asked = query_terms(queries)
+    asked = table(query_terms(queries), "query-terms")
     weights = weighted_postings(passages, asked, k1, b)
     scores = weights.join(bounded_broadcast(asked), "term").groupBy("query_id", "docid").agg(F.round(F.sum("weight"), DECIMALS).alias("score"))
     return top_k(scores, k)
@@ -83,7 +84,7 @@ def bm25(queries: DataFrame, passages: DataFrame, k: int = 10, k1: float = K1, b
 
 def term_weights(pairs: DataFrame, passages: DataFrame) -> DataFrame:
     """query_id, docid, term and weight of each query term (0 if absent) in the one passage paired with it (query_id, query, docid)."""
-    asked = query_terms(pairs)
+    asked = table(query_terms(pairs), "query-terms")
     weights = weighted_postings(passages, asked)
     wanted = pairs.select("query_id", "docid").join(asked, "query_id")
     return wanted.join(weights, ["docid", "term"], "left").select("query_id", "docid", "term", F.coalesce("weight", F.lit(0.0)).alias("weight"))
