@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import Remembering, arrow_rows, once, schema_with
 
 #: Pre-tokens that a task remembers at most (a matter of speed, not of results).
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -131,43 +131,55 @@ class Encoder(Remembering):
         return out
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens") -> DataFrame:
-    """Adds ids (packed little-endian unsigned 32-bit integers) and their number; columns of these names are replaced.
+def _packed(encoder: Encoder, texts: list[str | None]) -> list[bytes]:
+    return [encoder(x) if x else b"" for x in texts]
+
+
+def _unpacked(token, ids: list[bytes | None]) -> list[bytes | None]:
+    return [None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in ids]
+
+
+def _more(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
+
+
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens", decoded: str | None = None) -> DataFrame:
+    """Adds ids (packed little-endian unsigned 32-bit integers) and their number and, if named, the bytes that those ids decode to
+    (what decode() gives, in the same pass); columns of these names are replaced.
 
     A null or empty text has no tokens and empty ids. Any length of text is taken whole.
     Rows are independent: ties, repeated rows and clashing extra columns change nothing.
     """
     shared = df.sparkSession.sparkContext.broadcast(PerfectHash(load_ranks(ranks_path)).state())
-    kept, key = df.drop(ids, n_tokens), uuid.uuid4().hex
+    kept, key = df.drop(ids, n_tokens, *([decoded] if decoded else [])), uuid.uuid4().hex
     at = kept.columns.index(text)
 
     def per_partition():
         encoder = once("byte BPE", key, lambda: Encoder(PerfectHash.of(shared.value), pattern))
+        token = {v: k for k, v in encoder.ranks.items()}.__getitem__ if decoded else None
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            packed = [encoder(x) if x else b"" for x in batch.column(at).to_pylist()]
-            more = [pa.array(packed, pa.binary()), pa.array([len(x) // 4 for x in packed], pa.int64())]
-            return pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, ids, n_tokens])
+            packed = _packed(encoder, batch.column(at).to_pylist())
+            more = {ids: pa.array(packed, pa.binary()), n_tokens: pa.array([len(x) // 4 for x in packed], pa.int64())}
+            if decoded:
+                more[decoded] = pa.array(_unpacked(token, packed), pa.binary())
+            return _more(batch, **more)
 
         return step
 
-    return arrow_rows(kept, schema_with(kept, f"{ids} binary", f"{n_tokens} long"), per_partition)
+    columns = [f"{ids} binary", f"{n_tokens} long", *([f"{decoded} binary"] if decoded else [])]
+    return arrow_rows(kept, schema_with(kept, *columns), per_partition, "byte BPE")
 
 
-def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded", keep: list[str] | None = None) -> DataFrame:
-    """Adds the bytes that packed ids stand for; null ids give null. keep: the columns that stay (all but a clashing one)."""
+def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Adds the bytes that packed ids stand for; null ids give null. A clashing column is replaced."""
     shared = df.sparkSession.sparkContext.broadcast({v: k for k, v in load_ranks(ranks_path).items()})
-    kept = df.select(*[c for c in (keep or df.columns) if c != decoded and c != ids], ids)
-    at = len(kept.columns) - 1
+    kept = df.drop(decoded)
+    at = kept.columns.index(ids)
 
     def per_partition():
         token = shared.value.__getitem__
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = [None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in batch.column(at).to_pylist()]
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, decoded])
-
-        return step
+        return lambda batch: _more(batch, **{decoded: pa.array(_unpacked(token, batch.column(at).to_pylist()), pa.binary())})
 
     return arrow_rows(kept, schema_with(kept, f"{decoded} binary"), per_partition)
 
@@ -180,5 +192,5 @@ def op4_byte_bpe(spark, sf_dir):
 
     path = public.path("byte_bpe_50k.tiktoken")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = encode(docs, path, public.PATTERN).select("doc_id", "n_tokens", "ids")
-    return decode(ids, path).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = encode(docs, path, public.PATTERN, decoded="decoded")
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -18,6 +21,10 @@ from ..session import read, table  # noqa: F401
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
+#: Rows that a function of texts gets at once, so that a worker holds few copies of them.
+BATCH_ROWS = 1_000
+
+
 def fold(id_column: str, folds: int) -> F.Column:
     """crc32 of the id as text, modulo folds; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
@@ -32,8 +39,25 @@ def schema_with(df: DataFrame, *more: str) -> StructType:
     return schema
 
 
-def arrow_rows(df: DataFrame, schema: StructType, per_partition: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
-    """mapInArrow with state built once a task: per_partition() returns the function of a batch."""
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType, holds: str | None = None, gather: int = 0) -> DataFrame:
+    """mapInArrow in batches of at most BATCH_ROWS rows, which bounds what tasks hold inside and outside the JVM. (The session's
+    spark.sql.execution.arrow.maxRecordsPerBatch is lowered to that if it is larger.) holds: the kind of thing that run keeps by
+    once(); all that earlier queries kept in the worker goes, and freed memory returns to the system before and after. gather:
+    joins batches of short rows until they have so many."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(holds)
+        yield from run(gathered(batches, gather))
+        trim()
+
+    return df.mapInArrow(whole, schema)
+
+
+def arrow_rows(df: DataFrame, schema: StructType, per_partition: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], holds: str | None = None, gather: int = 0) -> DataFrame:
+    """in_arrow with state built once a task: per_partition() returns the function of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = per_partition()
@@ -41,7 +65,18 @@ def arrow_rows(df: DataFrame, schema: StructType, per_partition: Callable[[], Ca
             if batch.num_rows:
                 yield step(batch)
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema, holds, gather)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches() if len(held) > 1 else held
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
@@ -58,12 +93,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _held() -> dict:
+    """What this Python process keeps between tasks: {kind: (key, thing)}."""
+    return sys.modules.setdefault("_colloquy_held", types.ModuleType("_colloquy_held")).__dict__.setdefault("held", {})
+
+
+def release(but: str | None = None) -> None:
+    for kind in [k for k in _held() if k != but]:
+        del _held()[kind]
+    trim()
+
+
+def trim() -> None:
+    """Hands freed memory back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def once(kind: str, key, make: Callable):
-    """make(), called once in this Python process for the key; a worker's later tasks use it again. One of each kind is held."""
-    held = sys.modules.setdefault("_colloquy_held", types.ModuleType("_colloquy_held")).__dict__
-    if kind not in held or held[kind][0] != key:
-        held[kind] = key, make()
-    return held[kind][1]
+    """make(), called once in this Python process for the key; a worker's later tasks use it again. Nothing else is kept beside it."""
+    if len(_held()) > (kind in _held()):
+        release(kind)
+    if kind not in _held() or _held()[kind][0] != key:
+        _held().pop(kind, None)
+        _held()[kind] = key, make()
+    return _held()[kind][1]
 
 
 class Remembering(dict):

@@ -82,7 +82,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
 
         return step
 
-    return arrow_rows(kept, schema_with(kept.select("doc_id"), "n_shingles long", "digest binary", "keys array<long>"), per_partition)
+    return arrow_rows(kept, schema_with(kept.select("doc_id"), "n_shingles long", "digest binary", "keys array<long>"), per_partition, "words")
 
 
 def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, width: int, least: tuple[int, i
 
         return step
 
-    return arrow_rows(both.select("a", "b", "text_a", "text_b"), pairs.select("a", "b").schema, per_partition)
+    return arrow_rows(both.select("a", "b", "text_a", "text_b"), pairs.select("a", "b").schema, per_partition, "words")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def between(docs: DataFrame, rest: DataFrame, width: int, least: tuple[int, int]
 
         return step
 
-    sets = arrow_rows(kept, schema_with(kept.select(F.col("doc_id").alias("rep")), "hashes array<long>"), per_partition).dropDuplicates(["rep"])
+    sets = arrow_rows(kept, schema_with(kept.select(F.col("doc_id").alias("rep")), "hashes array<long>"), per_partition, "words").dropDuplicates(["rep"])
     posted = table(sets.join(rest, "rep").select("rep", "component", F.size("hashes").alias("n"), F.explode("hashes").alias("h")), "near-shingles")
     shared = posted.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
     low, high = least

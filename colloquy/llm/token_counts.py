@@ -131,7 +131,7 @@ def prefix_counts(df: DataFrame, model_path: str, text: str = "text", budgets: t
 
         return step
 
-    return arrow_rows(kept, schema_with(kept, *(f"{n} {'binary' if n == steps else 'long'}" for n in names)), per_partition)
+    return arrow_rows(kept, schema_with(kept, *(f"{n} {'binary' if n == steps else 'long'}" for n in names)), per_partition, "prefix counter")
 
 
 def fit(steps: np.ndarray, budget: int) -> int:
