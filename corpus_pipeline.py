@@ -49,9 +49,8 @@ def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
     path = public.path("byte_bpe_50k.tiktoken")
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public.PATTERN).drop("text")
-    decoded = bpe.decode(ids, path)
-    return decoded.select("doc_id", "lang", "source", "n_tokens", "ids", F.col("decoded").cast("string").alias("text"))
+    both = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public.PATTERN, decoded="decoded")
+    return both.select("doc_id", "lang", "source", "n_tokens", "ids", F.col("decoded").cast("string").alias("text"))
 
 
 STAGES = [("quality", keep_quality), ("language", keep_language), ("near_duplicates", keep_one_of_copies), ("benchmark_leaks", keep_clean_of_benchmarks), ("tokens", to_tokens)]
