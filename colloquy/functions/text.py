@@ -91,8 +91,9 @@ def base_passage(c: Column) -> Column:
     return F.regexp_replace(c, r"/?_p\d+$", "")
 
 
-def long_or_null(c: Column) -> Column:
-    return F.expr(f"try_cast(`{c}` as bigint)") if isinstance(c, str) else F.try_to_number(c, F.lit("9999999999"))
+def long_or_null(name: str) -> Column:
+    """A column as whole numbers; what isn't one becomes null."""
+    return F.expr(f"try_cast(`{name}` as bigint)")
 
 
 def bin_of(c: Column, bounds: dict[str, tuple[int, int | None]]) -> Column:

@@ -76,7 +76,7 @@ def validated(spans: DataFrame, fields: DataFrame, labels: list[str] | None = No
     f = fields.select("sample_id", F.col("turn_id").alias("f_turn"), F.col("field").alias("f_field"), "content")
     joined = spans.join(f, "sample_id", "left")
     own = (F.col("turn_id") == F.col("f_turn")) & (F.col("field") == F.col("f_field"))
-    at, at_any = F.locate_column("text", "content") if hasattr(F, "locate_column") else F.expr("locate(text, content)"), F.expr("locate(lower(text), lower(content))")
+    at, at_any = F.expr("locate(text, content)"), F.expr("locate(lower(text), lower(content))")
     place = lambda a: F.struct(F.col("f_turn").alias("turn"), F.col("f_field").alias("field"), (a - 1).alias("start"))
     g = joined.groupBy("sample_id", "span_id", "turn_id", "field", "label", "text").agg(
         F.max(F.when(own & (at > 0), place(at))).alias("here"), F.count_if(at > 0).alias("n"), F.max(F.when(at > 0, place(at))).alias("there"), F.count_if(at_any > 0).alias("n_any"), F.max(F.when(at_any > 0, place(at_any))).alias("there_any")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,8 +87,4 @@ def depth_balanced(samples: DataFrame, bins: list[str], each: int, salt: str) ->
                 out.append((row["sample_id"], row["conv_id"], depth, name, place + 1))
         return pd.DataFrame(out, columns=["sample_id", "conv_id", "depth", "bin", "place"])
 
-    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda rows: choose(rows), "sample_id string, conv_id string, depth long, bin string, place int")
-
-
-def sample_size(n: int, share: float) -> int:
-    return math.ceil(n * share)
+    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(choose, "sample_id string, conv_id string, depth long, bin string, place int")

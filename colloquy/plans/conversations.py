@@ -9,7 +9,7 @@ from ..operators import conversation as C
 from ..operators import integrity, metrics, retrieval, shapley, spans
 from ..operators.statistics import value_shares
 from ..session import read
-from .bindings import TURNS, asked_turns, lexical_sql, samples, turns
+from .bindings import TURNS, lexical_sql, samples, turns
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
