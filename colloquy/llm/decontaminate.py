@@ -3,7 +3,8 @@
 A window of an item's length can reach the similarity only if 8 of 9 of its word shingles
 (at 0.8) stand in the item, so windows are cut only where a document holds so many of an
 item's shingles: at the starts that line up a shared shingle's places, and all starts
-between such. Windows and items get 64-bit SimHashes over their shingles, weighted by how
+between such. Between neighbours a and b, a window of n shingles holds at most 2 n - (b - a)
+shared ones, so gaps that leave too few are skipped. Windows and items get 64-bit SimHashes over their shingles, weighted by how
 often each occurs. Multi-index blocks find all pairs within the radius: two fingerprints
 that differ in at most R of 64 bits differ in at most R // B bits in one of B blocks, so
 each item is filed under all near values of each of its blocks. Pairs within the radius are
@@ -83,9 +84,9 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = 5, least: tuple[int, i
     hits = found.join(small(filed), ["m", "h"]).select("doc_id", "row", "item_key", "size", "p", (F.col("p") - F.col("offset")).alias("start"))
     dense = hits.groupBy("doc_id", "row", "item_key", "size").agg(F.size(F.collect_set("p")).alias("places"), F.sort_array(F.collect_set("start")).alias("starts"))
     dense = dense.join(small(per_item), ["item_key", "size"]).where(F.col("places") >= need(F.col("n")) * F.lit(least[0]) / F.lit(least[0] + least[1]))
-    # from each aligned start on to the next, unless it is more than an item away
+    # from each aligned start on to the next, unless no window between them can hold the shared shingles needed
     ends = F.transform("starts", lambda s, k: F.struct(s.alias("a"), F.coalesce(F.get(F.col("starts"), k + 1), s).alias("b")))
-    spans = dense.select("doc_id", "row", "size", "m", F.explode(ends).alias("s")).select("doc_id", "row", "size", "m", F.col("s.a").alias("a"), F.when(F.col("s.b") - F.col("s.a") <= F.col("size"), F.col("s.b")).otherwise(F.col("s.a")).alias("b"))
+    spans = dense.select("doc_id", "row", "size", "m", "n", F.explode(ends).alias("s")).select("doc_id", "row", "size", "m", F.col("s.a").alias("a"), F.when(F.col("s.b") - F.col("s.a") <= 2 * F.col("n") - need(F.col("n")), F.col("s.b")).otherwise(F.col("s.a")).alias("b"))
     starts = table(spans.select("doc_id", "row", "size", "m", F.explode(F.sequence("a", "b")).alias("start")).distinct(), "leak-starts")
 
     at = table(starts.select("doc_id").distinct(), "leak-docs")

@@ -184,6 +184,20 @@ def test_leaks(spark):
     assert decontaminate.leaks(d, i.limit(0)).count() == 0 and decontaminate.leaks(d.limit(0), i).count() == 0
 
 
+def test_leaks_with_halves_swapped(spark):
+    rng = random.Random(21)
+    items, docs = {}, {}
+    for k, (n, between) in enumerate([(100, 1), (100, 6), (300, 25), (50, 1), (100, 40)]):
+        words = [f"v{rng.randrange(5000)}" for _ in range(n)]
+        items[k] = " ".join(words)
+        noise = lambda c: [f"z{rng.randrange(5000)}" for _ in range(c)]
+        docs[k] = " ".join(noise(400) + words[n // 2 :] + noise(between) + words[: n // 2] + noise(400))
+    found = decontaminate.leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    want = brute_leaks(docs, items)
+    assert set(want) == {(k, k) for k in range(4)}
+    assert {(r.doc_id, r.item_id): r.similarity for r in found.collect()} == {k: s for k, (_, s) in want.items()}
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
