@@ -1,4 +1,4 @@
-"""Exact Shapley values of small games, as joins of their coalition tables."""
+"""Exact Shapley values: of small games as joins of their coalition tables, of coverage games of any size in closed form."""
 
 from __future__ import annotations
 
@@ -21,3 +21,13 @@ def shapley(values: DataFrame, most: int = 16) -> DataFrame:
     joined = without.withColumn("with", F.expr("mask | shiftleft(1, player)")).join(values.select("game", F.col("mask").alias("with"), F.col("v").alias("v_with")), ["game", "with"])
     weight = weights[(F.col("players") * 100 + F.bit_count("mask")).cast("int")]
     return joined.groupBy("game", "player").agg(F.round(F.sum(weight * (F.col("v_with") - F.col("v"))), 9).alias("phi"))
+
+
+def coverage(members: DataFrame, terms: DataFrame) -> DataFrame:
+    """game, player and phi of games whose worth is the number of distinct terms: each is shared equally among the players that have it.
+
+    members (game, player), terms (game, player, term); players without terms get 0, rows without a game none.
+    """
+    shared = terms.where("game is not null").groupBy("game", "term").agg(F.collect_set("player").alias("owners")).select("game", F.explode("owners").alias("player"), (1 / F.size("owners")).alias("part"))
+    sums = shared.groupBy("game", "player").agg(F.sum("part").alias("phi"))
+    return members.where("game is not null").select("game", "player").distinct().join(sums, ["game", "player"], "left").select("game", "player", F.round(F.coalesce("phi", F.lit(0.0)), 9).alias("phi"))

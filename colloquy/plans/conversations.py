@@ -11,6 +11,9 @@ from ..operators.statistics import value_shares
 from ..session import read
 from .bindings import TURNS, lexical_sql, samples, turns
 
+#: Games of up to so many players are played through all coalitions.
+ENUMERATED = 4
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -226,13 +229,16 @@ def serialised_inputs(spark, d):
   p AS (SELECT *, unnest(range(0, players)) AS player FROM v), o AS (SELECT a.conv_id, a.player, a.players, bit_count(a.mask) AS s, b.v - a.v AS gain FROM p a JOIN v b ON b.conv_id = a.conv_id AND b.mask = a.mask | (1 << a.player::INT) WHERE (a.mask >> a.player::INT) & 1 = 0)
   SELECT conv_id AS game, player::INT AS player, round(sum(gain * factorial(s::INT) * factorial((players - s - 1)::INT) / factorial(players)), 9) AS phi FROM o GROUP BY 1, 2""")
 def shapley_exact(spark, d):
-    """Worth of a set of a conversation's first four questions: their distinct lexical terms."""
-    s = samples(spark, d).where("turn_id <= 4")
-    masks = shapley.coalitions(s.groupBy(F.col("conv_id").alias("game")).agg(F.max("turn_id").cast("int").alias("players")))
-    terms = s.select(F.col("conv_id").alias("game"), F.col("turn_id").cast("int").alias("t"), F.explode(T.lexical_terms(F.col("question"))).alias("term"))
+    """Worth of a set of a conversation's questions: their distinct lexical terms. Games of up to ENUMERATED questions go through all
+    coalitions, longer ones through the closed form of coverage games. (The SQL states games of up to four.)"""
+    s = samples(spark, d).select(F.col("conv_id").alias("game"), F.col("turn_id").cast("int").alias("t"), T.lexical_terms(F.col("question")).alias("terms"))
+    games = s.groupBy("game").agg(F.max("t").alias("players"))
+    masks = shapley.coalitions(games.where(F.col("players") <= ENUMERATED))
+    terms = s.select("game", "t", F.explode("terms").alias("term"))
     inside = (masks["game"] == terms["game"]) & (F.expr("(mask & shiftleft(1, t - 1)) <> 0"))
     values = masks.join(terms, inside, "left").groupBy(masks["game"], "players", "mask").agg(F.count_distinct("term").alias("v"))
-    return shapley.shapley(values)
+    long = s.join(games.where(F.col("players") > ENUMERATED).select("game"), "game", "left_semi").select("game", (F.col("t") - 1).alias("player"), "terms")
+    return shapley.shapley(values).unionByName(shapley.coverage(long, long.select("game", "player", F.explode("terms").alias("term"))))
 
 
 @query(f"WITH {TURNS} SELECT conv_id, sha256(string_agg(sample_id, chr(10) ORDER BY sample_id)) AS population, count(*) AS n FROM samples GROUP BY 1")
