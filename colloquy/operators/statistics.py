@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DECIMALS = 9
+#: Draws of bootstraps and Monte-Carlo nulls.
+REPLICATES = 10_000
 # Two-sided 95 % quantiles of Student's t by degrees of freedom.
 T_975 = {1: 12.706204736, 2: 4.30265273, 3: 3.182446305, 4: 2.776445105, 5: 2.570581836, 6: 2.446911851, 7: 2.364624252, 8: 2.306004135, 9: 2.262157163, 10: 2.228138852, 15: 2.131449546, 20: 2.085963447, 30: 2.042272456}
 
@@ -80,7 +82,7 @@ def seed_of(*parts: object) -> int:
     return int(hashlib.sha256("\0".join(map(str, parts)).encode()).hexdigest()[:16], 16)
 
 
-def cluster_bootstrap(sums: DataFrame, cluster: str, values: list[str], by: list[str], draws: int = 1000, seed: int = 7) -> DataFrame:
+def cluster_bootstrap(sums: DataFrame, cluster: str, values: list[str], by: list[str], draws: int = REPLICATES, seed: int = 7) -> DataFrame:
     """by, metric, mean, low and high (2.5 and 97.5 %): clusters are drawn with replacement and each draw's mean is the drawn sums over
     the drawn rows. All values of a group share their draws. sums: as cluster_sums gives them, one group's clusters in one task."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.select(*by).schema.fields), "metric string, mean double, low double, high double"])
@@ -109,22 +111,36 @@ def paired(df: DataFrame, unit: list[str], arm: str, left: object, right: object
     return named.withColumn("delta", F.round(F.col("right") - F.col("left"), DECIMALS))
 
 
-def null_monte_carlo(pools: DataFrame, draws: int = 200, seed: int = 7) -> DataFrame:
+def null_monte_carlo(pools: DataFrame, draws: int = REPLICATES, seed: int = 7) -> DataFrame:
     """Matched null of each group (group, needed int, pool array<double>, baseline double, observed double): `draws` times the best of `needed`
     pool values drawn without replacement, less the baseline, at least 0. Gives group, null_mean, null_max and p = (draws at or above the
     observed gain + 1) / (draws + 1)."""
+    asks = pools.select("needed", "pool", "baseline", F.array(F.struct("group", "observed")).alias("asks"))
+    return matched_nulls(asks, pools.schema["group"].dataType.simpleString(), draws, seed)
+
+
+def matched_nulls(asks: DataFrame, group: str = "string", draws: int = REPLICATES, seed: int = 7) -> DataFrame:
+    """null_monte_carlo of rows that hold a pool once for many groups: needed, pool, baseline and asks, a list of (group, observed). group:
+    the type of group. The best of n values without replacement is drawn by its rank: rank k or less has probability C(k, n) / C(N, n)."""
 
     def kernel(batches):
-        for rows in batches:
+        for batch in batches:
             out = []
-            for r in rows.itertuples(index=False):
-                rng, pool = np.random.default_rng(seed_of(seed, r.group)), np.sort(np.asarray(r.pool, float))
-                n = min(int(r.needed), len(pool))
-                best = [max(0.0, float(rng.choice(pool, n, replace=False).max()) - r.baseline) if n else 0.0 for _ in range(draws)]
-                out.append((r.group, float(np.mean(best)), max(best), (sum(b >= r.observed for b in best) + 1) / (draws + 1)))
+            for needed, pool, baseline, groups in batch[["needed", "pool", "baseline", "asks"]].itertuples(index=False):
+                pool = np.sort(np.asarray(pool, float))
+                size, n = len(pool), min(int(needed), len(pool))
+                ranks = np.arange(size + 1)
+                logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, size + 1)))])
+                up_to = np.zeros(size + 1)
+                up_to[n:] = np.exp(logs[ranks[n:]] - logs[ranks[n:] - n] - logs[size] + logs[size - n])
+                up_to[-1] = 1.0
+                for g in groups:
+                    u = np.random.default_rng(seed_of(seed, g["group"])).random(draws)
+                    best = np.maximum(0.0, pool[np.searchsorted(up_to, u, "right") - 1] - baseline) if n else np.zeros(draws)
+                    out.append((g["group"], float(best.mean()), float(best.max()), (int((best >= g["observed"]).sum()) + 1) / (draws + 1)))
             yield pd.DataFrame(out, columns=["group", "null_mean", "null_max", "p"])
 
-    return pools.select("group", "needed", "pool", "baseline", "observed").mapInPandas(kernel, "group string, null_mean double, null_max double, p double")
+    return asks.mapInPandas(kernel, f"group {group}, null_mean double, null_max double, p double")
 
 
 def padding_report(lengths: DataFrame, batch: int, order: list[Column], by: list[str] | None = None) -> DataFrame:
@@ -143,14 +159,14 @@ def histogram(df: DataFrame, length: str, most: int, width: int) -> DataFrame:
     return buckets.join(counts, "from_length", "left").select("from_length", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def f1_bootstrap(counts: DataFrame, cluster: str, by: list[str], draws: int = 1000, seed: int = 7) -> DataFrame:
+def f1_bootstrap(counts: DataFrame, cluster: str, by: list[str], draws: int = REPLICATES, seed: int = 7) -> DataFrame:
     """by, f1, low and high: micro F1 of clusters' tp, fp and fn, worked out anew from each draw's pooled counts."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in counts.select(*by).schema.fields), "f1 double, low double, high double"])
 
     def kernel(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x = rows.sort_values(cluster)[["tp", "fp", "fn"]].to_numpy(float)
         rng = np.random.default_rng(seed_of(seed, *key))
-        pooled = rng.multinomial(len(x), np.full(len(x), 1 / len(x)), size=draws) @ x
+        pooled = np.concatenate([rng.multinomial(len(x), np.full(len(x), 1 / len(x)), size=min(100, draws - at)) @ x for at in range(0, draws, 100)])
 
         def f1(c):
             return 2 * c[..., 0] / np.maximum(2 * c[..., 0] + c[..., 1] + c[..., 2], 1e-300)
