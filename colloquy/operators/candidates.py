@@ -6,6 +6,10 @@ Samples have sample_id, depth (turns of history) and, for lexical overlap, quest
 
 from __future__ import annotations
 
+import random
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,18 +86,31 @@ def lexical(samples: DataFrame, most: int = MOST) -> DataFrame:
 
 def controls(samples: DataFrame, exhaustive: int = 8, each: int = 10, seed: str = "control") -> DataFrame:
     """All masks but the empty one for histories of at most `exhaustive` turns; for longer ones `each` masks of every number of kept
-    turns, or all where there are no more: those of the least hashes among numbered candidates, so the same in each run."""
+    turns, or all where there are no more. Draws are seeded by sample and number, so the same in each run."""
     n = F.col("depth").cast("int")
     short = samples.where((F.col("depth") > 0) & (F.col("depth") <= exhaustive)).select("sample_id", "depth", F.explode(F.sequence(F.lit(1), F.shiftleft(F.lit(1), exhaustive) - 1)).alias("rank")).where(F.col("rank") < F.expr("shiftleft(1, cast(depth as int))"))
     all_of = _rows(short.select("sample_id", "depth", "rank", F.lpad(F.bin("rank"), n, "0").alias("mask"), F.concat(F.lit("exhaustive_"), F.col("rank").cast("string")).alias("origin")), "control", "control_space")
     deep = samples.where(F.col("depth") > exhaustive)
-    # a number of kept turns by numbered draws: turns ordered by a hash of sample, draw and turn, the first so many kept
-    draws = deep.select("sample_id", "depth", F.explode(F.sequence(F.lit(1), n)).alias("kept")).select("*", F.explode(F.sequence(F.lit(1), F.lit(each * 4))).alias("draw"))
-    keyed = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.xxhash64(F.lit(seed), F.col("sample_id"), F.col("kept"), F.col("draw"), i).alias("h"), i.alias("i")))
-    chosen = F.transform(F.slice(F.array_sort(keyed), F.lit(1), F.col("kept")), lambda x: x["i"])
-    drawn = draws.select("sample_id", "depth", "kept", "draw", bits(n, chosen).alias("mask")).groupBy("sample_id", "depth", "kept", "mask").agg(F.min("draw").alias("draw"))
-    few = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("sample_id", "kept").orderBy("draw"))).where(F.col("rank") <= each)
-    return all_of.unionByName(_rows(few.withColumn("origin", F.concat(F.lit("sampled_"), F.col("kept").cast("string"))), "control", "control_space"))
+    listed = F.udf(lambda sample, depth: _drawn(f"{seed}\0{sample}", depth, each), "array<struct<origin: string, rank: int, mask: string>>")
+    few = deep.select("sample_id", "depth", F.explode(listed("sample_id", n)).alias("s")).select("sample_id", "depth", "s.*")
+    return all_of.unionByName(_rows(few, "control", "control_space"))
+
+
+def _drawn(seed: str, depth: int, each: int) -> list[tuple[str, int, str]]:
+    """origin, rank and mask of `each` distinct masks of every number of kept turns: all combinations where there are no more, else draws."""
+    out = []
+    for kept in range(1, depth + 1):
+        if comb(depth, kept) <= each:
+            found = list(combinations(range(depth), kept))
+        else:
+            rng, seen = random.Random(f"{seed}\0{kept}"), {}
+            while len(seen) < each:
+                seen[tuple(sorted(rng.sample(range(depth), kept)))] = None
+            found = list(seen)
+        for rank, turns in enumerate(found, 1):
+            held = set(turns)
+            out.append((f"sampled_{kept}", rank, "".join("1" if i in held else "0" for i in range(depth))))
+    return out
 
 
 def deduplicated(rows: DataFrame) -> DataFrame:
