@@ -4,11 +4,12 @@ A window of an item's length can reach the similarity only if 8 of 9 of its word
 (at 0.8) stand in the item, so windows are cut only where a document holds so many of an
 item's shingles: at the starts that line up a shared shingle's places, and all starts
 between such. Between neighbours a and b, a window of n shingles holds at most 2 n - (b - a)
-shared ones, so gaps that leave too few are skipped. Windows and items get 64-bit SimHashes over their shingles, weighted by how
-often each occurs. Multi-index blocks find all pairs within the radius: two fingerprints
-that differ in at most R of 64 bits differ in at most R // B bits in one of B blocks, so
-each item is filed under all near values of each of its blocks. Pairs within the radius are
-held to the exact weighted Jaccard similarity of their shingles.
+shared ones, so gaps that leave too few are skipped. Windows and items get 64-bit SimHashes
+over their shingles, each occurrence hashed as a term of its own, so that a shingle repeated
+k times weighs no more than k distinct ones. Multi-index blocks find all pairs within the
+radius: two fingerprints that differ in at most R of 64 bits differ in at most R // B bits in
+one of B blocks, so each item is filed under all near values of each of its blocks. Pairs
+within the radius are held to the exact weighted Jaccard similarity of their shingles.
 """
 
 from __future__ import annotations
@@ -44,9 +45,11 @@ def shingle_hashes(words: str, width: int) -> Column:
 
 
 def fingerprints(shingles: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n (shingles with repeats) and fingerprint, from rows of keys, h and count: a bit is set if more than half the weight has it."""
-    ones = [F.sum(F.shiftright("h", b).bitwiseAND(F.lit(1)) * F.col("count")).alias(f"b{b}") for b in range(BITS)]
-    summed = shingles.groupBy(*keys).agg(F.sum("count").alias("n"), *ones)
+    """keys, n (shingles with repeats) and fingerprint, from rows of keys, h and count: a bit is set if more than half the occurrences
+    have it, each hashed with its number."""
+    terms = shingles.select(*keys, "h", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("occurrence")).select(*keys, F.xxhash64("h", "occurrence").alias("term"))
+    ones = [F.sum(F.shiftright("term", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(BITS)]
+    summed = terms.groupBy(*keys).agg(F.count("*").alias("n"), *ones)
     bits = [F.when(2 * F.col(f"b{b}") > F.col("n"), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)) for b in range(BITS)]
     return summed.select(*keys, "n", reduce(lambda x, y: x.bitwiseOR(y), bits).alias("fingerprint"))
 

@@ -198,6 +198,20 @@ def test_leaks_with_halves_swapped(spark):
     assert {(r.doc_id, r.item_id): r.similarity for r in found.collect()} == {k: s for k, (_, s) in want.items()}
 
 
+def test_leaks_that_run_into_a_repeated_word(spark):
+    rng = random.Random(22)
+    items, docs = {}, {}
+    for k, (n, kept) in enumerate([(300, 272), (300, 274), (500, 460), (200, 182)]):
+        words = [f"v{rng.randrange(50_000)}" for _ in range(n)]
+        items[k] = " ".join(words)
+        docs[k] = " ".join(words[:kept] + ["pad"] * 60)
+        items[10 + k] = " ".join(words[:kept] + ["fill"] * (n - kept))
+    found = decontaminate.leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    want = brute_leaks(docs, items)
+    assert {(k, k) for k in range(4)} <= set(want)
+    assert {(r.doc_id, r.item_id): r.similarity for r in found.collect()} == {k: s for k, (_, s) in want.items()}
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
