@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def session(name: str = "colloquy", **conf: str) -> SparkSession:
@@ -36,8 +37,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends there, and lost executors lose nothing."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def table(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df written to the shared folder and read again: lineage ends there, and lost executors lose nothing. by: a column whose values
+    get folders of their own. The shuffle files of the writing go as soon as it is done."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, None)
+    spark.conf.set(cleanup, "true")
+    try:
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    finally:
+        spark.conf.set(cleanup, before) if before is not None else spark.conf.unset(cleanup)
+    schema = StructType([f for f in df.schema.fields if f.name != by] + [f for f in df.schema.fields if f.name == by])
+    found = spark.read.schema(schema).parquet(path)
+    found.written_to = path
+    return found
+
+
+def discard(df: DataFrame | None) -> None:
+    """Deletes what table() wrote for df, which must not be read again."""
+    if path := getattr(df, "written_to", None):
+        jvm = df.sparkSession._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
