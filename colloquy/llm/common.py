@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ..session import read, table  # noqa: F401
+from ..session import discard, read, table  # noqa: F401
 
 #: A-Z to a-z in UTF-8 bytes; other bytes stay.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 #: Rows that a function of texts gets at once, so that a worker holds few copies of them.
-BATCH_ROWS = 1_000
+BATCH_ROWS, BATCH_BYTES = 1_000, 32 << 20
 
 
 def fold(id_column: str, folds: int) -> F.Column:
@@ -44,9 +44,11 @@ def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     spark.sql.execution.arrow.maxRecordsPerBatch is lowered to that if it is larger.) holds: the kind of thing that run keeps by
     once(); all that earlier queries kept in the worker goes, and freed memory returns to the system before and after. gather:
     joins batches of short rows until they have so many."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf, name, size = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(conf.get(name)) <= BATCH_ROWS:
         conf.set(name, str(BATCH_ROWS))
+    if not 0 < int(conf.get(size).rstrip("b")) <= BATCH_BYTES:
+        conf.set(size, str(BATCH_BYTES))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release(holds)
@@ -70,11 +72,13 @@ def arrow_rows(df: DataFrame, schema: StructType, per_partition: Callable[[], Ca
 
 def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
+    n = 0
     for batch in batches:
         held.append(batch)
-        if sum(b.num_rows for b in held) >= rows:
+        n += batch.num_rows
+        if n >= rows:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches() if len(held) > 1 else held
-            held = []
+            held, n = [], 0
     if held:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
@@ -84,6 +88,52 @@ def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
+def grouped(df: DataFrame, by: list[str], run: Callable[[Iterator[tuple]], Iterator[pa.RecordBatch]], schema: StructType, then: list[str] = (), nulls_last: bool = False) -> DataFrame:
+    """run over (value, rows) for each value of the column `by`, the first of df: its rows as tuples of all columns, ordered by `then`.
+    A group's rows, packed blocks of a bounded number, are in one task's memory at once."""
+    (key,) = by
+    order = [F.col(c).asc_nulls_last() if nulls_last else F.col(c).asc_nulls_first() for c in then]
+    sorted_ = df.select(key, *[c for c in df.columns if c != key]).repartition(key).sortWithinPartitions(key, *order)
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        value, rows = None, []
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if rows and row[0] != value:
+                    yield value, rows
+                    rows = []
+                value = row[0]
+                rows.append(row)
+        if rows:
+            yield value, rows
+
+    return in_arrow(sorted_, lambda batches: run(groups(batches)), schema)
+
+
+def packed(keys: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of each number."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unpacked(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """Compressed 64-bit integers, or 32-bit ones where all are so small, byte plane by byte plane."""
+    kind = "<i4" if not len(x) or (x.max() < 2**31 and x.min() >= -(2**31)) else "<i8"
+    planes = np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return bytes([int(kind[2])]) + len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unsqueezed(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    planes = np.frombuffer(pa.decompress(raw[9:], int.from_bytes(raw[1:9], "little"), codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(f"<i{width}").ravel()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (two multiply-xorshift rounds) over uint64."""
     x = x ^ (x >> np.uint64(30))

@@ -6,6 +6,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,33 +114,167 @@ def test_fingerprint_cases(spark):
     assert len(many) == 4
 
 
-def test_language_model(spark, corpus):
+def learnt_from_even(df):
+    return df.withColumn("learn", F.col("doc_id") % 2 == 0)
+
+
+def test_language_model_counts(spark, corpus):
     df, docs = corpus
-    model, words = lm_score.train(df.where(F.col("doc_id") % 2 == 0).select("text"))
-    rows = {r.doc_id: r for r in lm_score.score(df.withColumn("score", F.lit(1)), model, words).collect()}
+    rows = {r.doc_id: r for r in lm_score.score(learnt_from_even(df).withColumn("score", F.lit(1)).withColumn("block", F.lit("x")), "learn").collect()}
     c = collections.Counter(w for i, t in docs.items() if i % 2 == 0 for w in lm_score.tokens_of(t))
     n, v = sum(c.values()), len(c)
+    assert set(rows) == set(docs)
     for i, t in docs.items():
         tokens = lm_score.tokens_of(t)
-        assert rows[i].n_tokens == len(tokens) and rows[i].n_known == sum(c[w] > 0 for w in tokens)
+        assert rows[i].n_tokens == len(tokens) and rows[i].n_known == sum(c[w] > 0 for w in tokens) and rows[i].train_tokens == n
         assert math.isclose(rows[i].base_score, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens), rel_tol=1e-9, abs_tol=1e-9)
-        assert rows[i].score < 0
-    seating = lm_score._flat(*(words.select("word", "contexts", "counts").toArrow().column(k).combine_chunks() for k in range(3)), model)
-    total = seating.averaged().sum(axis=0) + 10 ** lm_score._unknown(model)
-    assert abs(total - 1).max() < 1e-9
-
-
-def test_language_model_head_and_tail_agree(corpus, monkeypatch):
-    df, _ = corpus
-    whole = {r.doc_id: r.score for r in lm_score.score(df, *lm_score.train(df.select("text"))).collect()}
-    monkeypatch.setattr(lm_score, "HEAD", 20)
-    assert whole == pytest.approx({r.doc_id: r.score for r in lm_score.score(df, *lm_score.train(df.select("text"))).collect()}, rel=1e-5)
-
-
-def test_language_model_without_training(spark):
-    df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
-    model, words = lm_score.train(df.limit(0).select("text"))
-    assert [(r.n_tokens, r.n_known) for r in lm_score.score(df, model, words).orderBy("doc_id").collect()] == [(3, 0), (1, 0)]
+        assert rows[i].score < 0 and rows[i].block == "x" and "text" not in rows[i]
+
+
+def brute_language_model(texts, scored, sweeps, burn_in, strength, rng):
+    """Log10 probabilities of the scored texts: a plain sampler that moves every customer of every restaurant in each sweep."""
+    end = lm_score.END
+    pairs = collections.Counter()
+    for t in texts:
+        w = lm_score.tokens_of(t)
+        pairs.update(zip([end, *w], w, strict=False))
+    counts = collections.Counter()
+    for (_, w), n in pairs.items():
+        counts[w] += n
+    vocabulary = sorted(counts)
+    once, twice = (sum(n == k for n in pairs.values()) for k in (1, 2))
+    d = min(max(once / (once + 2 * twice), 0.1), 0.95) if once else 0.5
+    below = collections.Counter(w for _, w in pairs)
+    once, twice = (sum(n == k for n in below.values()) for k in (1, 2))
+    d0 = min(max(once / (once + 2 * twice), 0.1), 0.95) if once else 0.5
+    tables, root = collections.defaultdict(list), collections.defaultdict(list)
+    n_root, t_root, t_of = 0, 0, collections.Counter()
+
+    def root_p(w):
+        own = sum(root[w]) - d0 * len(root[w]) if w in root else 0
+        return (own + (strength + d0 * t_root) / (len(vocabulary) + 1)) / (strength + n_root)
+
+    def sit(seats, weight, discount):
+        r = rng.random() * (weight + sum(k - discount for k in seats))
+        for i, k in enumerate(seats):
+            r -= k - discount
+            if r < 0:
+                seats[i] += 1
+                return False
+        seats.append(1)
+        return True
+
+    def rise(seats):
+        r = rng.randrange(sum(seats))
+        for i, k in enumerate(seats):
+            r -= k
+            if r < 0:
+                seats[i] -= 1
+                if not seats[i]:
+                    del seats[i]
+                    return True
+                return False
+
+    def enter(u, w):
+        nonlocal n_root, t_root
+        if sit(tables[u, w], (strength + d * t_of[u]) * root_p(w), d):
+            t_of[u] += 1
+            t_root += sit(root[w], (strength + d0 * t_root) / (len(vocabulary) + 1), d0)
+            n_root += 1
+
+    def leave(u, w):
+        nonlocal n_root, t_root
+        if rise(tables[u, w]):
+            t_of[u] -= 1
+            t_root -= rise(root[w])
+            n_root -= 1
+
+    n_of = collections.Counter()
+    for (u, w), n in pairs.items():
+        n_of[u] += n
+        for _ in range(n):
+            enter(u, w)
+    total = [[0.0] * (len(lm_score.tokens_of(t))) for t in scored]
+    for number in range(1, sweeps + 1):
+        for (u, w), n in pairs.items():
+            for _ in range(n):
+                leave(u, w)
+                enter(u, w)
+        if number > burn_in:
+            for row, t in zip(total, scored, strict=True):
+                w = lm_score.tokens_of(t)
+                for k, (u, x) in enumerate(zip([end, *w], w, strict=False)):
+                    own = sum(tables[u, x]) - d * len(tables[u, x]) if (u, x) in pairs else 0
+                    row[k] += (own + (strength + d * t_of[u]) * root_p(x)) / (strength + n_of[u])
+    return [sum(math.log10(p / (sweeps - burn_in)) for p in row) for row in total], [sum(p / (sweeps - burn_in) for p in row) for row in total]
+
+
+def test_language_model_against_a_plain_sampler(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SWEEPS", 24)
+    monkeypatch.setattr(lm_score, "BURN_IN", 4)
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(14)]
+    made = [" ".join(rng.choices(words, [1 / (k + 1) for k in range(14)], k=rng.randint(1, 14))) for _ in range(70)]
+    learnt, other = made[:50], [*made[50:], "never w1", "", None]
+    rows = [(k, t, k < 50) for k, t in enumerate(learnt + other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean").repartition(3)
+    got = {r.doc_id: r for r in lm_score.score(df, "learn").collect()}
+    want, _ = brute_language_model(learnt, learnt + other, 120, 20, lm_score.STRENGTH, rng)
+    each = [(got[k].score - want[k]) / got[k].n_tokens for k in range(len(rows))]
+    assert max(map(abs, each)) < 0.1 and abs(sum(each) / len(each)) < 0.01
+
+
+def test_seating_follows_its_distribution():
+    """Tables of a dish of c customers: t with weight S(c, t) x ** t, for generalised Stirling numbers S."""
+    for c, x, d in ((2, 0.3, 0.7), (5, 0.8, 0.6), (9, 2.5, 0.4)):
+        stirling = {(1, 1): 1.0}
+        for n in range(1, c):
+            for t in range(1, n + 2):
+                stirling[n + 1, t] = stirling.get((n, t - 1), 0) + (n - t * d) * stirling.get((n, t), 0)
+        weight = np.array([stirling[c, t] * x**t for t in range(1, c + 1)])
+        n = 20_000
+        customers, x_ = np.full(n, c), np.full(n, x)
+        sizes, t = lm_score.begun(customers, x_, d)
+        for sweep in range(1, 12):
+            sizes, t = lm_score.reseated(sizes, t, customers, x_, d, lm_score.Chance(np.arange(n, dtype=np.uint64), sweep))
+            assert (np.add.reduceat(sizes, np.cumsum(t) - t) == c).all() and sizes.min() >= 1
+        assert abs(np.bincount(t, minlength=c + 1)[1:] / n - weight / weight.sum()).max() < 0.015
+
+
+def test_newcomers_and_leavers():
+    customers = np.array([3, 40, 1, 7])
+    sizes, t = np.array([1, 1, 1, 5, 2, 1]), np.array([3, 1, 1, 1])
+    sizes, t = lm_score.reseated(sizes, t, customers, np.full(4, 0.5), 0.5, lm_score.Chance(np.arange(4, dtype=np.uint64), 1))
+    assert np.add.reduceat(sizes, np.cumsum(t) - t).tolist() == customers.tolist()
+
+
+def test_chance_gamma():
+    for shape in (1.0, 4.5, 300.0):
+        drawn = lm_score.Chance(np.arange(40_000, dtype=np.uint64), 3).gamma(np.full(40_000, shape))
+        assert abs(drawn.mean() / shape - 1) < 0.03 and abs(drawn.var() / shape - 1) < 0.06
+
+
+def test_language_model_cases(spark):
+    schema = "doc_id long, text string, learn boolean"
+    unlearnt = lm_score.score(spark.createDataFrame([(1, "a b", False), (2, None, None)], schema), "learn").orderBy("doc_id").collect()
+    assert [(r.n_tokens, r.n_known, r.train_tokens, r.score) for r in unlearnt] == [(3, 0, 0, 0.0), (1, 0, 0, 0.0)]
+    assert lm_score.score(spark.createDataFrame([], schema), "learn").count() == 0
+    again = [(7, "a b a b", True), (7, "a b a b", True), (None, "x " * 50_000, False), (8, "", True)]
+    names = ["_row", "bucket", "values", "n_tokens", "codes", "words"]
+    df = spark.createDataFrame(again, schema).withColumns({c: F.lit("mine") for c in names})
+    rows = lm_score.score(df, "learn").collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in rows) == [(0, 50_001), (7, 5), (7, 5), (8, 1)]
+    assert all(r[c] == "mine" for r in rows for c in names if c != "n_tokens") and len({r.score for r in rows if r.doc_id == 7}) == 1
+
+
+def test_language_model_blocks_agree(spark, corpus, monkeypatch):
+    df, docs = corpus
+    whole = {r.doc_id: r for r in lm_score.score(learnt_from_even(df), "learn").collect()}
+    monkeypatch.setattr(lm_score, "BLOCK", 300)
+    monkeypatch.setattr(lm_score, "BUCKET_DOCS", 20)
+    for r in lm_score.score(learnt_from_even(df), "learn").collect():
+        assert (r.n_tokens, r.n_known) == (whole[r.doc_id].n_tokens, whole[r.doc_id].n_known) and math.isclose(r.base_score, whole[r.doc_id].base_score)
+        assert abs(r.score - whole[r.doc_id].score) < 0.02 * r.n_tokens
 
 
 def brute_leaks(docs, items):
