@@ -22,7 +22,7 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 #: Rows that a function of texts gets at once, so that a worker holds few copies of them.
-BATCH_ROWS, BATCH_BYTES = 1_000, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 
 
 def fold(id_column: str, folds: int) -> F.Column:
@@ -88,12 +88,13 @@ def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
-def grouped(df: DataFrame, by: list[str], run: Callable[[Iterator[tuple]], Iterator[pa.RecordBatch]], schema: StructType, then: list[str] = (), nulls_last: bool = False) -> DataFrame:
-    """run over (value, rows) for each value of the column `by`, the first of df: its rows as tuples of all columns, ordered by `then`.
-    A group's rows, packed blocks of a bounded number, are in one task's memory at once."""
+def grouped(df: DataFrame, by: list[str], run: Callable[[Iterator[tuple]], Iterator[pa.RecordBatch]], schema: StructType, then: list[str] = (), nulls_last: bool = False, parts: int = 200) -> DataFrame:
+    """run over (value, rows) for each value of the column `by`: its rows as tuples of all columns, that one first, ordered by `then`.
+    A group's rows, packed blocks of a bounded number, are in one task's memory at once. parts: the number of tasks; as packed
+    rows take long for their size, it isn't left to their bytes."""
     (key,) = by
     order = [F.col(c).asc_nulls_last() if nulls_last else F.col(c).asc_nulls_first() for c in then]
-    sorted_ = df.select(key, *[c for c in df.columns if c != key]).repartition(key).sortWithinPartitions(key, *order)
+    sorted_ = df.select(key, *[c for c in df.columns if c != key]).repartition(parts, key).sortWithinPartitions(key, *order)
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         value, rows = None, []
@@ -124,14 +125,14 @@ def unpacked(raw: bytes, width: int) -> np.ndarray:
 def squeezed(x: np.ndarray) -> bytes:
     """Compressed 64-bit integers, or 32-bit ones where all are so small, byte plane by byte plane."""
     kind = "<i4" if not len(x) or (x.max() < 2**31 and x.min() >= -(2**31)) else "<i8"
-    planes = np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(len(x), -1).T).tobytes()
+    planes = np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(len(x), int(kind[2])).T).tobytes()
     return bytes([int(kind[2])]) + len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def unsqueezed(raw: bytes) -> np.ndarray:
     width = raw[0]
     planes = np.frombuffer(pa.decompress(raw[9:], int.from_bytes(raw[1:9], "little"), codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(width, -1).T).view(f"<i{width}").ravel()
+    return np.ascontiguousarray(planes.reshape(width, len(planes) // width).T).view(f"<i{width}").ravel()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
