@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache, reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,9 +31,21 @@ def clean(c: Column) -> Column:
     return F.coalesce(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), F.lit(""))
 
 
+@cache
+def _foldings() -> tuple[str, str, list[tuple[str, str]]]:
+    """Characters that fold to one other character, those, and the characters that fold to several, by Unicode's full case folding."""
+    folded = [(c, f) for c in map(chr, range(0x110000)) if (f := c.casefold()) != c]
+    one = [(c, f) for c, f in folded if len(f) == 1]
+    return "".join(c for c, _ in one), "".join(f for _, f in one), [(c, f) for c, f in folded if len(f) > 1]
+
+
 def casefold(c: Column) -> Column:
-    """Lower case with sharp s unfolded."""
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    """Text under Unicode's full case folding: sharp s and ligatures unfold, a final sigma becomes a sigma."""
+    single, into, several = _foldings()
+    pairs = F.array(*[F.struct(F.lit(x).alias("c"), F.lit(y).alias("f")) for x, y in several])
+    unfolded = F.aggregate(pairs, c, lambda text, p: F.replace(text, p["c"], p["f"]))
+    any_of = "[" + "".join(x for x, _ in several) + "]"
+    return F.translate(F.when(c.rlike(any_of), unfolded).otherwise(c), single, into)
 
 
 def normal_form(c: Column) -> Column:
@@ -120,3 +134,31 @@ def chosen_places(n: Column, keep: Column, *seed: Column) -> Column:
     keyed = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.md5(F.concat(salt, F.lit(":"), i.cast("string"))).alias("h"), i.alias("i")))
     picked = F.transform(F.slice(F.array_sort(keyed), F.lit(1), F.least(keep, n)), lambda x: x["i"])
     return F.when(n > 0, F.array_sort(picked)).otherwise(F.array().cast("array<int>"))
+
+
+def byte_size(c: Column) -> Column:
+    """A size for people: whole bytes, else one decimal of the largest unit up to TB that it reaches; null reads unknown."""
+    out = F.concat(F.format_string("%.1f", F.bround(c / 1024.0**4, 1)), F.lit(" TB"))
+    for power, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
+        out = F.when(c < 1024 ** (power + 1), F.concat(F.format_string("%.1f", F.bround(c / 1024.0**power, 1)), F.lit(f" {unit}"))).otherwise(out)
+    return F.when(c.isNull(), "unknown").when(c < 1024, F.concat(c.cast("long").cast("string"), F.lit(" B"))).otherwise(out)
+
+
+def packed_ints(c: Column) -> Column:
+    """A list of whole numbers as little-endian 32-bit integers."""
+    each = F.transform(c, lambda x: F.concat(*[F.lpad(F.hex(F.shiftright(x.cast("int"), 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)]))
+    return F.unhex(F.array_join(each, ""))
+
+
+def unpacked_ints(c: Column) -> Column:
+    """The list that packed_ints packed."""
+    byte = lambda at: F.conv(F.hex(F.substring(c, at, F.lit(1))), 16, 10).cast("long")
+    value = lambda i: reduce(lambda a, b: a + b, [F.shiftleft(byte(i * 4 + k + 1), 8 * k) for k in range(4)])
+    signed = lambda v: F.when(v >= 2**31, v - 2**32).otherwise(v).cast("int")
+    size = F.floor(F.octet_length(c) / 4).cast("int")
+    return F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1), lambda i: signed(value(i)))).otherwise(F.array().cast("array<int>"))
+
+
+def entities(c: Column) -> Column:
+    """A stand-in for an entity recogniser: the distinct lexical terms of eight letters or more."""
+    return F.filter(lexical_terms(c), lambda x: F.length(x) >= 8)

@@ -7,6 +7,7 @@ Samples have sample_id, depth (turns of history) and, for lexical overlap, quest
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from itertools import combinations
 from math import comb
 
@@ -84,6 +85,71 @@ def lexical(samples: DataFrame, most: int = MOST) -> DataFrame:
     return overlap_prefixes(scored.groupBy("sample_id", "depth").agg(ordered.alias("turns")), most, "lexical_overlap", "lexical_top_")
 
 
+def with_entities(samples: DataFrame, recognise: Callable[[Column], Column]) -> DataFrame:
+    """Adds asked_entities (of the question) and turn_entities (a list for each turn of the history). recognise: a text column to
+    its distinct entities; a model's output joins in as a column the same way."""
+    said = F.transform("history", lambda t: recognise(F.concat_ws(" ", t["question"], t["answer"])))
+    return samples.withColumns({"asked_entities": recognise(F.col("question")), "turn_entities": said})
+
+
+def entity_overlap(samples: DataFrame, most: int = MOST) -> DataFrame:
+    """Turns that share an entity with the question (columns of with_entities), by falling number shared, the later first."""
+    places = F.transform("turn_entities", lambda e, i: F.struct((-F.size(F.array_intersect(e, F.col("asked_entities")))).alias("n"), (-i).alias("i")))
+    turns = F.transform(F.array_sort(F.filter(places, lambda x: x["n"] < 0)), lambda x: -x["i"])
+    return overlap_prefixes(samples.select("sample_id", "depth", turns.alias("turns")), most, "entity_overlap", "entity_overlap_top_")
+
+
+def entity_recent(samples: DataFrame, most: int = MOST) -> DataFrame:
+    """Turns with any entity, newest first."""
+    places = F.transform("turn_entities", lambda e, i: F.when(F.size(e) > 0, i))
+    turns = F.reverse(F.array_compact(places))
+    return overlap_prefixes(samples.select("sample_id", "depth", turns.alias("turns")), most, "entity_recent", "entity_recent_top_")
+
+
+def entity_coverage(samples: DataFrame, by: list[str]) -> DataFrame:
+    """samples, anchored (those whose question shares an entity with its history) and their share."""
+    anchored = F.size(F.array_intersect("asked_entities", F.array_distinct(F.flatten("turn_entities")))) > 0
+    g = samples.withColumn("_a", F.coalesce(anchored, F.lit(False))).groupBy(*by).agg(F.count("*").alias("samples"), F.count_if("_a").alias("anchored"))
+    return g.withColumn("share", F.round(F.col("anchored") / F.col("samples"), 9))
+
+
+def length_features(samples: DataFrame, count: Callable[[Column], Column] = T.rough_tokens) -> DataFrame:
+    """question_tokens of each sample, question_lengths, answer_lengths and turn_lengths of its history (lists, oldest first) and
+    conversation_tokens, their sum."""
+    of = lambda f: F.transform("history", f)
+    lengths = samples.select("sample_id", count(F.col("question")).alias("question_tokens"), of(lambda t: count(t["question"])).alias("question_lengths"), of(lambda t: count(t["answer"])).alias("answer_lengths"))
+    whole = lengths.withColumn("turn_lengths", F.zip_with("question_lengths", "answer_lengths", lambda a, b: a + b))
+    return whole.withColumn("conversation_tokens", F.col("question_tokens") + F.aggregate("turn_lengths", F.lit(0), lambda a, b: a + b))
+
+
+def refilled(needs: DataFrame, seen: DataFrame, seed: str = "refill") -> DataFrame:
+    """Masks that haven't been tried: needs (sample_id, depth, kept, wanted), seen (sample_id, mask). Gives sample_id, kept, rank and
+    mask, `wanted` of them or as many as there are: drawn until found, or from all that are left where more than half were tried."""
+    tried = seen.groupBy("sample_id").agg(F.collect_set("mask").alias("tried"))  # of one sample's history
+    drawn = F.udf(lambda sample, depth, kept, wanted, tried: _unseen(f"{seed}\0{sample}\0{kept}", depth, kept, wanted, set(tried or ())), "array<string>")
+    rows = needs.join(tried, "sample_id", "left").select("sample_id", "kept", F.posexplode(drawn("sample_id", "depth", "kept", "wanted", "tried")).alias("rank", "mask"))
+    return rows.withColumn("rank", F.col("rank") + 1)
+
+
+def _mask(depth: int, kept) -> str:
+    return "".join("1" if i in kept else "0" for i in range(depth))
+
+
+def _unseen(seed: str, depth: int, kept: int, wanted: int, tried: set[str]) -> list[str]:
+    gone = sum(len(m) == depth and m.count("1") == kept for m in tried)
+    left = max(0, comb(depth, kept) - gone)
+    rng, found = random.Random(seed), {}
+    if 2 * (gone + wanted) > comb(depth, kept):  # the combinations are at most twice those tried and wanted
+        rest = [m for c in combinations(range(depth), kept) if (m := _mask(depth, set(c))) not in tried]
+        rng.shuffle(rest)
+        return rest[:wanted]
+    while len(found) < min(wanted, left):
+        mask = _mask(depth, set(rng.sample(range(depth), kept)))
+        if mask not in tried:
+            found[mask] = None
+    return list(found)
+
+
 def controls(samples: DataFrame, exhaustive: int = 8, each: int = 10, seed: str = "control") -> DataFrame:
     """All masks but the empty one for histories of at most `exhaustive` turns; for longer ones `each` masks of every number of kept
     turns, or all where there are no more. Draws are seeded by sample and number, so the same in each run."""

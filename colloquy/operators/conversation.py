@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .integrity import require_unique
 
 CONVERSATION = ["split", "conv_id"]
 
@@ -93,7 +94,10 @@ def masked(history: str, mask: str | Column) -> Column:
 
 def expanded(selected: DataFrame, source: DataFrame, granularity: str) -> DataFrame:
     """Selected fields (sample_id, turn_id, field, in `source` rows sample_id, turn_id, question, answer) widened to whole fields
-    (`qa`) or whole turns (`turn`); rows of empty text go, order is the source's."""
+    (`qa`) or whole turns (`turn`); rows of empty text go, order is the source's. A turn that the source hasn't, or has twice, raises."""
+    require_unique(source, ["sample_id", "turn_id"])
+    if odd := selected.join(source, ["sample_id", "turn_id"], "left_anti").select("sample_id", "turn_id").head(1):
+        raise KeyError(f"no turn {odd[0].asDict()}")
     kept = selected.select("sample_id", "turn_id", "field").distinct()
     fields = source.select("sample_id", "turn_id", F.explode(F.array(F.struct(F.lit("question").alias("field"), F.col("question").alias("text")), F.struct(F.lit("answer").alias("field"), F.col("answer").alias("text")))).alias("f")).select("sample_id", "turn_id", "f.*").where("text <> ''")
     keys = ["sample_id", "turn_id", "field"] if granularity == "qa" else ["sample_id", "turn_id"]

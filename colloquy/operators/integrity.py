@@ -67,9 +67,12 @@ def ordinal_join(left: DataFrame, right: DataFrame, group: str, left_order: str,
 
 
 def id_derived_join(left: DataFrame, right: DataFrame, ids: str, split: str, key: str = "sample_id") -> DataFrame:
-    """Joins ids of the form <conversation>_<turn> with sample ids <split>:<conversation>:<turn>."""
+    """Joins ids of the form <conversation>_<turn> with sample ids <split>:<conversation>:<turn>; a row of either side without a
+    partner raises."""
     derived = F.concat(F.lit(split + ":"), F.regexp_extract(ids, r"^(.*)_(\d+)$", 1), F.lit(":"), F.regexp_extract(ids, r"^(.*)_(\d+)$", 2))
-    return left.withColumn(key, derived).join(right, key)
+    named = left.withColumn(key, derived)
+    require_same_ids(named, right, key)
+    return named.join(right, key)
 
 
 def attached(samples: DataFrame, metadata: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -79,6 +79,12 @@ def per_class_prf(labelled: DataFrame) -> DataFrame:
     return c.select("label", "support", divided(F.col("tp"), F.col("predicted")).alias("precision"), divided(F.col("tp"), F.col("support")).alias("recall"), divided(2 * F.col("tp"), F.col("predicted") + F.col("support")).alias("f1"))
 
 
+def macro_f1(per_class: DataFrame, outside: list | None = None) -> DataFrame:
+    """classes and macro_f1 of per_class_prf's rows: the plain mean of f1 over labels other than those outside."""
+    kept = per_class.where(~F.col("label").isin(outside)) if outside else per_class
+    return kept.agg(F.count("*").alias("classes"), F.round(F.avg("f1"), DECIMALS).alias("macro_f1"))
+
+
 def span_prf(gold: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
     """One row: tp, fp, fn, precision, recall, f1 of exactly equal spans, each a row of `keys`."""
     both = gold.select(*keys, F.lit(1).alias("g"), F.lit(0).alias("p")).distinct().union(pred.select(*keys, F.lit(0).alias("g"), F.lit(1).alias("p")).distinct())

@@ -38,6 +38,30 @@ def rewritten(df: DataFrame, load: Callable | None = None, text: str = "input",
     return applied(df, load or default, {"rewrite": "string"})
 
 
+def sampled_rewrites(df: DataFrame, load: Callable | None = None, samples: int = 2, seed: int = 0, key: str = "sample_id", text: str = "input", most: int = 32) -> DataFrame:
+    """Adds greedy (one rewrite) and samples (a list of so many), each sampled with a generator seeded by sample and number, so that
+    batches and tasks don't change them. load: gives a function of (texts, generators for each text), to {greedy, samples}."""
+
+    def default():
+        def rewrites(texts, generators):
+            words = [list(dict.fromkeys((t or "").split())) for t in texts]
+            drawn = [[" ".join(w for w in ws if g.random() < 0.5)[:10_000] for g in gs] for ws, gs in zip(words, generators, strict=True)]
+            return {"greedy": [" ".join(ws[:most]) for ws in words], "samples": drawn}
+
+        return rewrites
+
+    def seeded():
+        rewrites = (load or default)()
+
+        def run(rows):
+            ids = [[int(hashlib.sha256(f"{seed}\0{k}\0{n}".encode()).hexdigest()[:16], 16) for n in range(samples)] for k in rows[key]]
+            return rewrites(rows[text], [[np.random.default_rng(i) for i in own] for own in ids])
+
+        return run
+
+    return applied(df, seeded, {"greedy": "string", "samples": "array<string>"})
+
+
 def encoded(df: DataFrame, load: Callable | None = None, text: str = "text", size: int = 64) -> DataFrame:
     """Adds vector (unit length): by default words hashed into `size` places."""
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import table
+from ..session import new_path, table
+from . import index
+from .index import Index
 
 K1, B = 0.9, 0.4
 #: Distinct query terms, or query vectors, that are broadcast at most; more are joined by a shuffle.
@@ -25,29 +30,14 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("query")))).alias("term"))
 
 
-def document_terms(passages: DataFrame) -> DataFrame:
-    """docid, length and term, a row for each occurrence."""
-    listed = passages.select("docid", T.terms(F.col("text")).alias("terms"))
-    return listed.select("docid", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+def as_index(corpus: DataFrame | Index) -> Index:
+    """An index as it is, or one written of passages (docid, text)."""
+    return corpus if isinstance(corpus, Index) else index.write(corpus, new_path(corpus.sparkSession, "lexical-index"))
 
 
-def corpus_statistics(passages: DataFrame) -> DataFrame:
-    """One row: documents and average_length, over all passages."""
-    return passages.agg(F.count("*").alias("documents"), F.avg(F.size(T.terms(F.col("text")))).alias("average_length"))
-
-
-def term_statistics(passages: DataFrame) -> DataFrame:
+def term_statistics(corpus: DataFrame | Index) -> DataFrame:
     """term, document_frequency and occurrences over all passages."""
-    once = passages.select(F.explode(T.terms(F.col("text"))).alias("term"), "docid").groupBy("term", "docid").agg(F.count("*").alias("n"))
-    return once.groupBy("term").agg(F.count("*").alias("document_frequency"), F.sum("n").alias("occurrences"))
-
-
-def postings(passages: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """docid, length, term and tf; only of the wanted terms (column term), if given, which reach the scan before any shuffle."""
-    rows = document_terms(passages)
-    if wanted is not None:
-        rows = rows.join(bounded_broadcast(wanted.select("term").distinct()), "term", "left_semi")
-    return rows.groupBy("docid", "length", "term").agg(F.count("*").alias("tf"))
+    return as_index(corpus).frequencies.select("term", F.col("df").alias("document_frequency"), "occurrences")
 
 
 def weight(tf: Column, length: Column, df: Column, documents: Column, average: Column, k1: float = K1, b: float = B) -> Column:
@@ -55,12 +45,13 @@ def weight(tf: Column, length: Column, df: Column, documents: Column, average: C
     return idf * tf / (tf + k1 * (1 - b + b * length / average))
 
 
-def weighted_postings(passages: DataFrame, wanted: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """docid, term and weight of the wanted terms. Their postings are written once and read for frequencies and for weights."""
-    found = table(postings(passages, wanted), "postings")
-    s = corpus_statistics(passages).first()
-    frequency = found.groupBy("term").agg(F.count("*").alias("df"))
-    joined = found.join(bounded_broadcast(frequency), "term")
+def weighted_postings(corpus: DataFrame | Index, wanted: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """docid, term and weight of the wanted terms (column term); postings of other terms never leave the scan."""
+    found = as_index(corpus)
+    s = found.statistics
+    frequency = table(found.frequencies.join(bounded_broadcast(wanted.select("term").distinct()), "term", "left_semi").select("term", "df"), "frequencies")
+    postings = found.documents.select("docid", "length", F.explode("terms").alias("t")).select("docid", "length", "t.term", "t.tf")
+    joined = postings.join(bounded_broadcast(frequency), "term")
     return joined.select("docid", "term", weight(F.col("tf"), F.col("length"), F.col("df"), F.lit(s["documents"]), F.lit(s["average_length"] or 1.0), k1, b).alias("weight"))
 
 
@@ -71,8 +62,8 @@ def top_k(scored: DataFrame, k: int, descending_ids: bool = False) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", docid.alias("docid"), "score")
 
 
-def bm25(queries: DataFrame, passages: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
-    """The k best passages (docid, text) of each query (query_id, query); queries without a matching passage have no rows.
+def bm25(queries: DataFrame, passages: DataFrame | Index, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
+    """The k best passages (an index, or docid and text) of each query (query_id, query); queries without a matching passage have no rows.
 
     Only postings of the queries' terms leave the scan; scores are rounded before they are compared.
     """
@@ -82,7 +73,7 @@ def bm25(queries: DataFrame, passages: DataFrame, k: int = 10, k1: float = K1, b
     return top_k(scores, k)
 
 
-def term_weights(pairs: DataFrame, passages: DataFrame) -> DataFrame:
+def term_weights(pairs: DataFrame, passages: DataFrame | Index) -> DataFrame:
     """query_id, docid, term and weight of each query term (0 if absent) in the one passage paired with it (query_id, query, docid)."""
     asked = table(query_terms(pairs), "query-terms")
     weights = weighted_postings(passages, asked)
@@ -90,18 +81,62 @@ def term_weights(pairs: DataFrame, passages: DataFrame) -> DataFrame:
     return wanted.join(weights, ["docid", "term"], "left").select("query_id", "docid", "term", F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
 
-def inner_product(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+#: Bytes of query vectors that go to the executors at once, and rows that are held against them at once.
+QUERY_BYTES, BLOCK_ROWS = 32 << 20, 20_000
 
 
 def dense(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """The k vectors (docid, vector) of largest inner product with each query (query_id, vector); ties by docid, descending.
 
-    The stated queries are broadcast to all vectors; each partition keeps its own k best of a query before the shuffle (a
-    group limit that the planner draws from the rank filter).
+    Queries go out in blocks of a fixed number of bytes, one pass over the vectors for each. A task holds a block of rows
+    against a block of queries in one matrix product and hands on its k best of each query; only those are shuffled. Null
+    vectors are passed over; vectors of other lengths than the queries' raise.
     """
-    paired = vectors.join(bounded_broadcast(queries.select("query_id", F.col("vector").alias("asked"))), F.lit(True))
-    return top_k(paired.select("query_id", "docid", F.round(inner_product("asked", "vector"), DECIMALS).alias("score")), k, descending_ids=True)
+    spark, kind = vectors.sparkSession, vectors.schema["docid"].dataType.simpleString()
+    asked = table(queries.where("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("vector")), "query-vectors")
+    size = asked.agg(F.count("*"), F.max(F.size("vector"))).first()
+    each = max(1, QUERY_BYTES // (8 * (size[1] or 1)))
+    blocks = -(-size[0] // each) or 1
+    dealt = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, docid {kind}, score double"
+    rows = vectors.where("vector is not null").select("docid", F.col("vector").cast("array<double>").alias("vector"))
+    out = spark.createDataFrame([], schema)
+    for block in range(blocks):
+        q = dealt.where(F.col("_block") == block).select("query_id", "vector").collect()  # QUERY_BYTES, a tenth more or less
+        if q:
+            shared = spark.sparkContext.broadcast((np.array([r["vector"] for r in q]), [r["query_id"] for r in q]))
+            out = out.union(rows.mapInArrow(_best_of(shared, k), schema))
+    return top_k(out, k, descending_ids=True)
+
+
+def _best_of(shared, k: int):
+    def run(batches):
+        asked, ids = shared.value
+        held: list[pa.RecordBatch] = []
+
+        def best():
+            rows = pa.Table.from_batches(held).combine_chunks()
+            docids = rows.column("docid").combine_chunks()
+            order = pc.sort_indices(docids.cast(pa.string()), sort_keys=[("", "descending")]).to_numpy()
+            flat = pc.list_flatten(rows.column("vector")).to_numpy()
+            if len(flat) != rows.num_rows * asked.shape[1]:
+                raise ValueError("vectors of unequal lengths")
+            scores = np.round(asked @ flat.reshape(rows.num_rows, -1)[order].T, DECIMALS)
+            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            names = pa.array(np.repeat(np.arange(len(ids)), top.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids).take(names), docids.take(pa.array(order[top].ravel())), pa.array(np.take_along_axis(scores, top, axis=1).ravel())], names=["query_id", "docid", "score"])
+
+        n = 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= BLOCK_ROWS:
+                yield from best()
+                held, n = [], 0
+        if n:
+            yield from best()
+
+    return run
 
 
 def distinct_queries(queries: DataFrame) -> DataFrame:
@@ -118,7 +153,9 @@ def fanned_out(queries: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def remapped(hits: DataFrame, mapping: DataFrame, k: int | None = None) -> DataFrame:
-    """Hits with ids translated by mapping (docid, new_docid); the first of those that become one stays and ranks close up."""
-    moved = hits.join(mapping, "docid").groupBy("query_id", F.col("new_docid").alias("docid")).agg(F.min_by("score", "rank").alias("score"), F.min("rank").alias("_old"))
+    """Hits with ids translated by mapping (docid, new_docid); the first of those that become one stays and ranks close up. A hit
+    whose id has no translation raises."""
+    known = F.when(F.col("new_docid").isNull(), F.raise_error(F.concat(F.lit("no translation of docid "), F.col("docid").cast("string"))).cast(mapping.schema["new_docid"].dataType)).otherwise(F.col("new_docid"))
+    moved = hits.join(mapping, "docid", "left").withColumn("new_docid", known).groupBy("query_id", F.col("new_docid").alias("docid")).agg(F.min_by("score", "rank").alias("score"), F.min("rank").alias("_old"))
     out = moved.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("_old"))).drop("_old")
     return out if k is None else out.where(F.col("rank") <= k)

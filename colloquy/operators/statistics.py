@@ -7,6 +7,7 @@ that draw bootstrap and Monte-Carlo samples, one task for each group of results.
 from __future__ import annotations
 
 import hashlib
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -16,8 +17,33 @@ from pyspark.sql import functions as F
 DECIMALS = 9
 #: Draws of bootstraps and Monte-Carlo nulls.
 REPLICATES = 10_000
-# Two-sided 95 % quantiles of Student's t by degrees of freedom.
-T_975 = {1: 12.706204736, 2: 4.30265273, 3: 3.182446305, 4: 2.776445105, 5: 2.570581836, 6: 2.446911851, 7: 2.364624252, 8: 2.306004135, 9: 2.262157163, 10: 2.228138852, 15: 2.131449546, 20: 2.085963447, 30: 2.042272456}
+#: Degrees of freedom up to which quantiles of Student's t are worked out one by one; a series serves beyond.
+T_LISTED = 200
+
+
+@cache
+def t_975(freedom: int) -> float:
+    """The 97.5 % quantile of Student's t. With t = sqrt(v) tan(x) its density is cos(x) ** (v - 1) up to a factor, which is
+    integrated by Gauss and Legendre's rule; the quantile is then found by bisection."""
+    nodes, weights = np.polynomial.legendre.leggauss(200)
+    mass = lambda x: float(weights @ np.cos((nodes + 1) * x / 2) ** (freedom - 1)) * x / 2
+    low, high, wanted = 0.0, np.pi / 2, 0.95 * mass(np.pi / 2)
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if mass(middle) < wanted else (low, middle)
+    return float(np.sqrt(freedom) * np.tan(low))
+
+
+def t_quantile(freedom: Column) -> Column:
+    """The 97.5 % quantile of Student's t by degrees of freedom; null below 1. Beyond T_LISTED the Cornish-Fisher series is exact
+    to ten decimals."""
+    z = 1.959963984540054
+    terms = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160]
+    series = F.lit(z)
+    for power, term in enumerate(terms, 1):
+        series = series + term / F.pow(freedom.cast("double"), F.lit(power))
+    listed = F.array(*[F.lit(t_975(v)) for v in range(1, T_LISTED + 1)])
+    return F.when(freedom > T_LISTED, series).when(freedom >= 1, F.get(listed, freedom.cast("int") - 1))
 
 
 def moments(df: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -65,10 +91,7 @@ def holm(df: DataFrame, p: str, keys: list[str]) -> DataFrame:
 def student_interval(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """runs, mean, deviation, least, most, variation and a Student-t 95 % interval; the interval is null for one run."""
     g = df.groupBy(*by).agg(F.count(value).alias("runs"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("deviation"), F.min(value).alias("least"), F.max(value).alias("most"))
-    table = F.create_map(*[F.lit(x) for pair in T_975.items() for x in pair])
-    at = F.col("runs").cast("int") - 1
-    t = F.coalesce(table[at], F.lit(1.96))
-    half = F.when(F.col("runs") > 1, t * F.col("deviation") / F.sqrt("runs"))
+    half = F.when(F.col("runs") > 1, t_quantile(F.col("runs") - 1) * F.col("deviation") / F.sqrt("runs"))
     r = lambda c: F.round(c, DECIMALS)
     return g.select(*by, "runs", r(F.col("mean")).alias("mean"), r(F.col("deviation")).alias("deviation"), "least", "most", r(F.col("deviation") / F.col("mean")).alias("variation"), r(F.col("mean") - half).alias("low"), r(F.col("mean") + half).alias("high"))
 
@@ -82,26 +105,68 @@ def seed_of(*parts: object) -> int:
     return int(hashlib.sha256("\0".join(map(str, parts)).encode()).hexdigest()[:16], 16)
 
 
-def cluster_bootstrap(sums: DataFrame, cluster: str, values: list[str], by: list[str], draws: int = REPLICATES, seed: int = 7) -> DataFrame:
-    """by, metric, mean, low and high (2.5 and 97.5 %): clusters are drawn with replacement and each draw's mean is the drawn sums over
-    the drawn rows. All values of a group share their draws. sums: as cluster_sums gives them, one group's clusters in one task."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.select(*by).schema.fields), "metric string, mean double, low double, high double"])
+#: Clusters that one task draws for at most (on average).
+PART_CLUSTERS = 5_000
+
+
+def drawn_sums(sums: DataFrame, cluster: str, values: list[str], by: list[str], draws: int = REPLICATES, seed: int = 7) -> DataFrame:
+    """by, draw and the sums of `values` over clusters drawn with replacement, as many as the group has.
+
+    Clusters are dealt to parts of a bounded size. All parts of a group draw the same numbers of clusters for each part (a
+    multinomial), and each part then draws its own clusters (another), which together is the multinomial over all of them.
+    """
+    sums = sums.select(*by, cluster, *values)
+    most = sums.groupBy(*by).count().agg(F.max("count")).first()[0] or 1
+    parts = -(-most // PART_CLUSTERS)
+    dealt = sums.withColumn("_part", F.pmod(F.xxhash64(cluster), F.lit(parts)))
+    sizes = dealt.groupBy(*by, "_part").count().groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_part", "count"))).alias("_sizes"))
+    of = sizes.select(*by, F.transform("_sizes", lambda x: x["_part"]).alias("_parts"), F.transform("_sizes", lambda x: x["count"]).alias("_counts"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.select(*by).schema.fields), "draw int", *(f"`{v}` double" for v in values)])
 
     def kernel(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        *key, part = key
         rows = rows.sort_values(cluster)
-        n, x = rows["rows"].to_numpy(float), rows[values].to_numpy(float)
-        rng = np.random.default_rng(seed_of(seed, *key))
-        found = []
-        for at in range(0, draws, 100):
-            m = rng.multinomial(len(n), np.full(len(n), 1 / len(n)), size=min(100, draws - at))
-            found.append((m @ x) / (m @ n)[:, None])
-        low, high = np.quantile(np.concatenate(found), [0.025, 0.975], axis=0)
-        out = pd.DataFrame({"metric": values, "mean": x.sum(axis=0) / n.sum(), "low": low, "high": high})
+        counts = np.array(rows["_counts"].iloc[0])
+        own = list(rows["_parts"].iloc[0]).index(part)
+        shared = np.random.default_rng(seed_of(seed, *key)).multinomial(counts.sum(), counts / counts.sum(), size=draws)[:, own]
+        rng, x = np.random.default_rng(seed_of(seed, *key, "part", part)), rows[values].to_numpy(float)
+        found = [rng.multinomial(shared[at : at + 100], np.full(len(x), 1 / len(x))) @ x for at in range(0, draws, 100)]
+        out = pd.DataFrame(np.concatenate(found), columns=values)
+        out.insert(0, "draw", np.arange(draws, dtype=np.int32))
         for name, value in reversed(list(zip(by, key, strict=True))):
             out.insert(0, name, value)
         return out
 
-    return sums.groupBy(*by).applyInPandas(kernel, schema)
+    drawn = dealt.join(of, by).groupBy(*by, "_part").applyInPandas(kernel, schema)
+    return drawn.groupBy(*by, "draw").agg(*[F.sum(v).alias(v) for v in values])
+
+
+def interval(drawn: DataFrame, value: Column, by: list[str]) -> DataFrame:
+    """by, low and high: the 2.5 and 97.5 % quantiles of a value over a fixed number of draws."""
+    return drawn.groupBy(*by).agg(F.percentile(value, F.lit(0.025)).alias("low"), F.percentile(value, F.lit(0.975)).alias("high"))
+
+
+def cluster_bootstrap(sums: DataFrame, cluster: str, values: list[str], by: list[str], draws: int = REPLICATES, seed: int = 7) -> DataFrame:
+    """by, metric, mean, low and high (2.5 and 97.5 %): clusters are drawn with replacement and each draw's mean is the drawn sums over
+    the drawn rows. All values of a group share their draws. sums: as cluster_sums gives them."""
+    drawn = drawn_sums(sums, cluster, ["rows", *values], by, draws, seed)
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), (F.col(v) / F.col("rows")).alias("m")) for v in values])).alias("x")
+    low_high = interval(drawn.select(*by, each).select(*by, "x.*"), F.col("m"), [*by, "metric"])
+    means = sums.groupBy(*by).agg(*[(F.sum(v) / F.sum("rows")).alias(v) for v in values]).select(*by, F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("mean")) for v in values])).alias("x")).select(*by, "x.*")
+    return means.join(low_high, [*by, "metric"]).select(*by, "metric", "mean", "low", "high")
+
+
+def singleton_bootstrap(rows: DataFrame, cluster: str, values: list[str], by: list[str], draws: int = REPLICATES, seed: int = 7) -> DataFrame:
+    """cluster_bootstrap over single rows; raises if a cluster of a group has more than one."""
+    if odd := rows.groupBy(*by, cluster).count().where("count > 1").head(1):
+        raise ValueError(f"several rows of {odd[0][cluster]}")
+    return cluster_bootstrap(rows.select(*by, cluster, *values, F.lit(1).alias("rows")), cluster, values, by, draws, seed)
+
+
+def stratified_bootstrap(rows: DataFrame, stratum: str, unit: str, value: str, salt: str, draws: int = REPLICATES) -> DataFrame:
+    """stratum, n, mean, low and high of each stratum by itself; rows of a stratum are drawn with a seed of the salt and its name."""
+    each = singleton_bootstrap(rows.select(stratum, unit, value), unit, [value], [stratum], draws, int(hashlib.sha1(salt.encode()).hexdigest()[:8], 16))
+    return rows.groupBy(stratum).agg(F.count("*").alias("n")).join(each.drop("metric"), stratum)
 
 
 def paired(df: DataFrame, unit: list[str], arm: str, left: object, right: object, value: str) -> DataFrame:
@@ -161,17 +226,6 @@ def histogram(df: DataFrame, length: str, most: int, width: int) -> DataFrame:
 
 def f1_bootstrap(counts: DataFrame, cluster: str, by: list[str], draws: int = REPLICATES, seed: int = 7) -> DataFrame:
     """by, f1, low and high: micro F1 of clusters' tp, fp and fn, worked out anew from each draw's pooled counts."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in counts.select(*by).schema.fields), "f1 double, low double, high double"])
-
-    def kernel(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values(cluster)[["tp", "fp", "fn"]].to_numpy(float)
-        rng = np.random.default_rng(seed_of(seed, *key))
-        pooled = np.concatenate([rng.multinomial(len(x), np.full(len(x), 1 / len(x)), size=min(100, draws - at)) @ x for at in range(0, draws, 100)])
-
-        def f1(c):
-            return 2 * c[..., 0] / np.maximum(2 * c[..., 0] + c[..., 1] + c[..., 2], 1e-300)
-
-        low, high = np.quantile(f1(pooled), [0.025, 0.975])
-        return pd.DataFrame([(*key, float(f1(x.sum(axis=0))), low, high)], columns=[*by, "f1", "low", "high"])
-
-    return counts.groupBy(*by).applyInPandas(kernel, schema)
+    f1 = 2 * F.col("tp") / F.greatest(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(1e-300))
+    found = counts.groupBy(*by).agg(*[F.sum(c).cast("double").alias(c) for c in ("tp", "fp", "fn")]).select(*by, f1.alias("f1"))
+    return found.join(interval(drawn_sums(counts, cluster, ["tp", "fp", "fn"], by, draws, seed), f1, by), by)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS
-from ..operators import conversation
+from ..operators import conversation, index
+from ..operators.index import Index
 from ..session import read
 
 #: Searches ask with every row whose id is divisible by this, against all rows.
@@ -25,6 +26,11 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("docid"), "text")
 
 
+def indexed(spark: SparkSession, sf_dir: str) -> Index:
+    """The lexical index of all documents, written once for these files."""
+    return index.of_files(passages(spark, sf_dir))
+
+
 def asked_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of the asking conversations with the previous turn's text."""
     from pyspark.sql import Window

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import composites, conversations, generic, masks, search
+from . import composites, conversations, generic, masks, search, studies
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _part in (search, conversations, masks, generic, composites):
+for _part in (search, conversations, masks, generic, composites, studies):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

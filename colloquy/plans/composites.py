@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import conversation, models, ranking, retrieval, routes, statistics
 from ..session import read, table
-from .bindings import ASK, TURNS, asked_turns, bm25_sql, passages, samples
+from .bindings import ASK, TURNS, asked_turns, bm25_sql, indexed, passages, samples
 from .search import _gold
 
 QUERIES: dict = {}
@@ -51,7 +51,7 @@ found AS (SELECT h.query_id, min(rank) AS target FROM hits h JOIN gold USING (sa
 
 def _evaluated(spark, d):
     asked = table(_inputs(spark, d), "inputs")
-    hits = routes.searched(asked, passages(spark, d))
+    hits = routes.searched(asked, indexed(spark, d))
     return routes.evaluated(asked, hits, _gold(spark, d), [10]).withColumnRenamed("MRR", "mrr")
 
 
@@ -101,7 +101,7 @@ def fusion_methods(spark, d):
     from ..operators import metrics
 
     asked = table(_inputs(spark, d).where("budget = 64"), "inputs")
-    hits, gold = table(routes.searched(asked, passages(spark, d)), "hits"), _gold(spark, d).withColumnRenamed("sample_id", "query_id")
+    hits, gold = table(routes.searched(asked, indexed(spark, d)), "hits"), _gold(spark, d).withColumnRenamed("sample_id", "query_id")
     out = None
     for method in ("rrf10", "rrf60", "minmax_sum"):
         fused = routes.fused(hits, method).withColumnRenamed("sample_id", "query_id")
@@ -134,14 +134,18 @@ def design_bootstrap(spark, d):
     return statistics.cluster_bootstrap(sums, "conv_id", cells, ["design"])
 
 
-@query("SELECT 0 AS mismatches")
+@query(f"WITH {ASKED}, {_FUSED} SELECT sample_id, docid, rank FROM fused WHERE method = 'rrf10' AND rank <= 10")
 def replayed_fusion(spark, d):
-    """Fused lists from rankings stored as files equal those fused at once."""
-    hits = table(routes.searched(_inputs(spark, d), passages(spark, d)), "hits")
-    stored = table(hits.select("sample_id", "budget", "route", "rank", "docid"), "stored")
-    a, b = (routes.fused(x, "rrf10").select("sample_id", "budget", "rank", "docid") for x in (hits, stored))
-    both = a.withColumn("a", F.lit(1)).join(b.withColumn("b", F.lit(1)), ["sample_id", "budget", "rank", "docid"], "full")
-    return both.agg(F.count_if(F.col("a").isNull() | F.col("b").isNull()).cast("int").alias("mismatches"))
+    """Routes fused from rankings that were stored as gzipped files and read again."""
+    from ..session import new_path
+    from ..sources import readers, writers
+
+    hits = routes.searched(_inputs(spark, d).where("budget = 64"), indexed(spark, d))
+    path = new_path(spark, "rankings")
+    writers.write_rankings(hits.select(F.concat_ws("|", "sample_id", "route").alias("query_id"), "rank", "docid"), path)
+    part = F.split("query_id", r"\|")
+    stored = readers.rankings(spark, path).select(part[0].alias("sample_id"), F.lit(64).alias("budget"), part[1].alias("route"), "rank", "docid")
+    return routes.fused(stored, "rrf10").select("sample_id", "docid", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH {ASKED}, listed AS (SELECT DISTINCT sample_id, docid, unnest(generate_series(0, 1)) AS far FROM gold), wanted AS (SELECT sample_id, CASE WHEN far = 1 THEN '-' || docid ELSE docid END AS docid FROM listed)
@@ -160,24 +164,29 @@ def latency_summary(spark, d):
     return e.groupBy("event_type").agg(F.count("*").alias("queries"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("median"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"), F.round(F.count("*") / F.sum("value"), 9).alias("throughput"))
 
 
-@query()
+@query(f"""WITH {TURNS}, aq AS (SELECT sample_id AS query_id, question AS query FROM samples WHERE conv_id % {ASK} = 0), {bm25_sql('aq', 1, 'best')},
+  tokens AS (SELECT DISTINCT b.query_id AS sample_id, b.docid, h.turn_id, unnest(regexp_extract_all(lower(concat_ws(' ', h.question, h.answer)), '[a-z0-9]+')) AS term FROM best b JOIN samples s ON s.sample_id = b.query_id JOIN turns h ON h.conv_id = s.conv_id AND h.turn_id < s.turn_id),
+  p AS (SELECT doc_id, term, count(*) AS tf FROM best_u WHERE term IN (SELECT term FROM tokens) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+  w AS (SELECT t.sample_id, t.turn_id, t.term, coalesce(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 0.9 * (1 - 0.4 + 0.4 * len(d.terms) / average)), 0) AS weight FROM best_c, tokens t LEFT JOIN p ON p.doc_id::VARCHAR = t.docid AND p.term = t.term LEFT JOIN f ON f.term = t.term LEFT JOIN best_d d ON d.doc_id = p.doc_id)
+  SELECT sample_id, turn_id, term, round(weight, 6) AS score_raw, round(CASE WHEN max(weight) OVER (PARTITION BY sample_id) > 0 THEN weight / max(weight) OVER (PARTITION BY sample_id) ELSE 0 END, 6) AS score_norm FROM w""")
 def history_token_scores(spark, d):
     """Each history token's BM25 weight in the sample's best passage, raw and by the sample's largest."""
     asked = asked_turns(spark, d).select("sample_id", "question")
-    best = retrieval.bm25(asked.select(F.col("sample_id").alias("query_id"), F.col("question").alias("query")), passages(spark, d), 1).select(F.col("query_id").alias("sample_id"), F.col("docid").cast("long").alias("docid"))
+    best = retrieval.bm25(asked.select(F.col("sample_id").alias("query_id"), F.col("question").alias("query")), indexed(spark, d), 1).select(F.col("query_id").alias("sample_id"), F.col("docid").cast("long").alias("docid"))
     h = conversation.with_history(samples(spark, d), 1).join(best, "sample_id")
     tokens = h.select("sample_id", "docid", F.explode("history").alias("t")).select("sample_id", "docid", "t.turn_id", F.explode(T.terms(F.concat_ws(" ", "t.question", "t.answer"))).alias("term"))
-    w = retrieval.weighted_postings(passages(spark, d), tokens)
+    w = retrieval.weighted_postings(indexed(spark, d), tokens)
     scored = tokens.distinct().join(w, ["docid", "term"], "left").na.fill(0.0, ["weight"])
     high = F.max("weight").over(Window.partitionBy("sample_id"))
     return scored.select("sample_id", "turn_id", "term", F.round("weight", 6).alias("score_raw"), F.when(high > 0, F.round(F.col("weight") / high, 6)).otherwise(0.0).alias("score_norm"))
 
 
-@query()
+@query(rf"""WITH {_inputs_sql(f'conv_id % {ASK} = 0')}, said_words AS (SELECT sample_id, route, budget, regexp_extract_all(query, '\S+') AS ws FROM inputs), asking AS (SELECT sample_id || '|' || route || '|' || budget AS query_id, sample_id, route, budget, array_to_string(list_filter(ws, lambda x, i: list_position(ws, x) = i)[1:32], ' ') AS query FROM said_words), {bm25_sql('asking', 10, 'raw_hits')}
+  SELECT a.sample_id, a.route, a.budget, h.rank, h.docid, h.score FROM raw_hits h JOIN asking a USING (query_id)""")
 def rewritten_retrieval(spark, d):
     """Inputs rewritten by the stand-in rewriter, each distinct rewrite searched once."""
     asked = models.rewritten(_inputs(spark, d).withColumnRenamed("query", "input"))
-    return routes.searched(asked.withColumnRenamed("rewrite", "query"), passages(spark, d)).select("sample_id", "route", "budget", "rank", "docid", "score")
+    return routes.searched(asked.withColumnRenamed("rewrite", "query"), indexed(spark, d)).select("sample_id", "route", "budget", "rank", "docid", "score")
 
 
 @query()

@@ -46,16 +46,40 @@ def holm_adjust(spark, d):
     return statistics.holm(e, "p", ["user_id"]).select("event_id", "p", "holm")
 
 
-_T = "CASE runs " + " ".join(f"WHEN {n} THEN {t}" for n, t in ((k + 1, v) for k, v in statistics.T_975.items())) + " ELSE 1.96 END"
 
+def _student_sql(groups: str, by: str) -> str:
+    """Intervals of a relation of `by` and value. The quantile is found by halving an angle x with t = sqrt(v) tan(x), whose
+    probability within -t and t is a finite sum of powers of cos(x), one for odd and one for even degrees of freedom."""
+    odd = "(x + sin(x) * cos(x) * list_sum(list_transform(range(0, greatest((v - 1) // 2, 0)), lambda k: exp(coalesce(list_sum(list_transform(range(1, k + 1), lambda j: ln(2.0 * j / (2 * j + 1)))), 0)) * cos(x) ** (2 * k)))) * 2 / pi()"
+    even = "sin(x) * list_sum(list_transform(range(0, v // 2), lambda k: exp(coalesce(list_sum(list_transform(range(1, k + 1), lambda j: ln((2.0 * j - 1) / (2 * j)))), 0)) * cos(x) ** (2 * k)))"
+    return f"""WITH RECURSIVE g AS (SELECT {by}, count(value) AS runs, avg(value) AS m, stddev_samp(value) AS sd, min(value) AS least, max(value) AS most FROM ({groups}) GROUP BY 1),
+  halved AS (SELECT DISTINCT runs - 1 AS v, 0::DOUBLE AS low, pi() / 2 AS high, pi() / 4 AS x, 0 AS step FROM g WHERE runs > 1 UNION ALL
+    SELECT v, low, high, (low + high) / 2, step + 1 FROM (SELECT v, step, CASE WHEN p < 0.95 THEN x ELSE low END AS low, CASE WHEN p < 0.95 THEN high ELSE x END AS high FROM (SELECT *, CASE WHEN v = 1 THEN x * 2 / pi() WHEN v % 2 = 1 THEN {odd} ELSE {even} END AS p FROM halved WHERE step < 52))),
+  t AS (SELECT v, sqrt(v) * tan(x) AS t FROM halved WHERE step = 52), h AS (SELECT g.*, t * sd / sqrt(runs) AS half FROM g LEFT JOIN t ON v = runs - 1)
+  SELECT {by}, runs, round(m, 6) AS mean, round(sd, 6) AS deviation, least, most, round(sd / m, 6) AS variation, round(m - half, 6) AS low, round(m + half, 6) AS high FROM h"""
 
-@query(f"""WITH g AS (SELECT s_nationkey, count(s_acctbal) AS runs, avg(s_acctbal) AS m, stddev_samp(s_acctbal) AS sd, min(s_acctbal) AS least, max(s_acctbal) AS most FROM supplier GROUP BY 1), h AS (SELECT *, {_T} * sd / sqrt(runs) AS half FROM g)
-  SELECT s_nationkey, runs, round(m, 6) AS mean, round(sd, 6) AS deviation, least, most, round(sd / m, 6) AS variation, round(m - half, 6) AS low, round(m + half, 6) AS high FROM h""")
-def student_t_ci(spark, d):
-    s = statistics.student_interval(read(spark, d, "supplier"), "s_acctbal", ["s_nationkey"])
+
+def _rounded_interval(df, by):
+    s = statistics.student_interval(df, "value", [by])
     return s.withColumns({c: F.round(c, 6) for c in ("mean", "deviation", "variation", "low", "high")})
 
 
+@query(_student_sql("SELECT s_nationkey, s_acctbal AS value FROM supplier", "s_nationkey"))
+def student_t_ci(spark, d):
+    return _rounded_interval(read(spark, d, "supplier").select("s_nationkey", F.col("s_acctbal").alias("value")), "s_nationkey")
+
+
+_SERIES = "floor((sqrt(8.0 * o_orderkey + 1) - 1) / 2)::BIGINT"
+
+
+@query(_student_sql(f"SELECT least({_SERIES}, 60) AS series, o_totalprice::DOUBLE AS value FROM orders WHERE o_orderkey < 4000", "series"))
+def student_t_runs(spark, d):
+    """Intervals of series of growing numbers of runs: series n has up to n + 1 orders, the last one all further of the first orders."""
+    o = read(spark, d, "orders").where("o_orderkey < 4000")
+    series = F.least(F.floor((F.sqrt(8.0 * F.col("o_orderkey") + 1) - 1) / 2), F.lit(60)).cast("long")
+    return _rounded_interval(o.select(series.alias("series"), F.col("o_totalprice").cast("double").alias("value")), "series")
+
+
 @query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 9) AS rolling FROM events")
 def rolling_mean_100(spark, d):
     return statistics.rolling_mean(read(spark, d, "events"), "value", ["user_id"], ["event_id"]).select("event_id", "rolling")
@@ -174,9 +198,15 @@ def json_properties(spark, d):
     return read(spark, d, "events").groupBy("event_type").agg(F.round(F.avg(k), 6).alias("mean"), F.count_distinct(k).alias("distinct_keys"))
 
 
-@query("SELECT vec_id % 4 AS shard_id, count(*) AS rows, max(len(embedding)) AS dimension, count(*) * max(len(embedding)) * 4 + 45 AS bytes, true AS even, true AS contiguous FROM embeddings GROUP BY 1")
+_SHARDS = "SELECT CASE WHEN vec_id % 5 = 4 THEN 6 ELSE vec_id % 5 END AS shard_id, CASE WHEN vec_id % 10 = 3 THEN embedding[1:8] ELSE embedding END AS vector FROM embeddings"
+
+
+@query(f"""WITH v AS ({_SHARDS}), g AS (SELECT shard_id, count(*) AS rows, max(len(vector)) AS dimension, count(DISTINCT len(vector)) = 1 AS even FROM v GROUP BY 1)
+  SELECT shard_id, rows, dimension, rows * dimension * 4 + 45 AS bytes, even, NOT EXISTS (SELECT 1 FROM g f WHERE f.shard_id < g.shard_id) OR EXISTS (SELECT 1 FROM g f WHERE f.shard_id = g.shard_id - 1) AS contiguous FROM g""")
 def shard_summary(spark, d):
-    v = read(spark, d, "embeddings").select(F.pmod("vec_id", F.lit(4)).alias("shard_id"), F.col("embedding").alias("vector"))
+    """Shards 0 to 3 and 6; some vectors of shard 3 are cut short."""
+    shard = F.when(F.col("vec_id") % 5 == 4, 6).otherwise(F.col("vec_id") % 5).cast("long")
+    v = read(spark, d, "embeddings").select(shard.alias("shard_id"), F.when(F.col("vec_id") % 10 == 3, F.slice("embedding", 1, 8)).otherwise(F.col("embedding")).alias("vector"))
     return readers.shard_summary(v).withColumn("dimension", F.col("dimension").cast("long"))
 
 
@@ -209,11 +239,11 @@ def priority_lookup(spark, d):
     return writers.by_priority([first, rest], "doc_id").join(read(spark, d, "documents").select("doc_id"), "doc_id", "left_semi")
 
 
-@query("SELECT user_id, length(event_type) AS value FROM events WHERE event_id % 3 >= 0")
+@query("SELECT user_id, CASE WHEN event_type = 'click' THEN -1 ELSE length(event_type) END AS value FROM events")
 def cached_computation(spark, d):
-    """A value for each event's type; only types that the cache lacks are computed, once each."""
+    """A value for each event's type; only types that the cache lacks are computed, once each. The cache holds -1 for one type."""
     asked = read(spark, d, "events").select("user_id", F.col("event_type").alias("payload"))
-    held = spark.createDataFrame([("click",)], "payload string").select(F.sha2(F.concat(F.lit("v1\0"), F.col("payload")), 256).alias("key"), F.lit(5).alias("value"))
+    held = spark.createDataFrame([("click",)], "payload string").select(F.sha2(F.concat(F.lit("v1\0"), F.col("payload")), 256).alias("key"), F.lit(-1).alias("value"))
     answers, _ = writers.cached(asked, held, lambda misses: misses.select("key", F.length("payload").alias("value")), "v1")
     return answers.select("user_id", F.col("value").cast("long").alias("value"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import metrics, ranking, retrieval, statistics
 from ..session import new_path, read, table
-from .bindings import ASK, VIEWS, asked_turns, bm25_sql, passages, views
+from .bindings import ASK, VIEWS, asked_turns, bm25_sql, indexed, passages, views
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -34,7 +34,7 @@ def _asked(spark, d):
 def _view_hits(spark, d, k: int = K):
     """query_id, sample_id, view, rank, docid, score of both views of the asking turns."""
     asked = _asked(spark, d)
-    return retrieval.bm25(asked.select("query_id", "query"), passages(spark, d), k).join(asked.select("query_id", "sample_id", "view", "conv_id"), "query_id")
+    return retrieval.bm25(asked.select("query_id", "query"), indexed(spark, d), k).join(asked.select("query_id", "sample_id", "view", "conv_id"), "query_id")
 
 
 HITS = f"""{VIEWS}, asking AS (SELECT sample_id || '|' || view AS query_id, * FROM views), {bm25_sql('asking', K, 'raw_hits')},
@@ -68,7 +68,7 @@ def flagship_retrieval(spark, d):
 @query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY ALL)
   SELECT term, count(*) AS document_frequency, sum(n)::BIGINT AS occurrences FROM p GROUP BY term""")
 def bm25_stats(spark, d):
-    return retrieval.term_statistics(passages(spark, d))
+    return retrieval.term_statistics(indexed(spark, d))
 
 
 @query(f"WITH {HITS} SELECT sample_id, view, rank, docid, score FROM hits")
@@ -80,8 +80,8 @@ def bm25_topk(spark, d):
   LEFT JOIN raw_hits_w w ON w.doc_id::VARCHAR = r.docid AND w.term = q.term""")
 def bm25_term_weights(spark, d):
     asked = _asked(spark, d)
-    best = retrieval.bm25(asked.select("query_id", "query"), passages(spark, d), 1).select("query_id", F.col("docid").cast("long").alias("docid"))
-    w = retrieval.term_weights(asked.select("query_id", "query").join(best, "query_id"), passages(spark, d))
+    best = retrieval.bm25(asked.select("query_id", "query"), indexed(spark, d), 1).select("query_id", F.col("docid").cast("long").alias("docid"))
+    w = retrieval.term_weights(asked.select("query_id", "query").join(best, "query_id"), indexed(spark, d))
     return w.select("query_id", F.col("docid").cast("string").alias("docid"), "term", F.round("weight", 6).alias("weight"))
 
 
@@ -89,8 +89,8 @@ def bm25_term_weights(spark, d):
   SELECT query_id, count(*) AS terms, count(*) FILTER (raw > 0) AS positive, round(avg(raw) FILTER (raw > 0), 6) AS mean_positive, round(quantile_cont(raw, 0.9) FILTER (raw > 0), 6) AS p90_positive, round(max(raw), 6) AS most FROM w GROUP BY query_id""")
 def gold_score_statistics(spark, d):
     asked = _asked(spark, d)
-    best = retrieval.bm25(asked.select("query_id", "query"), passages(spark, d), 1).select("query_id", F.col("docid").cast("long").alias("docid"))
-    w = retrieval.term_weights(asked.select("query_id", "query").join(best, "query_id"), passages(spark, d))
+    best = retrieval.bm25(asked.select("query_id", "query"), indexed(spark, d), 1).select("query_id", F.col("docid").cast("long").alias("docid"))
+    w = retrieval.term_weights(asked.select("query_id", "query").join(best, "query_id"), indexed(spark, d))
     pos = F.when(F.col("weight") > 0, F.col("weight"))
     return w.groupBy("query_id").agg(F.count("*").alias("terms"), F.count_if(F.col("weight") > 0).alias("positive"), F.round(F.avg(pos), 6).alias("mean_positive"), F.round(F.percentile(pos, F.lit(0.9)), 6).alias("p90_positive"), F.round(F.max("weight"), 6).alias("most"))
 
@@ -250,15 +250,15 @@ def best_view(spark, d):
     return ranking.best_row(m, ["sample_id"], F.col("mrr").desc(), F.col("view").asc()).select("sample_id", "view", "mrr")
 
 
-@query()
+@query(f"WITH {HITS} SELECT query_id, rank::INT AS rank, docid, score FROM hits")
 def incremental_store(spark, d):
     """Retrieval into a store in two rounds; the second retrieves only what the first hasn't."""
     from ..sources.writers import RankingStore
 
     asked = _asked(spark, d).select("query_id", "view", "query")
     store = RankingStore(spark, new_path(spark, "rankings"))
-    store.add(asked.where("view = 'D0'"), lambda q: retrieval.bm25(q, passages(spark, d), K))
-    store.add(asked, lambda q: retrieval.bm25(q, passages(spark, d), K))
+    store.add(asked.where("view = 'D0'"), lambda q: retrieval.bm25(q, indexed(spark, d), K))
+    store.add(asked, lambda q: retrieval.bm25(q, indexed(spark, d), K))
     return store.hits()
 
 
@@ -275,7 +275,7 @@ def ranking_files(spark, d):
     return a.join(b.select("query_id", "rank", "docid"), ["query_id", "rank", "docid"]).select("query_id", F.col("rank").cast("long").alias("rank"), "docid")
 
 
-@query()
+@query(f"WITH {HITS} SELECT query_id, rank::INT AS rank, docid, score FROM hits")
 def streamed_retrieval(spark, d):
     """Queries that arrive as files are ranked once each by a stream."""
     from ..sources.writers import RankingStore
@@ -283,5 +283,5 @@ def streamed_retrieval(spark, d):
 
     folder, store = new_path(spark, "arriving"), RankingStore(spark, new_path(spark, "rankings"))
     _asked(spark, d).select("query_id", "query").write.parquet(folder)
-    retrieve_arriving(spark, folder, store, lambda q: retrieval.bm25(q, passages(spark, d), K), new_path(spark, "stream")).awaitTermination()
+    retrieve_arriving(spark, folder, store, lambda q: retrieval.bm25(q, indexed(spark, d), K), new_path(spark, "stream")).awaitTermination()
     return store.hits()

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
-from ..operators.integrity import require_unique
+from ..operators.integrity import require_complete, require_unique
 from . import schemas
 
 
@@ -45,10 +46,27 @@ def passages_json(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("id", T.falsy_or(F.col("text"), F.coalesce("contents", F.lit(""))).alias("text"), "raw_passage_id", "title")
 
 
-def json_lines(spark: SparkSession, path: str, schema, unique: list[str] | None = None, whole: bool = True) -> DataFrame:
-    """JSON lines; blank lines are passed over; `whole` raises on a broken line, else broken lines go. unique: a key that may not repeat."""
-    df = spark.read.schema(schema).option("mode", "FAILFAST" if whole else "DROPMALFORMED").json(path)
-    return require_unique(df, unique) if unique else df
+def json_lines(spark: SparkSession, path: str, schema, unique: list[str] | None = None, torn_tail: bool = False) -> DataFrame:
+    """JSON lines; blank lines are passed over and a broken line raises. torn_tail: a file's last line may be broken off, as a
+    writer that was stopped leaves it, and goes; broken lines before it still raise. unique: a key that may not be null or repeat."""
+    columns = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    lines = spark.read.text(path).select("value", "_metadata.file_path", F.col("_metadata.file_block_start").alias("start")).where(F.trim("value") != "")
+    parsed = lines.withColumn("row", F.from_json("value", columns.add("_broken", "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}))
+    columns = StructType(columns.fields[:-1])
+    broken = parsed.where("row._broken is not null")
+    if torn_tail:
+        tails = {}
+        for file in [r[0] for r in broken.select("file_path").distinct().collect()]:  # a name for each damaged file
+            whole = spark.read.option("wholetext", False).text(file).select(F.col("value"), F.monotonically_increasing_id().alias("_at")).where(F.trim("value") != "")
+            tails[file] = whole.orderBy(F.col("_at").desc()).first()["value"]
+        last = F.create_map(*[F.lit(x) for pair in tails.items() for x in pair])[F.col("file_path")] if tails else F.lit(None).cast("string")
+        broken = broken.where(~F.coalesce(F.col("value") == last, F.lit(False)))
+    if bad := broken.select("file_path", "value").head(1):
+        raise ValueError(f"a broken line in {bad[0][0]}: {bad[0][1][:200]}")
+    df = parsed.where("row._broken is null").select(*[F.col("row")[f.name].alias(f.name) for f in columns.fields])
+    if unique:
+        require_complete(require_unique(df, unique), unique)
+    return df
 
 
 def rankings(spark: SparkSession, path: str, wanted: DataFrame | None = None, k: int | None = None) -> DataFrame:
@@ -110,3 +128,22 @@ def first_group(df: DataFrame, key: str, order: str) -> DataFrame:
     """The rows of the group that comes first."""
     first = df.select(order, key).orderBy(order, key).limit(1).select(F.col(key).alias("_first"))
     return df.join(F.broadcast(first), F.col(key) == F.col("_first"), "left_semi")
+
+
+def results_csv(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None) -> DataFrame:
+    """Some columns of delimited results with a header, by an explicit schema; a line that doesn't fit it raises."""
+    df = spark.read.schema(schema).option("header", True).option("escape", '"').option("mode", "FAILFAST").csv(path)
+    return df.select(*columns) if columns else df
+
+
+def flat_shards(spark: SparkSession, path: str, first: int, last: int, docid: str = "bigint") -> DataFrame:
+    """Vectors of a contiguous range of shards, in their order; a missing shard raises. Other shards aren't read."""
+    return shards(spark.read.schema(f"docid {docid}, vector array<float>, place int, shard_id int").parquet(path), first, last)
+
+
+def points(df: DataFrame, wanted: DataFrame, ordinal: str, key: str) -> DataFrame:
+    """The rows at the wanted ordinals (columns ordinal and key); raises if one is missing or its key isn't the one expected."""
+    found = wanted.select(ordinal, F.col(key).alias("_key")).join(df, ordinal, "left")
+    if odd := found.where(~F.col(key).eqNullSafe(F.col("_key"))).head(1):
+        raise KeyError(f"at {odd[0][ordinal]} stands {odd[0][key]}, not {odd[0]['_key']}")
+    return found.drop("_key")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
-from ..sources.writers import RankingStore
+from ..sources.writers import RankingStore, append_log
 
 
 def retrieve_arriving(spark: SparkSession, folder: str, store: RankingStore, retrieve: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
@@ -22,6 +24,49 @@ def retrieve_arriving(spark: SparkSession, folder: str, store: RankingStore, ret
     return arriving.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def log_arriving(spark: SparkSession, folder: str, schema: str, path: str, key: str, checkpoint: str) -> StreamingQuery:
+    """Appends arriving rows of Parquet files to a log, once for each key, also when a micro-batch runs again."""
+    arriving = spark.readStream.schema(schema).parquet(folder)
+    return arriving.writeStream.foreachBatch(lambda batch, _: append_log(batch, path, key) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def running_moments(values: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """by, n, sum, squares, least and most, of a stream (kept up to date, output mode complete or update) or a table; moments_of finishes them."""
+    v = F.col(value).cast("double")
+    return values.groupBy(*by).agg(F.count(v).alias("n"), F.sum(v).alias("total"), F.sum(v * v).alias("squares"), F.min(v).alias("least"), F.max(v).alias("most"))
+
+
+def moments_of(running: DataFrame, by: list[str]) -> DataFrame:
+    """by, n, mean, deviation (of the population), least and most."""
+    mean = F.col("total") / F.col("n")
+    return running.select(*by, "n", F.round(mean, 9).alias("mean"), F.round(F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / F.col("n") - mean * mean)), 6).alias("deviation"), "least", "most")
+
+
+DIALOGUE = "conv_id long, turn_id int, depth int, history array<string>, question string"
+
+
+def growing_dialogues(messages: DataFrame, most: int = 1_000) -> DataFrame:
+    """A row for each question as it arrives, with the dialogue so far: messages (conv_id, turn, role, text) of a stream; a dialogue's
+    state is its last `most` texts. Within a micro-batch messages are taken by turn; a message that repeats a turn already seen is passed
+    over."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, turns, history = state.get if state.exists else (-1, 0, [])
+        history, out = list(history), []
+        for m in sorted((m for rows in batches for m in rows.itertuples(index=False)), key=lambda m: m.turn):
+            if m.turn <= seen:
+                continue
+            seen = int(m.turn)
+            if m.role == "user":
+                turns += 1
+                out.append((key[0], turns, len(history), list(history), m.text))
+            history = [*history, m.text or ""][-most:]
+        state.update((seen, turns, history))
+        yield pd.DataFrame(out, columns=["conv_id", "turn_id", "depth", "history", "question"])
+
+    return messages.groupBy("conv_id").applyInPandasWithState(step, DIALOGUE, "seen int, turns int, history array<string>", "append", "NoTimeout")
+
+
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """window_start, event_type, n and total of events (ts, event_type, value) by event time; a stream's events later than the watermark go."""
     timed = events.withWatermark("ts", late) if events.isStreaming else events
