@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import Remembering, arrow_rows, once, schema_with
 
-#: Pre-tokens that a task remembers at most (a matter of speed, not of results).
-REMEMBERED = 120_000
+#: Bytes of pre-tokens that a task remembers at most (a matter of speed, not of results).
+REMEMBERED = 32 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -148,7 +148,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     (what decode() gives, in the same pass); columns of these names are replaced.
 
     A null or empty text has no tokens and empty ids. Any length of text is taken whole.
-    Rows are independent: ties, repeated rows and clashing extra columns change nothing.
+    Rows are independent: ties, repeated rows and clashing extra columns change nothing; an empty table gives an empty one.
     """
     shared = df.sparkSession.sparkContext.broadcast(PerfectHash(load_ranks(ranks_path)).state())
     kept, key = df.drop(ids, n_tokens, *([decoded] if decoded else [])), uuid.uuid4().hex

@@ -173,21 +173,28 @@ def once(kind: str, key, make: Callable):
     return _held()[kind][1]
 
 
+#: Keys of more characters are worked out each time: they seldom come again and would fill the memory.
+LONG = 64
+
+
 class Remembering(dict):
-    """A dictionary that works out missing entries and keeps between n and 2n of those met lately."""
+    """A dictionary that works out missing entries and keeps those met lately, of at most twice so many bytes. Long keys aren't kept."""
 
-    def __init__(self, n: int):
+    def __init__(self, most: int):
         super().__init__()
-        self.n, self.old = n, {}
+        self.most, self.held, self.old = most, 0, {}
 
     def __missing__(self, key):
         if (found := self.old.pop(key, None)) is None:
             found = self.work_out(key)
+            if len(key) > LONG:
+                return found
         self[key] = found
+        self.held += sys.getsizeof(key) + sys.getsizeof(found) + 100
         return found
 
     def age(self) -> None:
         """To be called between texts."""
-        if len(self) > self.n:
-            self.old = dict(self)
+        if self.held > self.most:
+            self.old, self.held = dict(self), 0
             self.clear()

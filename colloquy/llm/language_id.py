@@ -14,11 +14,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, fold, schema_with, slices
+from .common import arrow_rows, fold, schema_with, slices, squeezed, unsqueezed
 
 DIMS = 1 << 12
-#: At most so many labelled rows fit the model, spread evenly over languages, and so many languages (the most frequent).
-FIT_ROWS, LANGUAGES = 2_000, 200
+#: About so many labelled rows fit the model at most, spread evenly over all languages; a language has one at least.
+FIT_ROWS = 2_000
 CENTROIDS = 3
 UNKNOWN = "und"
 #: ASCII bytes other than lower-case letters become spaces.
@@ -69,18 +69,23 @@ def fit(rows: np.ndarray, langs: list[str]) -> dict:
 
 
 def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
-    """A model from docs (doc_id, text, lang) already held to the training rows; rows without language, text or letter are left out."""
+    """A model from docs (doc_id, text, lang) already held to the training rows; rows without language, text or letter are left out.
+
+    Every language among them is learnt. Rows are drawn by a hash of id and text, and rows that repeat both count once, so the
+    sample that is gathered has about fit_rows rows at any size of docs. Without usable rows every text is unknown.
+    """
     usable = docs.where("lang is not null and text is not null")
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = usable.groupBy("lang").count().orderBy("lang").collect()  # a row for each language
     if not sizes:
         return fit(np.zeros((0, DIMS)), [])
     each = fit_rows // len(sizes) or 1
-    share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], float(min(1.0, 0.9 * each / r["count"])))])
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_003)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * 1_000_003).select("doc_id", "lang", "text")
+    share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], float(min(1.0, max(0.9 * each, 4) / r["count"])))])
+    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 40)) < share[F.col("lang")] * float(1 << 40)
+    chosen = usable.where(drawn).select("doc_id", "lang", "text").distinct()
 
     def per_partition():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [None if (c := counts(x)) is None else np.minimum(c, 65535).astype(np.uint16).tobytes() for x in batch.column(2).to_pylist()]
+            found = [None if (c := counts(x)) is None else squeezed(c) for x in batch.column(2).to_pylist()]
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "lang", "counts"])
 
         return step
@@ -89,7 +94,7 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     for r in arrow_rows(chosen, schema_with(chosen.select("doc_id", "lang"), "counts binary"), per_partition).where("counts is not null").collect():
         kept.setdefault(r["lang"], []).append((r["doc_id"] if r["doc_id"] is not None else -1, bytes(r["counts"])))
     rows = [(g, c) for g in sorted(kept) for _, c in sorted(kept[g])[:each]]
-    return fit(np.stack([np.frombuffer(c, np.uint16) for _, c in rows]) if rows else np.zeros((0, DIMS)), [g for g, _ in rows])
+    return fit(np.stack([unsqueezed(c) for _, c in rows]) if rows else np.zeros((0, DIMS)), [g for g, _ in rows])
 
 
 def identify(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
@@ -97,7 +102,7 @@ def identify(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
 
     lang_pred is `und` for null texts and those without a letter (score 0, rejected); the nearest centroid names it
     otherwise, also where its distance rejects it. Among equally near ones the first language by name wins. Clashing
-    columns are replaced.
+    columns are replaced. Texts of any length are taken whole; rows that repeat are judged each, alike; an empty table gives an empty one.
     """
     kept = df.drop("lang_pred", "score", "rejected")
     at, shared = kept.columns.index(text), df.sparkSession.sparkContext.broadcast(model)

@@ -28,6 +28,10 @@ from .common import LOWER, Remembering, arrow_rows, mix, once, schema_with, tabl
 K, T = 48, 22
 #: Id tables of up to so many rows (8 bytes each) are broadcast to pick texts; larger ones are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Bytes of word hashes that a task remembers at most.
+REMEMBERED = 48 << 20
+#: Followers of a leader that one task confirms, about.
+FOLLOWERS = 1_000
 #: Rounds of leaders at most before the remaining classes are paired.
 ROUNDS = 2
 
@@ -71,7 +75,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
     kept = docs.select("doc_id", "text")
 
     def per_partition():
-        hashes = once("words", 0, lambda: WordHashes(200_000))
+        hashes = once("words", 0, lambda: WordHashes(REMEMBERED))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingles(x, width, hashes) for x in batch.column(1).to_pylist()]
@@ -91,28 +95,37 @@ def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, width: int, least: tuple[int, int]) -> DataFrame:
-    """Those pairs (a, b) whose full sets have least[1] * intersection >= least[0] * union. pairs is a written table."""
+    """Those pairs (a, b) whose full sets have least[1] * intersection >= least[0] * union. pairs is a written table.
+
+    A leader's followers are dealt to shares of about FOLLOWERS; its text goes once to each share, and each follower's once.
+    """
     ids = table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
-    texts = picked(docs.select("doc_id", "text"), ids)
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    texts = picked(docs.select("doc_id", "text"), ids).dropDuplicates(["doc_id"])
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / FOLLOWERS).cast("int").alias("shares"))
+    dealt = pairs.join(shares, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int"))
+    leaders = dealt.select("a", "share").distinct().join(texts.select(F.col("doc_id").alias("a"), "text"), "a").select("a", "share", F.lit(None).cast(pairs.schema["b"].dataType).alias("b"), "text")
+    followers = dealt.select("a", "share", "b").join(texts.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "share", "b", "text")
+    lined = leaders.union(followers).repartition("a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
 
     def per_partition():
-        hashes = once("words", 0, lambda: WordHashes(200_000))
-        last: list = [None, None]
+        hashes = once("words", 0, lambda: WordHashes(REMEMBERED))
+        leader: list = [None]
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if last[0] != x:
-                    last[:] = [x, shingles(x, width, hashes)]
-                one, other = last[1], shingles(y, width, hashes)
-                common = len(np.intersect1d(one, other, assume_unique=True))
-                good.append(common > 0 and least[1] * common >= least[0] * (len(one) + len(other) - common))
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
+            for b, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                found = shingles(x, width, hashes)
+                if b is None:
+                    leader[0] = found
+                    good.append(False)
+                    continue
+                common = len(np.intersect1d(leader[0], found, assume_unique=True))
+                good.append(common > 0 and least[1] * common >= least[0] * (len(leader[0]) + len(found) - common))
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
         return step
 
-    return arrow_rows(both.select("a", "b", "text_a", "text_b"), pairs.select("a", "b").schema, per_partition, "words")
+    return arrow_rows(lined, pairs.select("a", "b").schema, per_partition, "words")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -147,7 +160,8 @@ def groups(docs: DataFrame, width: int = 5, least: tuple[int, int] = (80, 100))
     Rows are linked if least[1] * intersection >= least[0] * union of their sets of word shingles (A-Z lower-cased, words cut
     at ASCII white space; with fewer words than `width`, all words are one shingle). Rows without words are linked with
     nothing. component_id is the least doc_id reachable, kept marks the row of that id. Null ids take part in nothing and
-    have a null component and kept false. Rows that repeat a doc_id share its component. Extra columns are ignored.
+    have a null component and kept false. Rows that repeat a doc_id share its component. Extra columns are ignored, whatever their
+    names. Very long texts are taken whole. An empty table gives an empty one.
     """
     every = table(signed(docs, width), "near-signed")
     worded = every.where("digest is not null and doc_id is not null")
@@ -184,7 +198,7 @@ def between(docs: DataFrame, rest: DataFrame, width: int, least: tuple[int, int]
     kept = picked(docs.select("doc_id", "text"), table(rest.select(F.col("rep").alias("doc_id")), "near-ids"))
 
     def per_partition():
-        hashes = once("words", 0, lambda: WordHashes(200_000))
+        hashes = once("words", 0, lambda: WordHashes(REMEMBERED))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingles(x, width, hashes).view(np.int64) for x in batch.column(1).to_pylist()]

@@ -135,31 +135,32 @@ def _sampled(df: DataFrame, doc_id: str, most: int) -> DataFrame:
 
 def _matrix(df: DataFrame, doc_id: str, most: int) -> np.ndarray:
     """Fixed-size features of at most `most` rows, the same in each run."""
-    rows = sorted((r[0] if r[0] is not None else -1, bytes(r[1])) for r in with_features(df).select(doc_id, "features").collect())[:most]
+    rows = sorted((r[0], bytes(r[1])) for r in with_features(df.distinct()).select(doc_id, "features").collect())[:most]
     return np.stack([np.frombuffer(f, np.float32) for _, f in rows]) if rows else np.zeros((0, N_FEATURES), np.float32)
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     """A model from docs (doc_id, text) and labels (doc_id, quality), both already held to the training rows.
 
-    Repeated label rows count once; labels of other values than 1 are not used.
+    Repeated label rows count once, as do rows that repeat id and text; labels of other values than 1 are not used, nor are rows of
+    null ids. About fit_rows rows of each kind are gathered at any size of docs. Without any, every score is 1/2.
     """
     trusted = labels.where(F.col("quality") == 1).select("doc_id").where("doc_id is not null").distinct()
     positive = _matrix(docs.select("doc_id", "text").join(_sampled(trusted, "doc_id", fit_rows), "doc_id", "left_semi"), "doc_id", fit_rows)
-    chosen = _sampled(docs.select("doc_id"), "doc_id", fit_rows).distinct()
+    chosen = _sampled(docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id", fit_rows)
     unlabelled = _matrix(docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi"), "doc_id", fit_rows)
     return fit(positive, unlabelled)
 
 
 def score(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """Adds score (0 to 1) and predicted (1 from 0.5 on) from the whole text alone; null and empty texts get a score too.
-    Clashing columns are replaced; equal texts get equal scores."""
+    """Adds score (0 to 1) and predicted (1 from 0.5 on) from the whole text alone, however long; null and empty texts get a score too.
+    Clashing columns are replaced; equal texts and repeated rows get equal scores; an empty table gives an empty one."""
     kept = df.drop("score", "predicted")
     at, shared = kept.columns.index(text), df.sparkSession.sparkContext.broadcast(model)
 
     def per_partition():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [score_features(features(x)[None, :], shared.value)[0] for x in batch.column(at).to_pylist()]
+            found = score_features(np.stack([features(x) for x in batch.column(at).to_pylist()]), shared.value).tolist()
             more = [pa.array(found, pa.float64()), pa.array([int(s >= 0.5) for s in found], pa.int32())]
             return pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "score", "predicted"])
 

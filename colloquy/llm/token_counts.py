@@ -9,7 +9,7 @@ questions without encoding anything again.
 
 Texts are cut into units where no vocabulary piece can reach across: before a space after
 another character, around line feeds, and before punctuation that no piece has after a
-letter or digit. A task remembers the differences of the units it met lately.
+letter or digit. A task remembers the differences of the units it met lately, within a number of bytes.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from pyspark.sql.types import LongType
 from .common import Remembering, arrow_rows, once, schema_with
 
 SPACE = "▁"
-#: Units and token pairs that a task remembers at most (a matter of speed, not of results).
-REMEMBERED = 500_000
+#: Bytes of units, and number of token pairs, that a task remembers at most (a matter of speed, not of results).
+REMEMBERED, PAIRS = 96 << 20, 500_000
 
 
 def load_pieces(path: str) -> dict[str, int]:
@@ -96,7 +96,7 @@ class PrefixCounter(Remembering):
         if not text:
             return np.zeros(0, np.int8)
         self.age()
-        if len(self.pairs) > REMEMBERED:
+        if len(self.pairs) > PAIRS:
             self.pairs.clear()
         steps = np.frombuffer(b"".join(map(self.__getitem__, self.units(" " + text.replace(SPACE, " ")))), np.int8).copy()
         steps[1] += steps[0]
@@ -107,7 +107,9 @@ def prefix_counts(df: DataFrame, model_path: str, text: str = "text", budgets: t
     """Adds the token count; for each budget b fit_b, the code points of the longest prefix of at most b tokens; steps, if
     named, the stored differences (binary, a signed byte a code point), for tokens_at() and longest_fit().
 
-    Null and empty texts have 0 tokens, fits of 0 and no differences. Clashing columns are replaced.
+    Null and empty texts have 0 tokens, fits of 0 and no differences. Texts of any length are counted whole, also a single unit of
+    a whole text. Rows are independent: ties and repeated rows get the same counts each, an empty table gives an empty one. Clashing
+    columns are replaced.
     """
     names = [n_tokens, *(f"fit_{b}" for b in budgets), *([steps] if steps else [])]
     kept = df.drop(*names)
