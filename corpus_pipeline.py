@@ -1,7 +1,11 @@
 """The corpus pipeline: quality, language, near duplicates, benchmark leaks, tokens.
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; all
-but the last return docs' columns. Empty tables pass through; null texts are judged as empty.
+but the last return the columns of documents, so that columns of other names, clashing ones
+too, go with the first stage. Empty tables pass through; null texts are judged as empty; very
+long texts are judged whole. Quality, language and tokens judge each row by itself, so ties and
+repeated rows fare alike; in the others rows of one id stay or go together, and rows of null
+ids stay.
 """
 
 from __future__ import annotations
@@ -29,8 +33,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language identification doesn't reject: those with letters, near enough to a known language."""
-    return language_id.identify(docs.select(*COLUMNS), language_id.trained(docs)).where("not rejected").select(*COLUMNS)
+    """Documents that language identification doesn't reject: those with letters, near enough to a known language. Where no row that is
+    learnt from names a language nothing can be told, and all rows stay."""
+    model = language_id.trained(docs)
+    if not model["names"]:
+        return docs.select(*COLUMNS)
+    return language_id.identify(docs.select(*COLUMNS), model).where("not rejected").select(*COLUMNS)
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
