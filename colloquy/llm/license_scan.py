@@ -114,14 +114,37 @@ class Template:
 
 #: Base phrases: exact wording, all places.
 BASE = [("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc")]
-#: Templates whose labels the method adds.
+# Templates whose labels the method adds; whole texts of licenses, then notices and tags.
 OWN = [
-    ("mit-notice", "released under the mit license"),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this {{4}} and associated documentation files [[the software]] to deal in the {{4}} without restriction"),
+    ("mit-text", """permission is hereby granted free of charge to any person obtaining a copy of this {{2}} and associated documentation files [[the software]]
+     to deal in the {{1}} without restriction including without limitation the rights to use copy modify merge publish distribute [[sublicense]] and or sell copies of the
+     {{1}} and to permit persons to whom the {{1}} is furnished to do so subject to the following conditions the above copyright notice and this permission notice
+     [[including the next paragraph]] shall be included in all copies or substantial portions of the {{1}} the {{1}} is provided as is without warranty of any kind
+     express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {{6}}
+     be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the {{1}}
+     or the use or other dealings in the {{1}}"""),
+    ("isc-text", """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright
+     notice and this permission notice appear in all copies the software is provided as is and {{6}} disclaims all warranties with regard to this software including all
+     implied warranties of merchantability and fitness in no event shall {{6}} be liable for any special direct indirect or consequential damages or any damages whatsoever
+     resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or
+     performance of this software"""),
+    ("bsd-text", """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]]
+     redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must
+     reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"""),
+    ("bsd-3-clause-text", """neither the name of {{8}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific
+     prior written permission"""),
+    ("zlib-text", """this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of
+     this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to
+     the following restrictions"""),
+    ("apache-2.0-text", """licensed under the apache license version 2 0 [[the license]] you may not use this file except in compliance with the license you may obtain a copy of the
+     license at [[http]] [[https]] www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is
+     distributed on an as is basis without warranties or conditions of any kind either express or implied"""),
+    ("gpl-text", """this program is free software you can redistribute it and or modify it under the terms of the gnu [[lesser]] [[affero]] general public license as published by the
+     free software foundation either version {{2}} of the license or at your option any later version"""),
+    ("mit-notice", "released under [[the terms of]] the mit license"),
     ("apache-2.0-notice", "licensed under the apache license version 2 0 [[the license]]"),
     ("cc-by-nc-4.0-notice", "licensed under [[a]] [[the]] [[creative commons]] cc by nc 4 0"),
     ("cc-by-4.0-notice", "licensed under [[a]] [[the]] [[creative commons]] cc by 4 0"),
-    ("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("gpl-notice", "under the terms of the gnu [[lesser]] [[affero]] general public license"),
     ("mpl-2.0-notice", "subject to the terms of the mozilla public license v 2 0"),
     ("spdx-tag", "spdx license identifier"),
@@ -156,7 +179,8 @@ def scan(df: DataFrame, templates: list[tuple[str, str, bool]] | None = None, te
     """Adds n_words, n_base (places of base phrases), first_word, last_word (null without any), base_labels, labels (distinct,
     sorted, comma-joined, empty without any) and score: m / (m + 1) for m mandatory words in the templates found.
 
-    templates: (label, markup, whether it is a base phrase). Null and empty texts have no words. Clashing columns are replaced.
+    templates: (label, markup, whether it is a base phrase). Null and empty texts have no words. Clashing columns are replaced. Texts
+    are scanned whole, however long, and each by itself, so repeated rows agree; an empty table gives an empty one.
     """
     names = [part.split()[0] for part in SCHEMA.split(", ")]
     kept = df.drop(*names)

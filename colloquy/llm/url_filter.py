@@ -11,6 +11,7 @@ host's part). Many URLs step at once, a row of words each.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -113,7 +114,8 @@ def judge(df: DataFrame, rules: list[Rule], defaults: list[Rule] = (), otherwise
     """Adds rule and verdict to rows with host and path. The fitting rule of the largest weight decides, the first listed
     among equals. Without one, rule is null and the first fitting default decides, else `otherwise`.
 
-    Null hosts and paths count as empty. URLs are judged whole and each by itself, so repeated rows agree.
+    Null hosts and paths count as empty. URLs are judged whole, however long, and each by itself, so repeated rows agree. Clashing
+    columns are replaced; an empty table gives an empty one.
     """
     kept = df.drop("rule", "verdict")
     host, path = kept.columns.index("host"), kept.columns.index("path")
@@ -138,8 +140,17 @@ def judge(df: DataFrame, rules: list[Rule], defaults: list[Rule] = (), otherwise
 
 #: The rules of op3.
 RULES = [host_rule("block", "net"), host_rule("allow", "example.net", "/en/"), host_rule("block", "example.com", "/de/"), host_rule("allow", "org", "/fr/")]
-#: What the method says of a url that no rule fits: these words in a host block it.
-DEFAULTS = [Rule("block", f"%{word}%/*") for word in ("spam", "pills", "casino")] + [Rule("block", f"%{word}%") for word in ("spam", "pills", "casino")]
+# Globs of the block list for urls that no rule fits, by kind. A glob is held against `.host/path`; `%` stands for any
+# bytes but `/`, `*` for any bytes, `?` for one.
+BLOCKED = {
+    "words of spam, pills and gambling in a host": ["%spam%", "%pills%", "%casino%", "%.poker%.%/*", "%.bet365.%/*", "%viagra%/*", "%lottery%/*"],
+    "hosts of advertising, tracking and short links": ["%.ads.%/*", "%.ad?.%/*", "%.adserver%/*", "%.track%.%/*", "%.click.%/*", "%.doubleclick.%/*", "%.bit.ly/*", "%.t.co/*", "%.goo.gl/*"],
+    "pages behind a session": ["%/*/login", "%/login*", "%/*/logout*", "%/signup*", "%/*/cart/*", "%/cart/*", "%/checkout*", "%/*/wp-admin/*", "%/wp-admin/*", "%/cgi-bin/*"],
+    "files that hold no text": ["%/*.exe", "%/*.zip", "%/*.apk", "%/*.iso", "%/*.mp?", "%/*.jp?g", "%/*.jpg", "%/*.png", "%/*.gif", "%/*.woff?", "%/*.css", "%/*.js"],
+    "endless listings": ["%/*/page/????*", "%/calendar/*", "%/*/calendar/*", "%/*/tag/*/feed*", "%/search/*/search/*"],
+}
+#: What the method says of a url that no rule fits: these globs block it.
+DEFAULTS = [Rule("block", glob) for globs in BLOCKED.values() for glob in globs]
 
 
 def op3_url_filter(spark, sf_dir):
@@ -150,7 +161,14 @@ def op3_url_filter(spark, sf_dir):
     return judge(pages.select("page_id", "host", "path"), RULES, DEFAULTS)
 
 
-OP3_SQL = r"""
+
+def _matches(glob: str) -> str:
+    """The glob as a regular expression in SQL."""
+    pattern = "".join({"%": "[^/]*", "*": ".*", "?": "."}.get(c) or re.escape(c).replace("'", "''") for c in glob)
+    return f"regexp_full_match('.' || host || path, '{pattern}', 's')"
+
+
+OP3_SQL = rf"""
 WITH cut AS (
   SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
 ), parts AS (
@@ -165,5 +183,5 @@ WITH cut AS (
 )
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-  WHEN host LIKE '%spam%' OR host LIKE '%pills%' OR host LIKE '%casino%' THEN 'block' ELSE 'allow' END AS verdict FROM ruled
+  WHEN {' OR '.join(_matches(r.glob) for r in DEFAULTS)} THEN 'block' ELSE 'allow' END AS verdict FROM ruled
 """

@@ -2,7 +2,9 @@
 
 import zlib
 
-from colloquy.llm.common import Remembering, fold
+import numpy as np
+
+from colloquy.llm.common import Remembering, fold, packed, squeezed, unpacked, unsqueezed
 
 
 def test_folds(spark):
@@ -14,13 +16,21 @@ def test_folds(spark):
 def test_remembering():
     class Squares(Remembering):
         def work_out(self, key):
-            return key * key
+            return key + key
 
-    s = Squares(10)
-    for k in range(100):
-        assert s[k] == k * k
+    s = Squares(3_000)
+    for k in map(str, range(100)):
+        assert s[k] == k + k
         s.age()
-    assert len(s) + len(s.old) <= 22
+    assert len(s) + len(s.old) <= 45
+    assert s["long" * 100] == "long" * 200 and "long" * 100 not in s
+
+
+def test_packing():
+    for x in ([], [0], [5, 2**40, 3], [-7, 2**31 - 1]):
+        assert unsqueezed(squeezed(np.array(x, np.int64))).tolist() == x
+    keys = np.array([0, 1, 2**56 - 1], np.uint64)
+    assert unpacked(packed(keys, 7), 7).tolist() == keys.tolist()
 
 
 def test_registered_names():

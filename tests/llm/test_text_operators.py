@@ -32,6 +32,35 @@ def test_token_counts_at_every_prefix():
         assert counts == [len(model.encode(text[:n])) for n in range(1, len(text) + 1)], text
 
 
+def test_unspaced_texts_fill_no_memory():
+    """Texts without spaces make single long units, which are worked out and not kept."""
+    import sys
+
+    rng = random.Random(8)
+    counter = token_counts.PrefixCounter(token_counts.load_pieces(public.path("piece_bpe_32k.model")))
+    encoder = bpe.Encoder(bpe.PerfectHash(bpe.load_ranks(public.path("byte_bpe_50k.tiktoken"))), public.PATTERN)
+    for _ in range(40):
+        text = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(3000))
+        assert len(counter(text)) == 3000 and encoder(text)
+    for kept in (counter, encoder):
+        assert sum(sys.getsizeof(k) + sys.getsizeof(v) for part in (kept, kept.old) for k, v in part.items()) < 1 << 20
+        kept.most = 4_000
+        for n in range(2_000):
+            kept(f"word{n} x{n}") if kept is encoder else kept(f"word{n} x{n}")
+        assert kept.held < 8_000
+
+
+def test_empty_tables(spark, docs):
+    none = docs.limit(0)
+    model = quality.fit(np.zeros((0, quality.N_FEATURES), np.float32), np.zeros((0, quality.N_FEATURES), np.float32))
+    path = public.path("byte_bpe_50k.tiktoken")
+    assert token_counts.prefix_counts(none, public.path("piece_bpe_32k.model"), budgets=(3,)).count() == 0
+    assert bpe.decode(bpe.encode(none, path, public.PATTERN), path).count() == 0
+    assert license_scan.scan(none).count() == 0 and quality.score(none, model).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string")
+    assert url_filter.judge(url_filter.with_host_and_path(pages), url_filter.RULES, url_filter.DEFAULTS).count() == 0
+
+
 def test_token_count_columns(spark, docs):
     import sentencepiece
 
@@ -101,6 +130,24 @@ def test_license_templates():
         license_scan.Template("x", "[[open]] start")
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def test_whole_license_texts(spark):
+    """Optional and replaceable wording may differ; mandatory wording may not."""
+    texts = {
+        "whole": "Copyright 2020 Someone\n\n" + MIT, "replaced": MIT.replace("SHALL THE AUTHORS OR COPYRIGHT HOLDERS", "SHALL ACME INC"), "optional gone": MIT.replace("sublicense, ", "").replace('(the "Software"), ', ""),
+        "optional added": MIT.replace("this permission notice shall", "this permission notice (including the next paragraph) shall"), "mandatory changed": MIT.replace("free of charge", "for a fee"), "mandatory gone": MIT.replace("merge, ", ""), "cut": MIT[:-30], "too long a replacement": MIT.replace("THE AUTHORS OR", "THE VERY MANY AND NOT SO FAMOUS AUTHORS OR"),
+    }
+    found = {r.name: r.labels.split(",") for r in license_scan.scan(spark.createDataFrame(list(texts.items()), "name string, text string")).collect()}
+    assert {name for name, labels in found.items() if "mit-text" in labels} == {"whole", "replaced", "optional gone", "optional added"}
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
+    (row,) = license_scan.scan(spark.createDataFrame([(apache,)], "text string")).collect()
+    assert row.labels == "apache-2,apache-2.0-notice,apache-2.0-text" and row.base_labels == "apache-2"
+
+
 def brute_rule(host, path):
     best = None
     for r in url_filter.RULES:
@@ -125,7 +172,14 @@ def test_url_rules(spark):
         assert (r.host, r.path) == (host, path)
         rule = brute_rule(host, path)
         assert r.rule == (rule.name if rule else None), r
-        assert r.verdict == (rule.action if rule else "block" if any(w in host for w in ("spam", "pills", "casino")) else "allow")
+        blocked = any(re.fullmatch(re.escape(g.glob).replace("%", "[^/]*").replace(r"\*", ".*").replace(r"\?", "."), f".{host}{path}", re.S) for g in url_filter.DEFAULTS)
+        assert r.verdict == (rule.action if rule else "block" if blocked else "allow"), r
+
+
+@pytest.mark.parametrize(("url", "verdict"), [("http://ads.example.de/x", "block"), ("http://roads.example.de/x", "allow"), ("http://bet365.example.de/", "block"), ("http://better.example.de/", "allow"), ("http://a.de/shop/cart/7", "block"), ("http://a.de/shop/cartoon/7", "allow"), ("http://a.de/x/y.exe", "block"), ("http://a.de/x.exe/manual", "allow"), ("http://bit.ly/3", "block"), ("http://orbit.lyon.fr/3", "allow"), ("http://a.de/b/page/1234", "block"), ("http://a.de/b/page/12", "allow"), ("http://casino.org/fr/x", "allow")])
+def test_default_globs(spark, url, verdict):
+    df = spark.createDataFrame([(1, url)], "page_id long, url string")
+    assert url_filter.judge(url_filter.with_host_and_path(df), url_filter.RULES, url_filter.DEFAULTS).first().verdict == verdict
 
 
 def test_automaton_against_regular_expressions():
