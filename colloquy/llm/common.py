@@ -88,13 +88,15 @@ def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
-def grouped(df: DataFrame, by: list[str], run: Callable[[Iterator[tuple]], Iterator[pa.RecordBatch]], schema: StructType, then: list[str] = (), nulls_last: bool = False, parts: int = 200) -> DataFrame:
+def grouped(df: DataFrame, by: list[str], run: Callable[[Iterator[tuple]], Iterator[pa.RecordBatch]], schema: StructType, then: list[str] = (), nulls_last: bool = False, parts: int = 200, direct: bool = False) -> DataFrame:
     """run over (value, rows) for each value of the column `by`: its rows as tuples of all columns, that one first, ordered by `then`.
     A group's rows, packed blocks of a bounded number, are in one task's memory at once. parts: the number of tasks; as packed
-    rows take long for their size, it isn't left to their bytes."""
+    rows take long for their size, it isn't left to their bytes. direct: the value itself, modulo parts, names the task."""
     (key,) = by
     order = [F.col(c).asc_nulls_last() if nulls_last else F.col(c).asc_nulls_first() for c in then]
-    sorted_ = df.select(key, *[c for c in df.columns if c != key]).repartition(parts, key).sortWithinPartitions(key, *order)
+    rows = df.select(key, *[c for c in df.columns if c != key])
+    dealt = rows.repartitionById(parts, F.pmod(F.col(key), F.lit(parts)).cast("int")) if direct else rows.repartition(parts, key)
+    sorted_ = dealt.sortWithinPartitions(key, *order)
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         value, rows = None, []
@@ -150,14 +152,16 @@ def _held() -> dict:
 
 
 def release(but: str | None = None) -> None:
-    for kind in [k for k in _held() if k != but]:
+    gone = [k for k in _held() if k != but]
+    for kind in gone:
         del _held()[kind]
-    trim()
+    if gone:
+        gc.collect()
+        trim()
 
 
 def trim() -> None:
     """Hands freed memory back to the system, where the C library can."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):
         ctypes.CDLL(None).malloc_trim(0)

@@ -31,7 +31,7 @@ BROADCAST_IDS = 1_000_000
 #: Bytes of word hashes that a task remembers at most.
 REMEMBERED = 48 << 20
 #: Followers of a leader that one task confirms, about.
-FOLLOWERS = 1_000
+FOLLOWERS = 100
 #: Rounds of leaders at most before the remaining classes are paired.
 ROUNDS = 2
 
