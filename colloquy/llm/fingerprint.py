@@ -91,7 +91,7 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     extra = rows.join(F.broadcast(ids), F.coalesce("doc_id", F.lit(-(2**63))) == F.col("first")).select("doc_id", "text", F.col("before").alias("range"), F.lit(True).alias("extra"))
     order = Window.partitionBy("range").orderBy("extra", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     # a partition for each range keeps the tables of terms below small
-    after = rows.unionByName(extra).repartition(len(bounds) + 1, "range").select("range", "extra", "doc_id", "text", F.lead("text").over(order).alias("next"), F.row_number().over(order).alias("row"))
+    after = rows.unionByName(extra).repartitionById(len(bounds) + 2, F.col("range") + 1).select("range", "extra", "doc_id", "text", F.lead("text").over(order).alias("next"), F.row_number().over(order).alias("row"))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.coalesce("next", F.lit("")), F.lit(1), half))
     return after.select("range", "row", "extra", "doc_id", "text", F.when(~F.col("extra"), edited).alias("edited"))
@@ -102,7 +102,8 @@ def compared(docs: DataFrame) -> DataFrame:
 
     near_edited: likeness of the text's fingerprint to the edited text's; near_next: to the next document's. Null and empty
     texts have empty fingerprints, which are like each other (1) and unlike all others (0). A single row is its own next.
-    Extra columns are ignored; rows that repeat are judged each.
+    Extra columns are ignored, whatever their names; rows that repeat are judged each. Very long texts are taken whole. An empty
+    table gives an empty one.
     """
     pairs = edited_pairs(docs)
     both = pairs.select("range", "row", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("text").alias("text")), F.struct(F.lit(1).alias("k"), F.col("edited").alias("text")))).alias("v"))

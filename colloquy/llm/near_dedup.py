@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Remembering, arrow_rows, mix, once, schema_with, table
+from .common import LOWER, Remembering, arrow_rows, discard, mix, once, schema_with, table
 
 K, T = 48, 22
 #: Id tables of up to so many rows (8 bytes each) are broadcast to pick texts; larger ones are joined by a shuffle.
@@ -140,7 +140,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = table(large, "near-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        state = table(small, "near-star")
+        older, state = state, table(small, "near-star")
+        discard(older)
+        discard(large)
         now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return state.select(F.col("u").alias("id"), F.col("v").alias("component")).union(state.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()

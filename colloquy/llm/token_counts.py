@@ -166,8 +166,9 @@ def op1_token_counts(spark, sf_dir):
     """doc_id, n_bytes, n_tokens, over_limit and fit_4096 of every document."""
     import public_tokenizers as public
 
-    from .common import read
+    from .common import read, table
 
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = prefix_counts(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text"), public.path("piece_bpe_32k.model"), budgets=(LIMIT,))
-    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), f"fit_{LIMIT}")
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    # the count at every prefix is stored; questions of budgets are answered from there
+    stored = table(prefix_counts(docs, public.path("piece_bpe_32k.model"), steps="steps").drop("text"), "token-counts")
+    return stored.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), longest_fit("steps", F.lit(LIMIT)).alias(f"fit_{LIMIT}"))
