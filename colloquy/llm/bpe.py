@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import Remembering, arrow_rows, once, schema_with
 
 #: Bytes of pre-tokens that a task remembers at most (a matter of speed, not of results).
-REMEMBERED = 32 << 20
+REMEMBERED = 20 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

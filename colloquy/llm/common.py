@@ -39,11 +39,12 @@ def schema_with(df: DataFrame, *more: str) -> StructType:
     return schema
 
 
-def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType, holds: str | None = None, gather: int = 0) -> DataFrame:
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType, holds: str | None = None, gather: int = 0, brief: bool = False) -> DataFrame:
     """mapInArrow in batches of at most BATCH_ROWS rows, which bounds what tasks hold inside and outside the JVM. (The session's
     spark.sql.execution.arrow.maxRecordsPerBatch is lowered to that if it is larger.) holds: the kind of thing that run keeps by
     once(); all that earlier queries kept in the worker goes, and freed memory returns to the system before and after. gather:
-    joins batches of short rows until they have so many."""
+    joins batches of short rows until they have so many. brief: for many short tasks, which look for unused memory only where
+    something held goes."""
     conf, name, size = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(conf.get(name)) <= BATCH_ROWS:
         conf.set(name, str(BATCH_ROWS))
@@ -51,9 +52,11 @@ def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
         conf.set(size, str(BATCH_BYTES))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release(holds)
+        if not release(holds) and not brief:
+            trim()
         yield from run(gathered(batches, gather))
-        trim()
+        if not brief:
+            trim()
 
     return df.mapInArrow(whole, schema)
 
@@ -110,7 +113,7 @@ def grouped(df: DataFrame, by: list[str], run: Callable[[Iterator[tuple]], Itera
         if rows:
             yield value, rows
 
-    return in_arrow(sorted_, lambda batches: run(groups(batches)), schema)
+    return in_arrow(sorted_, lambda batches: run(groups(batches)), schema, brief=True)
 
 
 def packed(keys: np.ndarray, width: int) -> bytes:
@@ -151,17 +154,19 @@ def _held() -> dict:
     return sys.modules.setdefault("_colloquy_held", types.ModuleType("_colloquy_held")).__dict__.setdefault("held", {})
 
 
-def release(but: str | None = None) -> None:
+def release(but: str | None = None) -> bool:
+    """Lets go of all that is held but one kind; whether there was anything."""
     gone = [k for k in _held() if k != but]
     for kind in gone:
         del _held()[kind]
     if gone:
-        gc.collect()
         trim()
+    return bool(gone)
 
 
 def trim() -> None:
     """Hands freed memory back to the system, where the C library can."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):
         ctypes.CDLL(None).malloc_trim(0)

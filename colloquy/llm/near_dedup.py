@@ -29,7 +29,7 @@ K, T = 48, 22
 #: Id tables of up to so many rows (8 bytes each) are broadcast to pick texts; larger ones are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Bytes of word hashes that a task remembers at most.
-REMEMBERED = 48 << 20
+REMEMBERED = 24 << 20
 #: Followers of a leader that one task confirms, about.
 FOLLOWERS = 100
 #: Rounds of leaders at most before the remaining classes are paired.
