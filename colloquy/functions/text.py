@@ -84,6 +84,11 @@ def first_nonempty(answers: Column) -> Column:
     return F.coalesce(F.get(F.filter(F.transform(answers, clean), lambda x: x != ""), 0), F.lit(""))
 
 
+def first_or_empty(answers: Column) -> Column:
+    """The first answer as it stands, blank or not; empty for an empty or null list and for a null."""
+    return F.coalesce(F.get(answers, 0), F.lit(""))
+
+
 def sample_id(split: Column, conv_id: Column, turn_id: Column) -> Column:
     """split:conv:turn; a null part reads None."""
     return F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("None")) for p in (split, conv_id, turn_id)])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from ..functions import text as T
+
 # Label ids of the collapsed tag set, the taxonomy, and the id of tokens that are not judged.
 TAGS = {"O": 0, "B-KEEP": 1, "I-KEEP": 2}
 TAXONOMY = {"O": 0, "ENTITY": 1, "CONCEPT": 2, "KEY_TERM": 3, "DEFINITION": 4, "RELATION_CUE": 5}
@@ -132,35 +135,79 @@ def sampled_path(scores: np.ndarray, moves: np.ndarray, uniforms: np.ndarray) ->
     return path[::-1]
 
 
-def surface_match(tokens: list[str], phrase: str) -> list[int]:
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def surface_match(tokens: Column, phrase: Column) -> Column:
     """Places of a phrase's words among tokens, compared without punctuation and case: its only unbroken run, else the first places at which its
-    words follow each other with gaps; none if they don't."""
-    fold = lambda t: re.sub(r"\W+", "", t).casefold()
-    have, want = [fold(t) for t in tokens], [w for w in map(fold, phrase.split()) if w]
-    runs = [k for k in range(len(have) - len(want) + 1) if have[k : k + len(want)] == want] if want else []
-    if len(runs) == 1:
-        return list(range(runs[0], runs[0] + len(want)))
-    places, at = [], 0
-    for w in want:
-        while at < len(have) and have[at] != w:
-            at += 1
-        if at == len(have):
-            return []
-        places.append(at)
-        at += 1
-    return places
-
-
-def kept_text(field: str, spans: list[tuple[int, int]]) -> str:
-    """A field's text under spans, held within it: chunks in order of place, white space as single spaces, chunks of punctuation alone and
-    repeats (but for case) left out."""
-    seen, out = set(), []
-    for a, b in sorted((max(0, a), min(len(field), b)) for a, b in spans):
-        chunk = " ".join(field[a:b].split())
-        if chunk and re.search(r"\w", chunk) and chunk.casefold() not in seen:
-            seen.add(chunk.casefold())
-            out.append(chunk)
-    return " ".join(out)
+    words follow each other with gaps; none if they don't. Nulls have no words."""
+    none = F.array().cast("array<int>")
+    fold = lambda t: T.casefold(F.regexp_replace(t, r"(?U)\W+", ""))
+    have = F.transform(F.coalesce(tokens, F.array().cast("array<string>")), fold)
+    want = F.filter(F.transform(T.words(phrase), fold), lambda w: w != "")
+
+    def found(x: Column) -> Column:
+        n, m = F.size(x["have"]), F.size(x["want"])
+        starts = F.when((m > 0) & (n >= m), F.sequence(F.lit(0), n - m)).otherwise(none)
+        runs = F.filter(starts, lambda k: F.slice(x["have"], k + 1, m) == x["want"])
+
+        def step(at: Column, word: Column) -> Column:
+            place = F.array_position(F.slice(x["have"], at["next"] + 1, n), word).cast("int")
+            whole = at["whole"] & (place > 0)
+            return F.struct(F.when(whole, at["next"] + place).otherwise(at["next"]).alias("next"), F.when(whole, F.concat(at["places"], F.array(at["next"] + place - 1))).otherwise(none).alias("places"), whole.alias("whole"))
+
+        spread = F.aggregate(x["want"], F.struct(F.lit(0).alias("next"), none.alias("places"), F.lit(True).alias("whole")), step, lambda at: at["places"])
+        return F.when(F.size(runs) == 1, F.transform(x["want"], lambda _, k: F.get(runs, 0) + k)).otherwise(spread)
+
+    return _bound(F.struct(have.alias("have"), want.alias("want")), found)
+
+
+def kept_text(field: Column, spans: Column) -> Column:
+    """A field's text under spans (list of start, end), held within it: chunks in order of place, white space as single spaces, chunks of
+    punctuation alone and repeats (but for case) left out. A null field or list gives an empty text."""
+    texts = F.array().cast("array<string>")
+    held = F.array_sort(F.transform(spans, lambda s: F.struct(F.greatest(F.lit(0), s["start"]).alias("a"), F.least(F.length(field), s["end"]).alias("b"))))
+    cut = F.transform(held, lambda s: T.clean(F.regexp_replace(F.substring(field, s["a"] + 1, F.greatest(F.lit(0), s["b"] - s["a"])), r"(?U)\s+", " ")))
+    chunks = F.transform(F.filter(cut, lambda x: x.rlike(r"(?U)\w")), lambda x: F.struct(x.alias("text"), T.casefold(x).alias("folded")))
+
+    def step(kept: Column, x: Column) -> Column:
+        longer = F.struct(F.concat(kept["seen"], F.array(x["folded"])).alias("seen"), F.concat(kept["out"], F.array(x["text"])).alias("out"))
+        return F.when(F.array_contains(kept["seen"], x["folded"]), kept).otherwise(longer)
+
+    joined = F.aggregate(chunks, F.struct(texts.alias("seen"), texts.alias("out")), step, lambda kept: F.array_join(kept["out"], " "))
+    return F.coalesce(joined, F.lit(""))
+
+
+def word_spans(words: Column) -> Column:
+    """start and end of each word of a list in the text that joins them by single spaces."""
+    start = lambda k: F.aggregate(F.slice(words, F.lit(1), k), F.lit(0), lambda n, w: n + F.length(w) + 1)
+    return F.transform(words, lambda w, k: _bound(start(k), lambda at: F.struct(at.alias("start"), (at + F.length(w)).alias("end"))))
+
+
+def projected(pieces: Column, scored: Column) -> Column:
+    """The largest score of those scored spans (start, end, score) that each piece (start, end) overlaps; 0 where there are none."""
+
+    def best(p: Column) -> Column:
+        over = F.filter(scored, lambda s: (s["start"] < p["end"]) & (p["start"] < s["end"]))
+        return F.coalesce(F.array_max(F.transform(over, lambda s: s["score"].cast("double"))), F.lit(0.0))
+
+    return F.transform(pieces, best)
+
+
+def pair_encoded(first: Column, second: Column, most: int, opening: str = "<s>", closing: str = "</s>") -> Column:
+    """tokens, segments (0 and 1) and kept (how many of the second list stay) of two lists of tokens between markers, `most` in all; only the
+    second is cut. A first list that leaves no room raises."""
+    room = F.lit(most - 3) - F.size(first)
+    kept = F.when(room < 0, F.raise_error(F.lit("the first text is too long")).cast("int")).otherwise(F.least(room, F.size(second)))
+
+    def put(n: Column) -> Column:
+        tokens = F.concat(F.array(F.lit(opening)), first, F.array(F.lit(closing)), F.slice(second, F.lit(1), n), F.array(F.lit(closing)))
+        segments = F.concat(F.array_repeat(F.lit(0), F.size(first) + 2), F.array_repeat(F.lit(1), n + 1))
+        return F.struct(tokens.alias("tokens"), segments.alias("segments"), n.alias("kept"))
+
+    return _bound(kept, put)
 
 
 def united_targets(labelled: DataFrame, scored: DataFrame, keys: list[str]) -> DataFrame:

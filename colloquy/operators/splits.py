@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import table
+from .statistics import preceding
+
 
 def salted(salt: str, *parts: str) -> Column:
     """A hex digest that orders rows the same way in each run."""
@@ -36,55 +39,85 @@ def fraction(units: DataFrame, unit: str, share: float, salt: str, stratum: str
     return keyed.join(F.broadcast(ranges), "_range").withColumn("split", F.when(place <= F.ceil(F.col("_all") * share), "first").otherwise("rest")).drop("_d", "_range", "_start", "_all")
 
 
-def exact_subset(sizes: DataFrame, unit: str, size: str, target: int, salt: str) -> list:
-    """Whole units whose sizes sum to the target exactly, the first such set in digest order; raises if there is none.
+def exact_subset(sizes: DataFrame, unit: str, size: str, target: int, salt: str) -> DataFrame:
+    """Rows of whole units whose sizes sum to the target exactly; raises if there are none such. A unit's size is 1 at least.
 
-    A reachability table over sums up to the target runs on the driver over one small row for each unit.
+    With units in order of their digests, the shortest run of them from the first that has a subset of that sum serves: it less the units
+    that make up its excess. Of the sums of excess, each is made up by the units that come first. The excess is nearly always below the
+    largest size, so that the driver sees the first few units of each size up to there and the runs' sums about the target; the window of
+    runs widens until one serves.
     """
     if target < 0:
         raise ValueError("the target can't be negative")
-    back: dict[int, tuple[int, object]] = {0: (-1, None)}
-    for row in sizes.orderBy(salted(salt, unit), unit).select(unit, size).toLocalIterator():
-        if row[1] < 1:
-            raise ValueError(f"{row[0]} has no rows")
-        for total in sorted((t for t in back if t + row[1] <= target), reverse=True):
-            back.setdefault(total + row[1], (total, row[0]))
-        if target in back:
-            break
-    if target not in back:
+    if odd := sizes.where((F.col(size) < 1) | F.col(size).isNull()).head(1):
+        raise ValueError(f"{odd[0][unit]} has no rows")
+    if not target:
+        return sizes.limit(0)
+    placed = table(preceding(sizes.select(unit, F.col(size).cast("long").alias("_s"), salted(salt, unit).alias("_d")), [], [F.col("_d"), F.col(unit)], F.col("_s")), "runs")
+    total, largest = placed.agg(F.sum("_s"), F.max("_s")).first()
+    if total is None or total < target:
         raise ValueError(f"no set of whole units has {target} rows")
-    chosen, at = [], target
-    while at:
-        at, member = back[at]
-        chosen.append(member)
-    return chosen
+    most = min(total - target, largest)
+    while True:
+        made = _made_up(placed, unit, most)
+        ends = placed.withColumn("_end", F.col("_before") + F.col("_s")).where((F.col("_end") >= target) & (F.col("_end") <= target + most)).select("_end").orderBy("_end")
+        for (end,) in ends.toLocalIterator():
+            found = made.get(end - target)
+            if found is not None and found[0] <= end:
+                out = [u for u in found[1]]
+                kept = placed.where(F.col("_before") < end).where(~F.col(unit).isin(out)) if out else placed.where(F.col("_before") < end)
+                return sizes.join(kept.select(unit), unit, "left_semi")
+        if most == total - target:
+            raise ValueError(f"no set of whole units has {target} rows")
+        most = min(total - target, 2 * most)
+
+
+def _made_up(placed: DataFrame, unit: str, most: int) -> dict[int, tuple[int, tuple]]:
+    """Of each sum up to `most` that whole units make up: where the last of them ends, and they; the sums' units come as early as can be.
+    Of each size only the first most / size units can be needed."""
+    order = Window.partitionBy("_s").orderBy("_before")
+    early = placed.where(F.col("_s") <= most).withColumn("_n", F.row_number().over(order)).where(F.col("_n") * F.col("_s") <= most)
+    made: dict[int, tuple[int, tuple]] = {0: (0, ())}
+    for row in early.orderBy("_before").select(unit, "_s", "_before").toLocalIterator():
+        for at in sorted((t for t in made if t + row[1] <= most), reverse=True):
+            made.setdefault(at + row[1], (row[2] + row[1], (*made[at][1], row[0])))
+    return made
 
 
 def depth_balanced(samples: DataFrame, bins: list[str], each: int, salt: str) -> DataFrame:
     """At most `each` samples (sample_id, conv_id, depth, bin) of each bin, deepest bin first, one of each conversation, exact depths balanced:
     the next comes from the depth chosen least so far, then from the one with the fewest conversations left, then the deepest.
 
-    The choice is sequential by nature; ranks and digests are worked out in Spark, and only the best row of each conversation and
-    bin (its deepest sample, then the least digest) reaches the one group that chooses.
+    The choice is sequential by nature, but can't go beyond the first rows of each bin and exact depth, as many as are chosen in all. Only
+    those, the other rows of their conversations and the sizes of the depths reach the one group that chooses.
     """
     d = samples.where(F.col("bin").isin(bins)).withColumn("_d", salted(salt, "sample_id"))
     order = Window.partitionBy("bin", "conv_id").orderBy(F.col("depth").desc(), "_d", "sample_id")
     rows = d.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("sample_id", F.col("conv_id").cast("string").alias("conv_id"), F.col("depth").cast("long").alias("depth"), "bin", "_d")
+    most = each * len(bins)
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("bin", "depth").orderBy("_d", "sample_id"))).where(F.col("_n") <= most)
+    known = rows.join(first.select("conv_id").distinct(), "conv_id", "left_semi").withColumn("_size", F.lit(None).cast("long"))
+    sizes = rows.groupBy("bin", "depth").agg(F.count("*").alias("_size"))
+    needed = known.unionByName(sizes, allowMissingColumns=True)
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         used, out = set(), []
         for name in bins:
-            left = {d: g.sort_values(["_d", "sample_id"]).to_dict("records") for d, g in rows[rows["bin"] == name].groupby("depth")}
+            of_bin = rows[rows["bin"] == name]
+            left = {int(d): int(n) for d, n in of_bin[of_bin["_size"].notna()][["depth", "_size"]].itertuples(index=False)}
+            held = of_bin[of_bin["_size"].isna()].sort_values(["_d", "sample_id"])
+            for conv, depth in held[["conv_id", "depth"]].itertuples(index=False):
+                left[int(depth)] -= conv in used
             taken = dict.fromkeys(left, 0)
             for place in range(each):
-                left = {d: open_rows for d, g in left.items() if (open_rows := [r for r in g if r["conv_id"] not in used])}
-                if not left:
+                if not (can := [d for d, n in left.items() if n]):
                     break
-                depth = min(left, key=lambda d: (taken[d], len(left[d]), -d))
-                row = left[depth].pop(0)
+                depth = min(can, key=lambda d: (taken[d], left[d], -d))
+                row = next(r for r in held[held["depth"] == depth].itertuples(index=False) if r.conv_id not in used)
                 taken[depth] += 1
-                used.add(row["conv_id"])
-                out.append((row["sample_id"], row["conv_id"], depth, name, place + 1))
+                left[depth] -= 1
+                used.add(row.conv_id)
+                out.append((row.sample_id, row.conv_id, depth, name, place + 1))
         return pd.DataFrame(out, columns=["sample_id", "conv_id", "depth", "bin", "place"])
 
-    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(choose, "sample_id string, conv_id string, depth long, bin string, place int")
+    return needed.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(choose, "sample_id string, conv_id string, depth long, bin string, place int")

@@ -7,13 +7,15 @@ that draw bootstrap and Monte-Carlo samples, one task for each group of results.
 from __future__ import annotations
 
 import hashlib
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import table
+
 DECIMALS = 9
 #: Draws of bootstraps and Monte-Carlo nulls.
 REPLICATES = 10_000
@@ -54,9 +56,49 @@ def moments(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return g.select(*by, "n", r(F.col("mean")).alias("mean"), r(F.col("variance")).alias("variance"), "least", "most", r(F.col("mean") - half).alias("low"), r(F.col("mean") + half).alias("high"))
 
 
+def matched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with the other columns of the one row of right that has its keys; null keys are equal. Without keys right is one row."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(named, same).drop(*[f"_right_{k}" for k in keys])
+
+
+def preceding(df: DataFrame, by: list[str], order: list[Column], weight: Column) -> DataFrame:
+    """Adds _before: the sum of the weights of the rows before in the group, by an order without ties.
+
+    Rows are dealt to ranges of group and order and written; only the ranges' sums meet, so that no task holds a whole group.
+    """
+    dealt = table(df.withColumn("_weight", weight).repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy(*by, "_part").agg(F.sum("_weight").alias("_sum"))
+    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = sums.select(*by, "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    within = F.sum("_weight").over(Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    both = matched(dealt.withColumn("_within", F.coalesce(within, F.lit(0))), starts, ["_part", *by])
+    return both.withColumn("_before", F.col("_start") + F.col("_within")).drop("_part", "_weight", "_within", "_start")
+
+
 def quantiles(df: DataFrame, value: str, by: list[str], points: dict[str, float]) -> DataFrame:
-    """Exact quantiles with linear interpolation, a column for each named point."""
-    return df.groupBy(*by).agg(*[F.round(F.percentile(value, F.lit(p)), DECIMALS).alias(name) for name, p in points.items()])
+    """Exact quantiles with linear interpolation, a column for each named point; null where a group has no values.
+
+    Rows become counts of each group's values, and these are placed by ranges.
+    """
+    counts = df.select(*by, F.col(value).alias("_v")).groupBy(*by, "_v").agg(F.count("_v").alias("_c"))
+    placed = preceding(counts, by, [F.col("_v")], F.col("_c"))
+    sized = matched(placed, placed.groupBy(*by).agg(F.sum("_c").alias("_n")), by)
+
+    def at(place: Column) -> Column:
+        here = (F.col("_before") <= place) & (place < F.col("_before") + F.col("_c"))
+        return F.max(F.when(here, F.col("_v").cast("double")))
+
+    def point(p: float) -> Column:
+        place = (F.col("_n") - 1) * F.lit(float(p))
+        low, high = F.floor(place), F.ceil(place)
+        mixed = (F.max(high) - F.max(place)) * at(low) + (F.max(place) - F.max(low)) * at(high)
+        return F.round(F.when(F.max(low) == F.max(high), at(low)).otherwise(mixed), DECIMALS)
+
+    return sized.groupBy(*by).agg(*[point(p).alias(name) for name, p in points.items()])
 
 
 def value_shares(df: DataFrame, column: str) -> DataFrame:
@@ -209,13 +251,38 @@ def matched_nulls(asks: DataFrame, group: str = "string", draws: int = REPLICATE
 
 
 def padding_report(lengths: DataFrame, batch: int, order: list[Column], by: list[str] | None = None) -> DataFrame:
-    """batches, tokens, padded and overhead when rows (column length) are dealt to batches in the given order within each group."""
-    place = F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)) - 1
-    batched = lengths.withColumn("_batch", F.floor(place / batch)).groupBy(*(by or []), "_batch").agg(F.sum("length").alias("t"), (F.max("length") * F.count("*")).alias("p"))
-    total = batched.groupBy(*(by or [])).agg(F.count("*").alias("batches"), F.sum("t").alias("tokens"), F.sum("p").alias("padded"))
+    """batches, tokens, padded and overhead when rows (column length) are dealt to batches within each group, in an order without ties."""
+    by = by or []
+    placed = preceding(lengths, by, order, F.lit(1))
+    batched = placed.withColumn("_batch", F.floor(F.col("_before") / batch)).groupBy(*by, "_batch").agg(F.sum("length").alias("t"), (F.max("length") * F.count("*")).alias("p"))
+    total = batched.groupBy(*by).agg(F.count("*").alias("batches"), F.sum("t").alias("tokens"), F.sum("p").alias("padded"))
     return total.withColumn("overhead", F.round(1 - F.col("tokens") / F.col("padded"), DECIMALS))
 
 
+def unknown_report(tokens: DataFrame, vocabulary: DataFrame, by: list[str], token: str = "token") -> DataFrame:
+    """by, tokens, unknown (tokens outside the vocabulary, one row a token) and share. Tokens are counted before they meet it."""
+    counts = tokens.groupBy(*by, token).agg(F.count("*").alias("n"))
+    known = vocabulary.select(token).distinct().withColumn("_known", F.lit(1))
+    g = counts.join(known, token, "left").groupBy(*by)
+    sums = g.agg(F.sum("n").alias("tokens"), F.coalesce(F.sum(F.when(F.col("_known").isNull(), F.col("n"))), F.lit(0)).alias("unknown"))
+    return sums.withColumn("share", F.round(F.col("unknown") / F.col("tokens"), DECIMALS))
+
+
+def length_comparison(lengths: DataFrame, arm: str, left: str, right: str, by: list[str]) -> DataFrame:
+    """by, left and right (mean lengths of both arms), delta, ratio and reduction (the share that right saves); lengths: column length."""
+    g = lengths.groupBy(*by).agg(F.avg(F.when(F.col(arm) == left, F.col("length"))).alias("l"), F.avg(F.when(F.col(arm) == right, F.col("length"))).alias("r"))
+    r = lambda c: F.round(c, DECIMALS)
+    ratio = F.try_divide(F.col("r"), F.col("l"))
+    return g.select(*by, r(F.col("l")).alias("left"), r(F.col("r")).alias("right"), r(F.col("r") - F.col("l")).alias("delta"), r(ratio).alias("ratio"), r(1 - ratio).alias("reduction"))
+
+
+def paired_interval(pairs: DataFrame, cluster: str, by: list[str], draws: int = REPLICATES, seed: int = 7) -> DataFrame:
+    """by, n, mean, low and high of paired's delta; clusters of units are drawn together."""
+    sums = cluster_sums(pairs, cluster, ["delta"], by)
+    n = pairs.groupBy(*by).agg(F.count("*").alias("n"))
+    return matched(n, cluster_bootstrap(sums, cluster, ["delta"], by, draws, seed).drop("metric"), by)
+
+
 def histogram(df: DataFrame, length: str, most: int, width: int) -> DataFrame:
     """from_length and n of the buckets of lengths 1 to most, empty ones included; longer ones count in the last."""
     buckets = df.sparkSession.range(0, -(-most // width)).select((F.col("id") * width + 1).alias("from_length"))

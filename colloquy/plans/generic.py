@@ -114,9 +114,10 @@ def length_buckets_padding(spark, d):
 
 @query(r"""WITH l AS (SELECT lang, len(regexp_extract_all(text, '\S+')) AS n FROM documents) SELECT lang, count(*) AS documents, sum(n)::BIGINT AS tokens, min(n) AS least, round(avg(n), 6) AS mean, max(n) AS most, round(quantile_cont(n, 0.9), 6) AS p90, round(avg((n > 384)::INT), 9) AS truncated FROM l GROUP BY lang""")
 def corpus_length_stats(spark, d):
-    n = F.size(T.words(F.col("text"))).cast("long")
-    g = read(spark, d, "documents").select("lang", n.alias("n")).groupBy("lang")
-    return g.agg(F.count("*").alias("documents"), F.sum("n").alias("tokens"), F.min("n").alias("least"), F.round(F.avg("n"), 6).alias("mean"), F.max("n").alias("most"), F.round(F.percentile("n", F.lit(0.9)), 6).alias("p90"), F.round(F.avg((F.col("n") > 384).cast("int")), 9).alias("truncated"))
+    lengths = read(spark, d, "documents").select("lang", F.size(T.words(F.col("text"))).cast("long").alias("n"))
+    g = lengths.groupBy("lang").agg(F.count("*").alias("documents"), F.sum("n").alias("tokens"), F.min("n").alias("least"), F.round(F.avg("n"), 6).alias("mean"), F.max("n").alias("most"), F.round(F.avg((F.col("n") > 384).cast("int")), 9).alias("truncated"))
+    ends = statistics.quantiles(lengths, "n", ["lang"], {"p90": 0.9})
+    return statistics.matched(g, ends, ["lang"]).withColumn("p90", F.round("p90", 6))
 
 
 @query(r"""WITH l AS (SELECT greatest(1, least(len(regexp_extract_all(text, '\S+')), 512)) AS n FROM documents), c AS (SELECT (n - 1) // 8 * 8 + 1 AS from_length, count(*) AS n FROM l GROUP BY 1)

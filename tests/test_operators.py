@@ -1,5 +1,6 @@
 """Hand-checked cases of the operators."""
 
+import hashlib
 import random
 from itertools import combinations
 
@@ -129,12 +130,15 @@ def test_text(spark):
 
 def test_splits(spark):
     sizes = spark.createDataFrame([("a", 3), ("b", 5), ("c", 2)], "conv string, n int")
-    chosen = splits.exact_subset(sizes, "conv", "n", 5, "s")
-    assert sum({"a": 3, "b": 5, "c": 2}[c] for c in chosen) == 5
-    with pytest.raises(ValueError):
-        splits.exact_subset(sizes, "conv", "n", 4, "s")
     reachable = {sum(c) for k in range(4) for c in combinations([3, 5, 2], k)}
-    assert 4 not in reachable
+    for target in range(12):
+        if target in reachable:
+            assert sum(r.n for r in splits.exact_subset(sizes, "conv", "n", target, "s").collect()) == target
+        else:
+            with pytest.raises(ValueError):
+                splits.exact_subset(sizes, "conv", "n", target, "s")
+    even = spark.createDataFrame([(k, 4 if k % 2 else 6) for k in range(40)], "conv int, n int")
+    assert sum(r.n for r in splits.exact_subset(even, "conv", "n", 98, "s").collect()) == 98
     units = spark.range(101).select(F.col("id").alias("u"))
     assert splits.fraction(units, "u", 0.3, "x").where("split = 'first'").count() == 31
     samples = spark.createDataFrame([(f"{c}:{k}", c, k, "all") for c in range(12) for k in range(2, 5)], "sample_id string, conv_id int, depth int, bin string")
@@ -222,12 +226,72 @@ def test_offsets_stand_where_they_say(spark):
         assert last.t[o.question_start :].startswith(q) and last.t[o.answer_start :].startswith(a + "\n\n")
 
 
-def test_surface_and_kept_text():
-    tokens = "The Analytical, engine and the engine".split()
-    assert spans.surface_match(tokens, "analytical engine") == [1, 2]
-    assert spans.surface_match(tokens, "the engine") == [4, 5]
-    assert spans.surface_match(tokens, "analytical the") == [1, 4] and spans.surface_match(tokens, "absent") == []
-    assert spans.kept_text("Ada  Lovelace, ada lovelace!", [(0, 13), (13, 14), (15, 27), (-3, 3)]) == "Ada Ada Lovelace"
+def test_surface_and_kept_text(spark):
+    tokens = F.array(*map(F.lit, "The Analytical, engine and the engine".split()))
+    asks = {"analytical engine": [1, 2], "the engine": [4, 5], "analytical the": [1, 4], "absent": [], "engine engine": [2, 5], "engine analytical": [], "": [], "the": [0], "--": []}
+    for phrase, places in asks.items():
+        assert one(spark, spans.surface_match(tokens, F.lit(phrase))) == places
+    assert one(spark, spans.surface_match(tokens, F.lit(None).cast("string"))) == []
+    at = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((0, 13), (13, 14), (15, 27), (-3, 3))])
+    assert one(spark, spans.kept_text(F.lit("Ada  Lovelace, ada lovelace!"), at)) == "Ada Ada Lovelace"
+    assert one(spark, spans.kept_text(F.lit(None).cast("string"), at)) == "" and one(spark, spans.kept_text(F.lit(""), at)) == ""
+
+
+def test_encoded_pairs(spark):
+    words = lambda text: F.split(F.lit(text), " ")
+    e = one(spark, spans.pair_encoded(words("a b"), words("c d e"), 7))
+    assert (e.tokens, e.segments, e.kept) == (["<s>", "a", "b", "</s>", "c", "d", "</s>"], [0, 0, 0, 0, 1, 1, 1], 2)
+    assert one(spark, spans.pair_encoded(words("a b"), words("c d e"), 5)).kept == 0
+    with pytest.raises(Exception, match="too long"):
+        one(spark, spans.pair_encoded(words("a b"), words("c"), 4))
+
+
+def test_ranged_quantiles_and_padding(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, float(v)) for g in ("a", "b", None) for v in rng.integers(0, 40, 300)] + [("a", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    points = {"least": 0.0, "median": 0.5, "p93": 0.93, "most": 1.0}
+    want = df.groupBy("g").agg(*[F.round(F.percentile("v", F.lit(p)), 9).alias(n) for n, p in points.items()])
+    key = lambda r: str(r[0])
+    assert sorted(statistics.quantiles(df, "v", ["g"], points).collect(), key=key) == sorted(want.collect(), key=key)
+    whole = statistics.quantiles(df, "v", [], {"median": 0.5}).first()
+    assert whole.median == np.median([v for _, v in rows if v is not None])
+    lengths = [int(n) for n in rng.integers(1, 90, 250)]
+    got = statistics.padding_report(spark.createDataFrame(list(enumerate(lengths)), "id int, length int").repartition(5), 16, [F.col("id")]).first()
+    batches = [lengths[k : k + 16] for k in range(0, 250, 16)]
+    assert (got.batches, got.tokens, got.padded) == (16, sum(lengths), sum(max(b) * len(b) for b in batches))
+
+
+def test_depth_balanced_chooses_as_over_all_rows(spark):
+    rng = random.Random(3)
+    bins = ["deep", "shallow"]
+    rows = [(f"{c}:{k}", c, k, "deep" if k > 4 else "shallow") for c in range(400) for k in rng.sample(range(9), 4)]
+    got = [tuple(r) for r in splits.depth_balanced(spark.createDataFrame(rows, "sample_id string, conv_id int, depth int, bin string"), bins, 5, "x").collect()]
+    digest = lambda s: hashlib.sha1(f"x:{s}".encode()).hexdigest()
+    used, want = set(), []
+    for name in bins:
+        best = {}
+        for r in sorted((r for r in rows if r[3] == name), key=lambda r: (-r[2], digest(r[0]))):
+            best.setdefault(r[1], r)
+        taken = dict.fromkeys({r[2] for r in best.values()}, 0)
+        for place in range(5):
+            left = {d: sorted((r for c, r in best.items() if r[2] == d and c not in used), key=lambda r: digest(r[0])) for d in taken}
+            depth = min((d for d in left if left[d]), key=lambda d: (taken[d], len(left[d]), -d))
+            row = left[depth][0]
+            taken[depth] += 1
+            used.add(row[1])
+            want.append((row[0], str(row[1]), depth, name, place + 1))
+    assert got == want
+
+
+def test_paired_interval(spark):
+    rng = np.random.default_rng(2)
+    values = rng.normal(1.0, 2.0, 300)
+    df = spark.createDataFrame([("x", c, float(v)) for c, v in enumerate(values)], "g string, c int, delta double")
+    got = statistics.paired_interval(df, "c", ["g"]).first()
+    half = 1.96 * values.std(ddof=1) / 300**0.5
+    assert got.n == 300 and abs(got.mean - values.mean()) < 1e-9
+    assert abs(got.low - values.mean() + half) < 0.03 and abs(got.high - values.mean() - half) < 0.03
 
 
 def test_metadata_conflicts(spark):
