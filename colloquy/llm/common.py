@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -30,6 +30,31 @@ def fold(id_column: str, folds: int) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
+def placed(rows: DataFrame, group: Column, order: list[Column]) -> tuple[DataFrame, int, list[DataFrame]]:
+    """rows with _g (the group as text; null and empty text differ, null comes first), _at (the row's place in its group, from 0, by `order`)
+    and _n (the group's rows); the largest group's rows; and the tables written. Rows are dealt to ranges of group and order; only the
+    ranges' counts meet."""
+    key = F.when(group.isNull(), "").otherwise(F.concat(F.lit("v"), group.cast("string")))
+    keyed = rows.withColumn("_g", key)
+    ranged = keyed.repartitionByRange("_g", *order).sortWithinPartitions("_g", *order)
+    dealt = table(ranged.withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_row", 33)), "placed")
+    counts = dealt.groupBy("_g", "_part").agg(F.count("*").alias("_c"), F.min("_row").alias("_first"))
+    whole = Window.partitionBy("_g")  # a row for each range of a group
+    before = F.coalesce(F.sum("_c").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = table(counts.select("_g", "_part", (before - F.col("_first")).alias("_shift"), F.sum("_c").over(whole).alias("_n")), "placed-starts")
+    found = dealt.join(starts, ["_g", "_part"]).withColumn("_at", F.col("_row") + F.col("_shift")).drop("_row", "_part", "_shift")
+    return found, starts.agg(F.max("_n")).first()[0] or 0, [dealt, starts]
+
+
+#: crc32 in DuckDB: the table as a common table expression `crc`, and the value of an integer column, from a query that reads it beside.
+CRC_SQL = (
+    """eight AS (
+  SELECT n, list_reduce(list_prepend(n::BIGINT, [1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(n)
+), crc AS (SELECT list(c ORDER BY n) AS t FROM eight)""",
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split({}::VARCHAR, '')]), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)",
+)
+
+
 def schema_with(df: DataFrame, *more: str) -> StructType:
     """df's schema and further columns, each given as `name type`."""
     schema = StructType([StructField(f.name, f.dataType) for f in df.schema.fields])
