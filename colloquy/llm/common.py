@@ -46,6 +46,15 @@ def placed(rows: DataFrame, group: Column, order: list[Column]) -> tuple[DataFra
     return found, starts.agg(F.max("_n")).first()[0] or 0, [dealt, starts]
 
 
+#: Tables of up to so many rows (of at most about 64 bytes, or a host's few paths) are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df (a written table), to be broadcast if its size is within the bound."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 #: crc32 in DuckDB: the table as a common table expression `crc`, and the value of an integer column, from a query that reads it beside.
 CRC_SQL = (
     """eight AS (

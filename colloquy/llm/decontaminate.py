@@ -21,16 +21,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small, table
 
 BITS, BLOCKS, RADIUS = 64, 8, 23
-#: Tables of up to so many rows (of at most about 64 bytes) are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """df (a written table), to be broadcast if its size is within the bound."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def word_hashes(text: Column) -> Column:
