@@ -157,10 +157,26 @@ def brute_rule(host, path):
     return best
 
 
+def brute_blocked(host, path):
+    """The block list told without globs."""
+    labels = host.split(".")
+    ends = (".exe", ".zip", ".apk", ".iso", ".jpg", ".png", ".gif", ".css", ".js")
+    if any(w in host for w in ("spam", "pills", "casino", "viagra", "lottery")) or any(x.startswith(("poker", "bet365", "adserver")) for x in labels):
+        return True
+    if any(x in ("ads", "track", "tracker", "click", "doubleclick") or len(x.encode()) == 3 and x.startswith("ad") for x in labels[:-1]):
+        return True
+    if ".".join(labels[-2:]) in ("bit.ly", "t.co", "goo.gl") or path.endswith(ends) or re.search(r"\.(mp.|jp.g|woff.)\Z", path, re.S):
+        return True
+    if path.startswith(("/login", "/signup", "/checkout", "/cgi-bin/", "/calendar/", "/cart/", "/wp-admin/")) or path.endswith("/login") or any(w in path[1:] for w in ("/logout", "/cart/", "/wp-admin/", "/calendar/")):
+        return True
+    return bool(re.match(r"/.*/page/....|/.*/tag/.*/feed|/search/.*/search/", path, re.S))
+
+
 def test_url_rules(spark):
     rng = random.Random(3)
     urls = [None, "", "no scheme", "http://", "http://NET", "https://net/", "x://a.example.NET/en/1?q#f", "http://example.net#/en/", "http://xexample.com/de/", "http://a.b.org/fr/" + "x" * 40000, "http://org//fr/", "http://y/net/", "a://b://c.net/", "http://spam.example.com/x", "http://net/é?u"]
     urls += ["http://" + "".join(rng.choice(["a.", "example.", "net", "com", "org", "/en/", "/de/", "/fr/", "/", "?", "#"]) for _ in range(rng.randint(1, 7))) for _ in range(300)]
+    urls += ["http://" + "".join(rng.choice(["spam", "pills", "a.", "ads.", "adx.", "bit.ly", "poker", "de", "/", "/login", "/logout", "/cart/", "page/", "1234", "tag/", "feed", ".exe", ".mp4", "search/", "calendar/", "?"]) for _ in range(rng.randint(1, 8))) for _ in range(600)]
     df = spark.createDataFrame([(k, u, "old") for k, u in enumerate(urls)], "page_id long, url string, verdict string")
     rows = url_filter.judge(url_filter.with_host_and_path(df), url_filter.RULES, url_filter.DEFAULTS).collect()
     assert len(rows) == len(urls)
@@ -172,11 +188,11 @@ def test_url_rules(spark):
         assert (r.host, r.path) == (host, path)
         rule = brute_rule(host, path)
         assert r.rule == (rule.name if rule else None), r
-        blocked = any(re.fullmatch(re.escape(g.glob).replace("%", "[^/]*").replace(r"\*", ".*").replace(r"\?", "."), f".{host}{path}", re.S) for g in url_filter.DEFAULTS)
+        blocked = brute_blocked(host, path)
         assert r.verdict == (rule.action if rule else "block" if blocked else "allow"), r
 
 
-@pytest.mark.parametrize(("url", "verdict"), [("http://ads.example.de/x", "block"), ("http://roads.example.de/x", "allow"), ("http://bet365.example.de/", "block"), ("http://better.example.de/", "allow"), ("http://a.de/shop/cart/7", "block"), ("http://a.de/shop/cartoon/7", "allow"), ("http://a.de/x/y.exe", "block"), ("http://a.de/x.exe/manual", "allow"), ("http://bit.ly/3", "block"), ("http://orbit.lyon.fr/3", "allow"), ("http://a.de/b/page/1234", "block"), ("http://a.de/b/page/12", "allow"), ("http://casino.org/fr/x", "allow")])
+@pytest.mark.parametrize(("url", "verdict"), [("http://spam-farm.example.de/en/728", "block"), ("https://www.cheap-pills.example.com/x?y", "block"), ("http://my.casino.de", "block"), ("http://example.de/spam/pills", "allow"), ("http://ads.example.de/x", "block"), ("http://roads.example.de/x", "allow"), ("http://bet365.example.de/", "block"), ("http://better.example.de/", "allow"), ("http://a.de/shop/cart/7", "block"), ("http://a.de/shop/cartoon/7", "allow"), ("http://a.de/x/y.exe", "block"), ("http://a.de/x.exe/manual", "allow"), ("http://bit.ly/3", "block"), ("http://orbit.lyon.fr/3", "allow"), ("http://a.de/b/page/1234", "block"), ("http://a.de/b/page/12", "allow"), ("http://casino.org/fr/x", "allow")])
 def test_default_globs(spark, url, verdict):
     df = spark.createDataFrame([(1, url)], "page_id long, url string")
     assert url_filter.judge(url_filter.with_host_and_path(df), url_filter.RULES, url_filter.DEFAULTS).first().verdict == verdict
