@@ -91,12 +91,18 @@ def validated(spans: DataFrame, fields: DataFrame, labels: list[str] | None = No
     return out.select("sample_id", "span_id", "turn_id", "field", "label", "text", "status", F.col("w.turn").alias("found_turn"), F.col("w.field").alias("found_field"), F.col("w.start").alias("start"))
 
 
-def merged_char_spans(spans: DataFrame, keys: list[str], gap: int = 4) -> DataFrame:
-    """Spans (keys, start, end) joined where at most `gap` characters part them."""
-    w = Window.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opened = spans.withColumn("_new", F.coalesce(F.col("start") - reach > gap, F.lit(True)).cast("int"))
-    return opened.withColumn("_g", F.sum("_new").over(w)).groupBy(*keys, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_g")
+def merged_char_spans(tokens: DataFrame, keys: list[str], order: str, tag: str, begins: int | None = None, gap: int = 4) -> DataFrame:
+    """Character spans (keys, start, end) of runs of kept tokens. tokens: keys, start, end, `order` and `tag` of every token, 0 for a dropped one.
+
+    A run ends at every dropped token, where a token starts more than `gap` characters after the one before, and before every token tagged
+    `begins`, if that is given (collapsed labels). Null tags are dropped ones.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    kept = F.coalesce(F.col(tag) != 0, F.lit(False))
+    apart = ~F.coalesce(F.lag(kept).over(w), F.lit(False)) | (F.col("start") > F.lag("end").over(w) + gap)
+    opens = apart | (F.col(tag) == begins) if begins is not None else apart
+    runs = tokens.withColumn("_kept", kept).withColumn("_run", F.sum((kept & opens).cast("int")).over(w)).where("_kept")
+    return runs.groupBy(*keys, "_run").agg(F.min_by("start", order).alias("start"), F.max_by("end", order).alias("end")).drop("_run")
 
 
 def serialised(query: str, history: str, budget: int, query_most: int = 32, field_most: int = 32) -> Column:
@@ -141,27 +147,36 @@ def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def surface_match(tokens: Column, phrase: Column) -> Column:
-    """Places of a phrase's words among tokens, compared without punctuation and case: its only unbroken run, else the first places at which its
-    words follow each other with gaps; none if they don't. Nulls have no words."""
+    """places of a phrase's words among tokens, and how they were found; words are compared without punctuation and case, and those that are
+    only punctuation count on neither side.
+
+    found: `run` for the only unbroken run of the phrase, `spread` for the first places at which its words follow each other with gaps, where
+    there is no run; `ambiguous` for several runs and `missing` where the words don't all follow each other, or there are none, both without places.
+    Nulls have no words.
+    """
     none = F.array().cast("array<int>")
     fold = lambda t: T.casefold(F.regexp_replace(t, r"(?U)\W+", ""))
-    have = F.transform(F.coalesce(tokens, F.array().cast("array<string>")), fold)
+    folded = F.transform(F.coalesce(tokens, F.array().cast("array<string>")), lambda t, k: F.struct(fold(t).alias("word"), k.alias("place")))
+    have = F.filter(folded, lambda t: F.coalesce(t["word"], F.lit("")) != "")
     want = F.filter(F.transform(T.words(phrase), fold), lambda w: w != "")
 
-    def found(x: Column) -> Column:
+    def matched(x: Column) -> Column:
         n, m = F.size(x["have"]), F.size(x["want"])
+        words = F.transform(x["have"], lambda t: t["word"])
         starts = F.when((m > 0) & (n >= m), F.sequence(F.lit(0), n - m)).otherwise(none)
-        runs = F.filter(starts, lambda k: F.slice(x["have"], k + 1, m) == x["want"])
+        runs = F.filter(starts, lambda k: F.slice(words, k + 1, m) == x["want"])
 
         def step(at: Column, word: Column) -> Column:
-            place = F.array_position(F.slice(x["have"], at["next"] + 1, n), word).cast("int")
+            place = F.array_position(F.slice(words, at["next"] + 1, n), word).cast("int")
             whole = at["whole"] & (place > 0)
-            return F.struct(F.when(whole, at["next"] + place).otherwise(at["next"]).alias("next"), F.when(whole, F.concat(at["places"], F.array(at["next"] + place - 1))).otherwise(none).alias("places"), whole.alias("whole"))
+            return F.struct(F.when(whole, at["next"] + place).otherwise(at["next"]).alias("next"), F.when(whole, F.concat(at["at"], F.array(at["next"] + place - 1))).otherwise(none).alias("at"), whole.alias("whole"))
 
-        spread = F.aggregate(x["want"], F.struct(F.lit(0).alias("next"), none.alias("places"), F.lit(True).alias("whole")), step, lambda at: at["places"])
-        return F.when(F.size(runs) == 1, F.transform(x["want"], lambda _, k: F.get(runs, 0) + k)).otherwise(spread)
+        spread = F.aggregate(x["want"], F.struct(F.lit(0).alias("next"), none.alias("at"), F.lit(True).alias("whole")), step, lambda at: at["at"])
+        at = F.when(F.size(runs) == 1, F.transform(x["want"], lambda _, k: F.get(runs, 0) + k)).when(F.size(runs) == 0, spread).otherwise(none)
+        how = F.when(F.size(runs) == 1, "run").when(F.size(runs) > 1, "ambiguous").when(F.size(spread) > 0, "spread").otherwise("missing")
+        return F.struct(F.transform(at, lambda k: F.get(x["have"], k)["place"]).alias("places"), how.alias("found"))
 
-    return _bound(F.struct(have.alias("have"), want.alias("want")), found)
+    return _bound(F.struct(have.alias("have"), want.alias("want")), matched)
 
 
 def kept_text(field: Column, spans: Column) -> Column:

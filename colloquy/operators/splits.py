@@ -42,10 +42,11 @@ def fraction(units: DataFrame, unit: str, share: float, salt: str, stratum: str
 def exact_subset(sizes: DataFrame, unit: str, size: str, target: int, salt: str) -> DataFrame:
     """Rows of whole units whose sizes sum to the target exactly; raises if there are none such. A unit's size is 1 at least.
 
-    With units in order of their digests, the shortest run of them from the first that has a subset of that sum serves: it less the units
-    that make up its excess. Of the sums of excess, each is made up by the units that come first. The excess is nearly always below the
-    largest size, so that the driver sees the first few units of each size up to there and the runs' sums about the target; the window of
-    runs widens until one serves.
+    Units are gone through in the order of their digests, and the set is the one that this order reaches first: it ends with the first unit
+    u with which any set of the units so far has the target's sum, and before u comes the set that is reached first for what then is
+    missing. So a run of the first units is kept less some units, which make up the run's excess over the target: from u back, each unit
+    goes that leaves an excess the units before it can make up. The excess is nearly always below the largest size, so that the driver
+    sees the first few units of each size up to there and the runs' sums about the target; the window of runs widens until one serves.
     """
     if target < 0:
         raise ValueError("the target can't be negative")
@@ -59,65 +60,97 @@ def exact_subset(sizes: DataFrame, unit: str, size: str, target: int, salt: str)
         raise ValueError(f"no set of whole units has {target} rows")
     most = min(total - target, largest)
     while True:
-        made = _made_up(placed, unit, most)
-        ends = placed.withColumn("_end", F.col("_before") + F.col("_s")).where((F.col("_end") >= target) & (F.col("_end") <= target + most)).select("_end").orderBy("_end")
-        for (end,) in ends.toLocalIterator():
-            found = made.get(end - target)
-            if found is not None and found[0] <= end:
-                out = [u for u in found[1]]
-                kept = placed.where(F.col("_before") < end).where(~F.col(unit).isin(out)) if out else placed.where(F.col("_before") < end)
-                return sizes.join(kept.select(unit), unit, "left_semi")
+        made = _made_up(placed, most)
+        ends = placed.withColumn("_end", F.col("_before") + F.col("_s")).where((F.col("_end") >= target) & (F.col("_end") <= target + most)).select("_end", "_before").orderBy("_end")
+        for end, before in ends.toLocalIterator():
+            if made.get(end - target, before + 1) <= before:
+                kept = placed.where(F.col("_before") < end)
+                out = _left_out(placed, unit, end - target, before, made)
+                return sizes.join((kept.where(~F.col(unit).isin(out)) if out else kept).select(unit), unit, "left_semi")
         if most == total - target:
             raise ValueError(f"no set of whole units has {target} rows")
         most = min(total - target, 2 * most)
 
 
-def _made_up(placed: DataFrame, unit: str, most: int) -> dict[int, tuple[int, tuple]]:
-    """Of each sum up to `most` that whole units make up: where the last of them ends, and they; the sums' units come as early as can be.
-    Of each size only the first most / size units can be needed."""
+def _made_up(placed: DataFrame, most: int) -> dict[int, int]:
+    """Of each sum up to `most` that whole units make up: where the last of the first units that do so ends. Of each size only the first
+    most / size units can be needed."""
     order = Window.partitionBy("_s").orderBy("_before")
     early = placed.where(F.col("_s") <= most).withColumn("_n", F.row_number().over(order)).where(F.col("_n") * F.col("_s") <= most)
-    made: dict[int, tuple[int, tuple]] = {0: (0, ())}
-    for row in early.orderBy("_before").select(unit, "_s", "_before").toLocalIterator():
-        for at in sorted((t for t in made if t + row[1] <= most), reverse=True):
-            made.setdefault(at + row[1], (row[2] + row[1], (*made[at][1], row[0])))
+    made = {0: 0}
+    for size, before in early.orderBy("_before").select("_s", "_before").toLocalIterator():
+        for at in [t for t in made if t + size <= most and t + size not in made]:
+            made[at + size] = before + size
     return made
 
 
-def depth_balanced(samples: DataFrame, bins: list[str], each: int, salt: str) -> DataFrame:
-    """At most `each` samples (sample_id, conv_id, depth, bin) of each bin, deepest bin first, one of each conversation, exact depths balanced:
-    the next comes from the depth chosen least so far, then from the one with the fewest conversations left, then the deepest.
-
-    The choice is sequential by nature, but can't go beyond the first rows of each bin and exact depth, as many as are chosen in all. Only
-    those, the other rows of their conversations and the sizes of the depths reach the one group that chooses.
+def _left_out(placed: DataFrame, unit: str, excess: int, before: int, made: dict[int, int]) -> list:
+    """The units before the place `before` that go, from there backward, until the excess is gone."""
+    out = []
+    if not excess:
+        return out
+    nearest = placed.where((F.col("_before") < before) & (F.col("_s") <= excess)).orderBy(F.desc("_before")).select(unit, "_s", "_before")
+    for name, size, start in nearest.toLocalIterator():
+        if size <= excess and made.get(excess - size, start + 1) <= start:
+            out.append(name)
+            excess -= size
+        if not excess:
+            break
+    return out
+
+
+def depth_balanced(samples: DataFrame, bins: list[str], each: int, salt: str, strict: bool = True) -> DataFrame:
+    """`each` samples (sample_id, conv_id, depth, bin) of each bin in the order given, one of each conversation over all bins, with exact depths balanced: the
+    next comes from the depth chosen least so far, of several from the one with the fewest conversations left, then the deepest; of that
+    depth first from the conversation whose deepest sample in the bin is the shallowest, then by digest. A bin with fewer
+    conversations left raises, or, unless strict, gives what it has.
+
+    The choice is sequential by nature, but can't go beyond the first conversations of each bin and exact depth, as many as are chosen in
+    all. Only those, their rows of other depths and the sizes of the depths reach the one group that chooses: at most (depths ** 2 *
+    each * bins ** 2) rows, whatever the input.
     """
-    d = samples.where(F.col("bin").isin(bins)).withColumn("_d", salted(salt, "sample_id"))
-    order = Window.partitionBy("bin", "conv_id").orderBy(F.col("depth").desc(), "_d", "sample_id")
-    rows = d.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("sample_id", F.col("conv_id").cast("string").alias("conv_id"), F.col("depth").cast("long").alias("depth"), "bin", "_d")
     most = each * len(bins)
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("bin", "depth").orderBy("_d", "sample_id"))).where(F.col("_n") <= most)
+    digest = salted(salt, "bin", "depth", "conv_id", "sample_id")
+    d = samples.where(F.col("bin").isin(bins)).select("sample_id", F.col("conv_id").cast("string").alias("conv_id"), F.col("depth").cast("long").alias("depth"), "bin").withColumn("_d", digest)
+    one = d.groupBy("bin", "conv_id", "depth").agg(F.min(F.struct("_d", "sample_id")).alias("_first"))
+    deepest = d.groupBy("bin", "conv_id").agg(F.max("depth").alias("_most"))
+    rows = table(one.join(deepest, ["bin", "conv_id"]).select("bin", "conv_id", "depth", "_most", "_first._d", "_first.sample_id"), "depths")
+    order = Window.partitionBy("bin", "depth").orderBy("_most", "_d", "conv_id", "sample_id")
+    first = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
     known = rows.join(first.select("conv_id").distinct(), "conv_id", "left_semi").withColumn("_size", F.lit(None).cast("long"))
     sizes = rows.groupBy("bin", "depth").agg(F.count("*").alias("_size"))
-    needed = known.unionByName(sizes, allowMissingColumns=True)
+    counts = {r[0]: r[1] for r in rows.groupBy("bin").agg(F.count_distinct("conv_id")).collect()}  # a row a bin
+    if strict and (few := [b for b in bins if counts.get(b, 0) < each]):
+        raise ValueError(f"bins with fewer than {each} conversations: {few}")
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         used, out = set(), []
         for name in bins:
             of_bin = rows[rows["bin"] == name]
             left = {int(d): int(n) for d, n in of_bin[of_bin["_size"].notna()][["depth", "_size"]].itertuples(index=False)}
-            held = of_bin[of_bin["_size"].isna()].sort_values(["_d", "sample_id"])
-            for conv, depth in held[["conv_id", "depth"]].itertuples(index=False):
-                left[int(depth)] -= conv in used
+            held = of_bin[of_bin["_size"].isna()].sort_values(["_most", "_d", "conv_id", "sample_id"])
+            at: dict[int, list] = {d: [] for d in left}
+            depths: dict[str, list] = {}
+            for conv, depth, sample in held[["conv_id", "depth", "sample_id"]].itertuples(index=False):
+                at[int(depth)].append((conv, sample))
+                depths.setdefault(conv, []).append(int(depth))
+            for conv in used:
+                for depth in depths.get(conv, ()):
+                    left[depth] -= 1
             taken = dict.fromkeys(left, 0)
             for place in range(each):
                 if not (can := [d for d, n in left.items() if n]):
+                    if strict:
+                        raise ValueError(f"{name} has no further conversations")
                     break
                 depth = min(can, key=lambda d: (taken[d], left[d], -d))
-                row = next(r for r in held[held["depth"] == depth].itertuples(index=False) if r.conv_id not in used)
+                conv, sample = next(r for r in at[depth] if r[0] not in used)
                 taken[depth] += 1
-                left[depth] -= 1
-                used.add(row.conv_id)
-                out.append((row.sample_id, row.conv_id, depth, name, place + 1))
+                for other in depths[conv]:
+                    left[other] -= 1
+                used.add(conv)
+                out.append((sample, conv, depth, name, place + 1))
         return pd.DataFrame(out, columns=["sample_id", "conv_id", "depth", "bin", "place"])
 
+    needed = known.unionByName(sizes, allowMissingColumns=True)
     return needed.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(choose, "sample_id string, conv_id string, depth long, bin string, place int")

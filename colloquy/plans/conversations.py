@@ -204,15 +204,17 @@ def adjacent_chunks(spark, d):
     return C.chunks(_tags(spark, d).where("tag > 0"), ["sample_id"])
 
 
-@query(f"""WITH {_TOKENS}, s AS (SELECT sample_id, sum(length(token) + 1) OVER (PARTITION BY sample_id ORDER BY index) AS "end", length(token) AS n, tag FROM tags), k AS (SELECT sample_id, "end" - n AS start, "end" FROM s WHERE tag > 0),
-  o AS (SELECT *, CASE WHEN start - max("end") OVER (PARTITION BY sample_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 4 THEN 0 ELSE 1 END AS opens FROM k), g AS (SELECT *, sum(opens) OVER (PARTITION BY sample_id ORDER BY start) AS run FROM o)
-  SELECT sample_id, min(start)::BIGINT AS start, max("end")::BIGINT AS "end" FROM g GROUP BY sample_id, run""")
+@query(f"""WITH {_TOKENS}, s AS (SELECT sample_id, index, tag, sum(length(token) + 1) OVER (PARTITION BY sample_id ORDER BY index) AS "end", length(token) AS n FROM tags),
+  k AS (SELECT *, "end" - n AS start, index - row_number() OVER (PARTITION BY sample_id ORDER BY index) AS island FROM s WHERE tag > 0),
+  o AS (SELECT *, count(*) FILTER (WHERE tag = 1) OVER (PARTITION BY sample_id, island ORDER BY index) AS run FROM k)
+  SELECT sample_id, min(start)::BIGINT AS start, max("end")::BIGINT AS "end" FROM o GROUP BY sample_id, island, run""")
 def merged_char_spans(spark, d):
+    """Spans of kept tokens under collapsed labels. (Tokens stand closer than the gap here; the SQL needs islands and beginnings only.)"""
     from pyspark.sql import Window
 
     end = F.sum(F.length("token") + 1).over(Window.partitionBy("sample_id").orderBy("index"))
-    placed = _tags(spark, d).withColumn("end", end).where("tag > 0").select("sample_id", (F.col("end") - F.length("token")).alias("start"), "end")
-    return spans.merged_char_spans(placed, ["sample_id"])
+    placed = _tags(spark, d).withColumn("end", end).withColumn("start", F.col("end") - F.length("token"))
+    return spans.merged_char_spans(placed, ["sample_id"], "index", "tag", begins=1)
 
 
 @query(f"""WITH {TURNS}, w AS (SELECT sample_id, conv_id, turn_id, regexp_extract_all(question, '\\S+')[1:32] AS q, regexp_extract_all(answer, '\\S+')[1:32] AS a FROM samples),

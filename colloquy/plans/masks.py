@@ -123,6 +123,6 @@ def subset_sum_split(spark, d):
 
 @query()
 def depth_balanced(spark, d):
-    """Ten samples of each depth bin, one of a conversation, depths balanced, deepest bin first."""
+    """Ten samples of each depth bin (all that are left where there are fewer), one of a conversation, depths balanced, deepest bin first."""
     s = samples(spark, d).withColumn("bin", T.bin_of(F.col("history_depth"), T.DEPTH_BINS)).withColumnRenamed("history_depth", "depth")
-    return splits.depth_balanced(s.select("sample_id", "conv_id", "depth", "bin"), list(reversed(T.DEPTH_BINS)), 10, "gate")
+    return splits.depth_balanced(s.select("sample_id", "conv_id", "depth", "bin"), list(reversed(T.DEPTH_BINS)), 10, "gate", strict=False)

@@ -67,18 +67,22 @@ def first_answers(spark, d):
 
 
 _WORDS = rf"{TURNS}, listed AS (SELECT sample_id, regexp_extract_all(question, '\S+') AS words, regexp_extract_all(answer, '\S+') AS said FROM samples)"
-_FOLD = r"list_transform({}, lambda x: lower(regexp_replace(x, '\W+', '', 'g')))"
 
 
-@query(rf"""WITH {_WORDS}, f AS (SELECT sample_id, {_FOLD.format("words")} AS have, {_FOLD.format("[words[2], words[4]]")} AS want FROM listed WHERE len(words) >= 4),
-  r AS (SELECT *, list_filter(range(1, len(have)), lambda k: have[k] = want[1] AND have[k + 1] = want[2]) AS runs, list_position(have, want[1]) AS a FROM f),
-  g AS (SELECT *, list_position(have[a + 1:], want[2]) AS b FROM r)
-  SELECT sample_id, CASE WHEN len(runs) = 1 THEN concat_ws(',', runs[1] - 1, runs[1]) WHEN coalesce(b, 0) = 0 THEN '' ELSE concat_ws(',', a - 1, a + b - 1) END AS places FROM g""")
+@query(rf"""WITH {_WORDS}, t AS (SELECT sample_id, words[2] AS first, words[4] AS second, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS place FROM listed WHERE len(words) >= 4),
+  f AS (SELECT sample_id, place, lower(regexp_replace(word, '\W+', '', 'g')) AS word, lower(regexp_replace(first, '\W+', '', 'g')) AS first, lower(regexp_replace(second, '\W+', '', 'g')) AS second FROM t),
+  w AS (SELECT *, lead(word) OVER (PARTITION BY sample_id ORDER BY place) AS next, lead(place) OVER (PARTITION BY sample_id ORDER BY place) AS next_place FROM f WHERE word <> ''),
+  two AS (SELECT sample_id, count(*) FILTER (WHERE word = first AND next = second) AS runs, min(place) FILTER (WHERE word = first AND next = second) AS a, min(next_place) FILTER (WHERE word = first AND next = second) AS b FROM w WHERE first <> '' AND second <> '' GROUP BY 1),
+  gap AS (SELECT w.sample_id, min(w.place) AS b, any_value(c.a) AS a FROM w JOIN (SELECT sample_id, min(place) AS a FROM w WHERE word = first GROUP BY 1) c ON c.sample_id = w.sample_id AND w.place > c.a WHERE w.word = w.second GROUP BY 1),
+  lone AS (SELECT sample_id, count(*) AS runs, min(place) AS a FROM w WHERE word = first || second AND (first = '' OR second = '') GROUP BY 1)
+  SELECT l.sample_id, CASE WHEN two.runs = 1 THEN concat_ws(',', two.a, two.b) WHEN two.runs = 0 AND gap.b IS NOT NULL THEN concat_ws(',', gap.a, gap.b) WHEN two.runs IS NULL AND lone.runs = 1 THEN lone.a::VARCHAR ELSE '' END AS places,
+    CASE WHEN two.runs > 1 OR two.runs IS NULL AND lone.runs > 1 THEN 'ambiguous' WHEN two.runs = 1 OR two.runs IS NULL AND lone.runs = 1 THEN 'run' WHEN gap.b IS NOT NULL THEN 'spread' ELSE 'missing' END AS found
+  FROM listed l LEFT JOIN two ON two.sample_id = l.sample_id LEFT JOIN gap ON gap.sample_id = l.sample_id LEFT JOIN lone ON lone.sample_id = l.sample_id WHERE len(l.words) >= 4""")
 def surface_matches(spark, d):
     """Where a question's second and fourth word stand, looked for as a phrase."""
     w = samples(spark, d).select("sample_id", T.words(F.col("question")).alias("w")).where("size(w) >= 4")
-    found = spans.surface_match(F.col("w"), F.concat_ws(" ", F.get("w", 1), F.get("w", 3)))
-    return w.select("sample_id", F.array_join(F.transform(found, lambda x: x.cast("string")), ",").alias("places"))
+    found = w.withColumn("m", spans.surface_match(F.col("w"), F.concat_ws(" ", F.get("w", 1), F.get("w", 3))))
+    return found.select("sample_id", F.array_join(F.transform("m.places", lambda x: x.cast("string")), ",").alias("places"), "m.found")
 
 
 @query(rf"""WITH {TURNS}, s AS (SELECT sample_id, question, unnest([{{'a': 0, 'b': 9}}, {{'a': 4, 'b': 14}}, {{'a': 12, 'b': 10000}}, {{'a': 0, 'b': 9}}], recursive := true) FROM samples),

@@ -228,10 +228,58 @@ def test_offsets_stand_where_they_say(spark):
 
 def test_surface_and_kept_text(spark):
     tokens = F.array(*map(F.lit, "The Analytical, engine and the engine".split()))
-    asks = {"analytical engine": [1, 2], "the engine": [4, 5], "analytical the": [1, 4], "absent": [], "engine engine": [2, 5], "engine analytical": [], "": [], "the": [0], "--": []}
-    for phrase, places in asks.items():
-        assert one(spark, spans.surface_match(tokens, F.lit(phrase))) == places
-    assert one(spark, spans.surface_match(tokens, F.lit(None).cast("string"))) == []
+    asks = {"analytical engine": ([1, 2], "run"), "the engine": ([4, 5], "run"), "analytical the": ([1, 4], "spread"), "absent": ([], "missing"), "engine engine": ([2, 5], "spread"), "engine analytical": ([], "missing"), "": ([], "missing"), "the": ([], "ambiguous"), "--": ([], "missing")}
+    for phrase, (places, how) in asks.items():
+        found = one(spark, spans.surface_match(tokens, F.lit(phrase)))
+        assert (found.places, found.found) == (places, how), phrase
+    assert one(spark, spans.surface_match(tokens, F.lit(None).cast("string"))).found == "missing"
+    # words that are only punctuation count on neither side
+    dashed = F.split(F.lit("foo x bar foo - bar"), " ")
+    assert one(spark, spans.surface_match(dashed, F.lit("foo bar"))).places == [3, 5]
+    assert one(spark, spans.surface_match(dashed, F.lit("foo -- BAR!"))).places == [3, 5]
+
+
+def test_char_spans_end_at_dropped_tokens(spark):
+    rows = [("s", k, t, a, b) for k, (t, a, b) in enumerate([(1, 0, 4), (0, 5, 7), (2, 8, 12), (2, 13, 15), (1, 16, 18), (2, 30, 33), (None, 34, 35), (2, 36, 40)])]
+    df = spark.createDataFrame(rows, "sample_id string, index int, tag int, start int, end int").repartition(3)
+    spans_of = lambda **how: sorted((r.start, r.end) for r in spans.merged_char_spans(df, ["sample_id"], "index", "tag", **how).collect())
+    assert spans_of() == [(0, 4), (8, 18), (30, 33), (36, 40)]
+    assert spans_of(begins=1) == [(0, 4), (8, 15), (16, 18), (30, 33), (36, 40)]
+    assert spans_of(gap=12) == [(0, 4), (8, 33), (36, 40)]
+
+
+def first_reached(sizes, target):
+    """A plain table of sums: for each, with which unit it was first reached."""
+    reached = {0: None}
+    for unit, size in sizes:
+        for at in sorted(reached, reverse=True):
+            if at + size <= target and at + size not in reached:
+                reached[at + size] = (unit, at)
+        if target in reached:
+            break
+    else:
+        return None
+    kept = set()
+    while target:
+        unit, target = reached[target]
+        kept.add(unit)
+    return kept
+
+
+def test_exact_subset_is_the_first_reached(spark):
+    digest = lambda u: hashlib.sha1(f"s:{u}".encode()).hexdigest()
+    for seed in range(10):
+        rng = random.Random(seed)
+        sizes = {u: rng.choice([2, 3, 5, 7, 9, 14] if seed % 2 else [4, 6, 10]) for u in range(rng.randint(3, 60))}
+        df = spark.createDataFrame(list(sizes.items()), "conv int, n int").repartition(3)
+        ordered = sorted(sizes.items(), key=lambda x: (digest(x[0]), x[0]))
+        target = rng.randint(1, sum(sizes.values()))
+        want = first_reached(ordered, target)
+        if want is None:
+            with pytest.raises(ValueError):
+                splits.exact_subset(df, "conv", "n", target, "s")
+        else:
+            assert {r.conv for r in splits.exact_subset(df, "conv", "n", target, "s").collect()} == want, (seed, target)
     at = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((0, 13), (13, 14), (15, 27), (-3, 3))])
     assert one(spark, spans.kept_text(F.lit("Ada  Lovelace, ada lovelace!"), at)) == "Ada Ada Lovelace"
     assert one(spark, spans.kept_text(F.lit(None).cast("string"), at)) == "" and one(spark, spans.kept_text(F.lit(""), at)) == ""
@@ -262,26 +310,39 @@ def test_ranged_quantiles_and_padding(spark):
     assert (got.batches, got.tokens, got.padded) == (16, sum(lengths), sum(max(b) * len(b) for b in batches))
 
 
+def plainly_balanced(rows, bins, each):
+    """The choice over plain rows (sample, conv, depth, bin), which are gone through anew for every place."""
+    digest = lambda r: hashlib.sha1(f"x:{r[3]}:{r[2]}:{r[1]}:{r[0]}".encode()).hexdigest()
+    used, out = set(), []
+    for name in bins:
+        mine = [r for r in rows if r[3] == name]
+        deepest = {c: max(r[2] for r in mine if r[1] == c) for c in {r[1] for r in mine}}
+        taken = dict.fromkeys({r[2] for r in mine}, 0)
+        for place in range(each):
+            free = [r for r in mine if r[1] not in used]
+            convs = {d: {r[1] for r in free if r[2] == d} for d in taken}
+            depth = min((d for d in convs if convs[d]), key=lambda d: (taken[d], len(convs[d]), -d))
+            row = min((r for r in free if r[2] == depth), key=lambda r: (deepest[r[1]], digest(r), str(r[1]), r[0]))
+            taken[depth] += 1
+            used.add(row[1])
+            out.append((row[0], str(row[1]), depth, name, place + 1))
+    return out
+
+
 def test_depth_balanced_chooses_as_over_all_rows(spark):
     rng = random.Random(3)
     bins = ["deep", "shallow"]
+    schema = "sample_id string, conv_id int, depth int, bin string"
     rows = [(f"{c}:{k}", c, k, "deep" if k > 4 else "shallow") for c in range(400) for k in rng.sample(range(9), 4)]
-    got = [tuple(r) for r in splits.depth_balanced(spark.createDataFrame(rows, "sample_id string, conv_id int, depth int, bin string"), bins, 5, "x").collect()]
-    digest = lambda s: hashlib.sha1(f"x:{s}".encode()).hexdigest()
-    used, want = set(), []
-    for name in bins:
-        best = {}
-        for r in sorted((r for r in rows if r[3] == name), key=lambda r: (-r[2], digest(r[0]))):
-            best.setdefault(r[1], r)
-        taken = dict.fromkeys({r[2] for r in best.values()}, 0)
-        for place in range(5):
-            left = {d: sorted((r for c, r in best.items() if r[2] == d and c not in used), key=lambda r: digest(r[0])) for d in taken}
-            depth = min((d for d in left if left[d]), key=lambda d: (taken[d], len(left[d]), -d))
-            row = left[depth][0]
-            taken[depth] += 1
-            used.add(row[1])
-            want.append((row[0], str(row[1]), depth, name, place + 1))
-    assert got == want
+    rows += [(f"again {c}", c, k, b) for _, c, k, b in rows[:50]]
+    got = [tuple(r) for r in splits.depth_balanced(spark.createDataFrame(rows, schema).repartition(4), bins, 5, "x").collect()]
+    assert got == plainly_balanced(rows, bins, 5)
+    few = [(f"{c}:{k}", c, k, "deep") for c in range(8) for k in (5, 6, 7)]
+    got = splits.depth_balanced(spark.createDataFrame(few, schema), ["deep"], 6, "x").collect()
+    assert sorted(r.depth for r in got) == [5, 5, 6, 6, 7, 7] and [tuple(r) for r in got] == plainly_balanced(few, ["deep"], 6)
+    with pytest.raises(ValueError, match="fewer than 9"):
+        splits.depth_balanced(spark.createDataFrame(few, schema), ["deep"], 9, "x")
+    assert splits.depth_balanced(spark.createDataFrame(few, schema), ["deep"], 9, "x", strict=False).count() == 8
 
 
 def test_paired_interval(spark):
