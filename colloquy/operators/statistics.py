@@ -56,13 +56,14 @@ def moments(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return g.select(*by, "n", r(F.col("mean")).alias("mean"), r(F.col("variance")).alias("variance"), "least", "most", r(F.col("mean") - half).alias("low"), r(F.col("mean") + half).alias("high"))
 
 
-def matched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """left with the other columns of the one row of right that has its keys; null keys are equal. Without keys right is one row."""
+def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left with the other columns of the one row of right that has its keys; null keys are equal. Without keys right is one row. how: `left` keeps
+    rows without a match."""
     if not keys:
         return left.crossJoin(F.broadcast(right))
     named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
-    return left.join(named, same).drop(*[f"_right_{k}" for k in keys])
+    return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def preceding(df: DataFrame, by: list[str], order: list[Column], weight: Column) -> DataFrame:
