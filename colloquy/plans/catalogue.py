@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import composites, conversations, generic, masks, reports, search, studies
+from . import composites, conversations, generic, masks, pools, reports, search, studies
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _part in (search, conversations, masks, generic, composites, studies, reports):
+for _part in (search, conversations, masks, generic, composites, studies, reports, pools):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

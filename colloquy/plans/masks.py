@@ -40,18 +40,49 @@ LEXICAL = f"""SELECT sample_id, depth, (SELECT string_agg(CASE WHEN list_contain
   (SELECT sample_id, depth, i, len(list_intersect(asked, said)) AS shared, len(list_intersect(asked, said)) / len(list_distinct(list_concat(asked, said))) AS jaccard FROM
   (SELECT t.sample_id, t.depth, h.turn_id - 1 AS i, {lexical_sql('t.question')} AS asked, {lexical_sql("(h.question || ' ' || h.answer)")} AS said FROM s t JOIN s h ON h.conv_id = t.conv_id AND h.turn_id < t.turn_id)) WHERE shared > 0 GROUP BY ALL))"""
 S = f"{TURNS}, s AS (SELECT *, history_depth AS depth FROM samples)"
-ALL = f"{S}, rows AS ({REFERENCES} UNION ALL {RECENT} UNION ALL {ANCHORS} UNION ALL {LEXICAL} UNION ALL {CONTROLS})"
 
 
-def _all(spark, d):
-    s = _samples(spark, d)
+def _entities_sql(column: str) -> str:
+    return f"list_filter({lexical_sql(column)}, lambda x: length(x) >= 8)"
+
+
+def _prefix_sql(ranked: str, family: str) -> str:
+    return f"""SELECT sample_id, depth, (SELECT string_agg(CASE WHEN list_contains(turns[1:k], i) THEN '1' ELSE '0' END, '' ORDER BY i) FROM (SELECT unnest(range(0, depth)) AS i)) AS mask, 'generator' AS role, '{family}' AS family, '{family}_top_' || k AS origin, k::INT AS rank
+  FROM (SELECT *, unnest(range(1, least(len(turns), 8) + 1)) AS k FROM ({ranked}))"""
+
+
+UNITS = f"""units AS (SELECT t.sample_id, t.depth, h.turn_id - 1 AS i, {_entities_sql('t.question')} AS asked, {_entities_sql("(coalesce(h.question, '') || ' ' || coalesce(h.answer, ''))")} AS said FROM s t JOIN s h ON h.conv_id = t.conv_id AND h.turn_id < t.turn_id)"""
+ENTITY_OVERLAP = _prefix_sql("SELECT sample_id, depth, list(i ORDER BY len(list_intersect(asked, said)) DESC, i DESC) AS turns FROM units WHERE len(list_intersect(asked, said)) > 0 GROUP BY ALL", "entity_overlap")
+ENTITY_RECENT = _prefix_sql("SELECT sample_id, depth, list(i ORDER BY i DESC) AS turns FROM units WHERE len(said) > 0 GROUP BY ALL", "entity_recent")
+
+
+def all_sql(where: str = "") -> str:
+    """CTEs that end in s (the samples) and rows (their candidates of all families), of all samples or those that `where` keeps."""
+    parts = " UNION ALL ".join((REFERENCES, RECENT, ANCHORS, LEXICAL, CONTROLS, ENTITY_OVERLAP, ENTITY_RECENT))
+    return f"{S.removesuffix(')')} {where}), {UNITS}, rows AS ({parts})"
+
+
+ALL = all_sql()
+
+
+def entity_samples(s):
+    return M.with_entities(conversation.with_history(s), T.entities)
+
+
+def all_of(s):
+    """The candidates of all families of samples with depth."""
     h = conversation.with_history(s)
+    e = entity_samples(s)
     out = M.references(s)
-    for part in (M.recent(s), M.anchors(s), M.lexical(h), M.controls(s)):
+    for part in (M.recent(s), M.anchors(s), M.lexical(h), M.controls(s), M.entity_overlap(e), M.entity_recent(e)):
         out = out.unionByName(part)
     return out
 
 
+def _all(spark, d):
+    return all_of(_samples(spark, d))
+
+
 @query(f"WITH {S} {REFERENCES}")
 def cand_references(spark, d):
     return M.references(_samples(spark, d))
@@ -92,17 +123,6 @@ def generator_coverage(spark, d):
     return M.coverage(_all(spark, d), _samples(spark, d))
 
 
-_RR = "round(1.0::DOUBLE / (1 + (ascii(md5(sample_id || mask)) * 7 + length(replace(mask, '0', ''))) % 11), 9)"
-
-
-@query(f"""WITH {ALL}, r AS (SELECT *, {_RR} AS rr FROM rows), g AS (SELECT sample_id, max(rr) FILTER (origin = 'full_history') AS recency, max(rr) FILTER (role = 'generator') AS best_generator, max(rr) FILTER (role = 'control') AS best_control FROM r GROUP BY 1)
-  SELECT sample_id, recency, best_generator, best_control, round(greatest(best_generator, best_control) - recency, 9) AS headroom, CASE WHEN round(greatest(best_generator, best_control) - recency, 9) > 0 THEN 'positive' WHEN round(greatest(best_generator, best_control) - recency, 9) < 0 THEN 'negative' ELSE 'neutral' END AS relation FROM g""")
-def oracle_headroom(spark, d):
-    """Headroom over full history under a score drawn from a hash of sample and mask."""
-    place = F.ascii(F.md5(F.concat("sample_id", "mask"))) * 7 + F.length(F.replace(F.col("mask"), F.lit("0"), F.lit("")))
-    return M.headroom(_all(spark, d).withColumn("rr", F.round(1 / (1 + place % 11), 9)))
-
-
 @query(f"""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY sha1('split:' || doc_id), doc_id) AS place, count(*) OVER () AS n FROM documents) SELECT doc_id, CASE WHEN place <= ceil(n * 0.2) THEN 'first' ELSE 'rest' END AS split FROM r""")
 def hash_split(spark, d):
     return splits.fraction(read(spark, d, "documents").select("doc_id"), "doc_id", 0.2, "split")

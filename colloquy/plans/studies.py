@@ -13,7 +13,7 @@ from ..sources import readers, writers
 from ..streaming import incremental
 from .bindings import ASK, TURNS, asked_turns, indexed, lexical_sql, passages, samples
 from .composites import ASKED, BUDGETS, _evaluated, _inputs_sql
-from .masks import S
+from .masks import ENTITY_OVERLAP, ENTITY_RECENT, UNITS, S, entity_samples
 from .search import GOLD, HITS, _asked, _gold, _view_hits, _vectors
 
 QUERIES: dict = {}
@@ -31,28 +31,18 @@ def query(sql: str | None = None):
 
 
 def _entity_samples(spark, d):
-    s = samples(spark, d).withColumn("depth", F.col("history_depth"))
-    return M.with_entities(conversation.with_history(s), T.entities)
+    return entity_samples(samples(spark, d).withColumn("depth", F.col("history_depth")))
 
 
-def _entities_sql(column: str) -> str:
-    return f"list_filter({lexical_sql(column)}, lambda x: length(x) >= 8)"
+_UNITS = f"{S}, {UNITS}"
 
 
-_UNITS = f"""{S}, units AS (SELECT t.sample_id, t.depth, h.turn_id - 1 AS i, {_entities_sql('t.question')} AS asked, {_entities_sql("(coalesce(h.question, '') || ' ' || coalesce(h.answer, ''))")} AS said FROM s t JOIN s h ON h.conv_id = t.conv_id AND h.turn_id < t.turn_id)"""
-
-
-def _prefix_sql(ranked: str, family: str) -> str:
-    return f"""SELECT sample_id, depth, (SELECT string_agg(CASE WHEN list_contains(turns[1:k], i) THEN '1' ELSE '0' END, '' ORDER BY i) FROM (SELECT unnest(range(0, depth)) AS i)) AS mask, 'generator' AS role, '{family}' AS family, '{family}_top_' || k AS origin, k::INT AS rank
-  FROM (SELECT *, unnest(range(1, least(len(turns), 8) + 1)) AS k FROM ({ranked}))"""
-
-
-@query(f"WITH {_UNITS} " + _prefix_sql("SELECT sample_id, depth, list(i ORDER BY len(list_intersect(asked, said)) DESC, i DESC) AS turns FROM units WHERE len(list_intersect(asked, said)) > 0 GROUP BY ALL", "entity_overlap"))
+@query(f"WITH {_UNITS} {ENTITY_OVERLAP}")
 def cand_entity_overlap(spark, d):
     return M.entity_overlap(_entity_samples(spark, d))
 
 
-@query(f"WITH {_UNITS} " + _prefix_sql("SELECT sample_id, depth, list(i ORDER BY i DESC) AS turns FROM units WHERE len(said) > 0 GROUP BY ALL", "entity_recent"))
+@query(f"WITH {_UNITS} {ENTITY_RECENT}")
 def cand_entity_recent(spark, d):
     return M.entity_recent(_entity_samples(spark, d))
 
