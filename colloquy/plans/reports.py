@@ -70,7 +70,7 @@ _WORDS = rf"{TURNS}, listed AS (SELECT sample_id, regexp_extract_all(question, '
 
 
 @query(rf"""WITH {_WORDS}, t AS (SELECT sample_id, words[2] AS first, words[4] AS second, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS place FROM listed WHERE len(words) >= 4),
-  f AS (SELECT sample_id, place, lower(regexp_replace(word, '\W+', '', 'g')) AS word, lower(regexp_replace(first, '\W+', '', 'g')) AS first, lower(regexp_replace(second, '\W+', '', 'g')) AS second FROM t),
+  f AS (SELECT sample_id, place, lower(regexp_replace(word, '[^\p{{L}}\p{{M}}\p{{N}}_]+', '', 'g')) AS word, lower(regexp_replace(first, '[^\p{{L}}\p{{M}}\p{{N}}_]+', '', 'g')) AS first, lower(regexp_replace(second, '[^\p{{L}}\p{{M}}\p{{N}}_]+', '', 'g')) AS second FROM t),
   w AS (SELECT *, lead(word) OVER (PARTITION BY sample_id ORDER BY place) AS next, lead(place) OVER (PARTITION BY sample_id ORDER BY place) AS next_place FROM f WHERE word <> ''),
   two AS (SELECT sample_id, count(*) FILTER (WHERE word = first AND next = second) AS runs, min(place) FILTER (WHERE word = first AND next = second) AS a, min(next_place) FILTER (WHERE word = first AND next = second) AS b FROM w WHERE first <> '' AND second <> '' GROUP BY 1),
   gap AS (SELECT w.sample_id, min(w.place) AS b, any_value(c.a) AS a FROM w JOIN (SELECT sample_id, min(place) AS a FROM w WHERE word = first GROUP BY 1) c ON c.sample_id = w.sample_id AND w.place > c.a WHERE w.word = w.second GROUP BY 1),
