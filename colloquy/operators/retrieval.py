@@ -81,15 +81,15 @@ def term_weights(pairs: DataFrame, passages: DataFrame | Index) -> DataFrame:
     return wanted.join(weights, ["docid", "term"], "left").select("query_id", "docid", "term", F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
 
-#: Bytes of query vectors that go to the executors at once, and rows that are held against them at once.
-QUERY_BYTES, BLOCK_ROWS = 32 << 20, 20_000
+#: Bytes of query vectors that go to the executors at once, rows that are held against them at once, and scores that a task holds at once.
+QUERY_BYTES, BLOCK_ROWS, TILE = 32 << 20, 20_000, 1 << 22
 
 
 def dense(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """The k vectors (docid, vector) of largest inner product with each query (query_id, vector); ties by docid, descending.
 
-    Queries go out in blocks of a fixed number of bytes, one pass over the vectors for each. A task holds a block of rows
-    against a block of queries in one matrix product and hands on its k best of each query; only those are shuffled. Null
+    Queries go out in blocks of a fixed number of bytes, one pass over the vectors for each. A task holds BLOCK_ROWS rows
+    against so many queries at once that their scores are TILE at most, and hands on its k best of each query; only those are shuffled. Null
     vectors are passed over; vectors of other lengths than the queries' raise.
     """
     spark, kind = vectors.sparkSession, vectors.schema["docid"].dataType.simpleString()
@@ -109,9 +109,10 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     return top_k(out, k, descending_ids=True)
 
 
-def _best_of(shared, k: int):
+def _best_of(shared, k: int, tile: int = TILE):
     def run(batches):
         asked, ids = shared.value
+        asked_ids = pa.array(ids)
         held: list[pa.RecordBatch] = []
 
         def best():
@@ -121,10 +122,18 @@ def _best_of(shared, k: int):
             flat = pc.list_flatten(rows.column("vector")).to_numpy()
             if len(flat) != rows.num_rows * asked.shape[1]:
                 raise ValueError("vectors of unequal lengths")
-            scores = np.round(asked @ flat.reshape(rows.num_rows, -1)[order].T, DECIMALS)
-            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            names = pa.array(np.repeat(np.arange(len(ids)), top.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids).take(names), docids.take(pa.array(order[top].ravel())), pa.array(np.take_along_axis(scores, top, axis=1).ravel())], names=["query_id", "docid", "score"])
+            columns = flat.reshape(rows.num_rows, -1)[order].T
+            step = max(1, tile // rows.num_rows)
+            for at in range(0, len(ids), step):
+                scores = np.round(asked[at : at + step] @ columns, DECIMALS)
+                if k < rows.num_rows:  # the k best are among those that reach the k-th largest score
+                    least = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+                    near = [np.flatnonzero(row >= bound) for row, bound in zip(scores, least, strict=True)]
+                else:
+                    near = [np.arange(rows.num_rows)] * len(scores)
+                top = [n[np.argsort(-row[n], kind="stable")[:k]] for row, n in zip(scores, near, strict=True)]
+                names = pa.array(np.repeat(np.arange(at, at + len(top)), [len(t) for t in top]))
+                yield pa.RecordBatch.from_arrays([asked_ids.take(names), docids.take(pa.array(order[np.concatenate(top)])), pa.array(np.concatenate([row[t] for row, t in zip(scores, top, strict=True)]))], names=["query_id", "docid", "score"])
 
         n = 0
         for batch in batches:

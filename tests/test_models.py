@@ -85,3 +85,31 @@ def test_selector_beats_the_length_rule(spark, sf_dir):
     larger = sf_dir.replace("sf0.001", "sf0.01")
     found = {r.system: r for r in modelled.selector_f1(spark, larger).collect()}
     assert found["selector"].f1 > 0.2 > found["length rule"].f1
+
+
+def test_dense_tiles_hold_few_scores_and_find_the_same():
+    """Ties at the k-th place too; a tile of one query at a time, and more queries than one product could hold in memory at once."""
+    import types
+
+    import pyarrow as pa
+
+    from colloquy.operators import retrieval
+
+    rng = np.random.default_rng(3)
+    rows = rng.integers(-1, 2, (500, 4)).astype(float)
+    asked = rng.integers(-1, 2, (40, 4)).astype(float)
+    batches = [pa.RecordBatch.from_arrays([pa.array([f"{k:04}" for k in range(a, a + 250)]), pa.array(rows[a : a + 250].tolist())], names=["docid", "vector"]) for a in (0, 250)]
+    shared = types.SimpleNamespace(value=(asked, [f"q{k}" for k in range(40)]))
+    of = lambda k, tile: [tuple(r.values()) for b in retrieval._best_of(shared, k, tile)(iter(batches)) for r in b.to_pylist()]
+    scores = asked @ rows.T
+    for k in (1, 7, 500, 900):
+        want = [(f"q{q}", f"{d:04}", scores[q, d]) for q in range(40) for d in sorted(range(500), key=lambda d: (-scores[q, d], -d))[:k]]
+        assert of(k, 1) == want and of(k, retrieval.TILE) == want
+    many = types.SimpleNamespace(value=(np.zeros((70_000, 4)), list(range(70_000))))
+    import tracemalloc
+
+    tracemalloc.start()
+    n = sum(b.num_rows for b in retrieval._best_of(many, 3, 1 << 20)(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 210_000 and peak < 200 << 20  # all scores at once would take 280 MB, their order as much again
