@@ -154,3 +154,24 @@ def depth_balanced(samples: DataFrame, bins: list[str], each: int, salt: str, st
 
     needed = known.unionByName(sizes, allowMissingColumns=True)
     return needed.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(choose, "sample_id string, conv_id string, depth long, bin string, place int")
+
+
+def bundle(samples: DataFrame, bins: list[str], each: int, exact: dict[str, int], salt: str, strict: bool = True) -> DataFrame:
+    """sample_id, conv_id and split: `gate` for the samples that depth_balanced chooses of `samples` (sample_id, conv_id, depth, bin); of the conversations that
+    the gate leaves, whole ones with exactly so many samples for each name in `exact`, in that order and each from what those before left;
+    `rest` for the others. The other samples of a gate's conversation have split `none`, so no conversation is in two splits.
+
+    Raises where the gate, or an exact size, can't be reached.
+    """
+    rows = table(samples.select("sample_id", F.col("conv_id").cast("string").alias("conv_id"), "depth", "bin"), "bundle-samples")
+    gate = table(depth_balanced(rows, bins, each, f"{salt}:gate", strict).select("sample_id", "conv_id"), "bundle-gate")
+    left = table(rows.join(gate.select("conv_id").distinct(), "conv_id", "left_anti").groupBy("conv_id").agg(F.count("*").alias("_n")), "bundle-left")
+    named = None
+    for name, size in exact.items():
+        part = table(exact_subset(left, "conv_id", "_n", size, f"{salt}:{name}").select("conv_id", F.lit(name).alias("split")), "bundle-part")
+        left = table(left.join(part, "conv_id", "left_anti"), "bundle-left")
+        named = part if named is None else named.unionByName(part)
+    others = left.select("conv_id", F.lit("rest").alias("split"))
+    by_conv = others if named is None else named.unionByName(others)
+    chosen = rows.select("sample_id", "conv_id").join(by_conv, "conv_id", "left").join(gate.select("sample_id", F.lit(True).alias("_gate")), "sample_id", "left")
+    return chosen.select("sample_id", "conv_id", F.when(F.col("_gate"), "gate").otherwise(F.coalesce("split", F.lit("none"))).alias("split"))

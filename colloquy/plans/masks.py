@@ -146,3 +146,18 @@ def depth_balanced(spark, d):
     """Ten samples of each depth bin (all that are left where there are fewer), one of a conversation, depths balanced, deepest bin first."""
     s = samples(spark, d).withColumn("bin", T.bin_of(F.col("history_depth"), T.DEPTH_BINS)).withColumnRenamed("history_depth", "depth")
     return splits.depth_balanced(s.select("sample_id", "conv_id", "depth", "bin"), list(reversed(T.DEPTH_BINS)), 10, "gate", strict=False)
+
+
+@query(f"""WITH {TURNS}, n AS (SELECT count(*) AS n FROM samples) SELECT split, sum(samples)::BIGINT AS samples, bool_and(whole) AS whole FROM (
+    SELECT 'first' AS split, n // 5 AS samples, TRUE AS whole FROM n UNION ALL SELECT 'second', n // 7, TRUE FROM n
+    UNION ALL SELECT 'gate and other', n - n // 5 - n // 7, TRUE FROM n) GROUP BY split""")
+def split_bundle(spark, d):
+    """Sizes of a bundle: two exact sets of whole conversations beside a gate of ten samples a bin, and whether conversations are in one split
+    each. (The SQL knows the sizes; the gate, what is left of its conversations and the rest are counted together.)"""
+    s = samples(spark, d).withColumn("bin", T.bin_of(F.col("history_depth"), T.DEPTH_BINS)).withColumnRenamed("history_depth", "depth")
+    n = s.count()
+    out = splits.bundle(s, list(reversed(T.DEPTH_BINS)), 10, {"first": n // 5, "second": n // 7}, "bundle", strict=False)
+    name = F.when(F.col("split").isin("first", "second"), F.col("split")).otherwise("gate and other")
+    kinds = F.array_sort(F.collect_set("split"))  # of one conversation
+    alone = out.groupBy("conv_id").agg((~F.arrays_overlap(kinds, F.array(F.lit("first"), F.lit("second"), F.lit("rest"))) | (F.size(kinds) == 1)).alias("whole"))
+    return out.join(alone, "conv_id").groupBy(name.alias("split")).agg(F.count("*").alias("samples"), F.bool_and("whole").alias("whole"))

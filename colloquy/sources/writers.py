@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -13,6 +14,7 @@ from ..operators import ranking
 from ..operators.integrity import population_sum, require_same_ids
 from ..session import table
 from . import schemas
+from .stores import KeyedStore
 
 
 def collection(passages: DataFrame, titles: bool = True) -> DataFrame:
@@ -47,29 +49,26 @@ def manifest(df: DataFrame, key: str) -> DataFrame:
 
 
 class RankingStore:
-    """Rankings kept as a Parquet folder; only queries that it doesn't hold are retrieved."""
+    """Rankings kept by query in a KeyedStore; only queries that it doesn't hold are retrieved. A batch that runs again, and writers that
+    rank the same queries at once, leave one ranking a query."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 8):
+        self.store = KeyedStore(spark, path, schemas.HITS, "query_id", buckets)
 
     def read(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(schemas.HITS).parquet(self.path)
-        except Exception as error:
-            if "PATH_NOT_FOUND" in str(error):
-                return self.spark.createDataFrame([], schemas.HITS)
-            raise
+        return self.store.rows()
 
     def pending(self, queries: DataFrame) -> DataFrame:
         """Queries (query_id, query) without a stored ranking. Queries that found nothing are stored with a null docid."""
-        return queries.join(self.read().select("query_id").distinct(), "query_id", "left_anti")
+        return self.store.missing(queries)
 
-    def add(self, queries: DataFrame, retrieve: Callable[[DataFrame], DataFrame]) -> None:
-        """Retrieves for the pending queries and appends."""
+    def add(self, queries: DataFrame, retrieve: Callable[[DataFrame], DataFrame], batch: str | None = None) -> None:
+        """Retrieves for the pending queries and keeps what is found. batch: the name of what may be tried again; its own name otherwise."""
         todo = self.pending(queries)
         hits = retrieve(todo).select("query_id", "rank", "docid", "score")
         rows = todo.select("query_id").distinct().join(hits, "query_id", "left")
-        rows.select("query_id", F.col("rank").cast("int"), F.col("docid").cast("string"), F.col("score").cast("double")).write.mode("append").parquet(self.path)
+        found = rows.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("docid").cast("string").alias("docid"), F.col("score").cast("double").alias("score"))
+        self.store.put(table(found, "rankings"), batch or uuid.uuid4().hex)
 
     def hits(self) -> DataFrame:
         return self.read().where("docid is not null")

@@ -18,8 +18,8 @@ def retrieve_arriving(spark: SparkSession, folder: str, store: RankingStore, ret
     finds its queries in the store already."""
     arriving = spark.readStream.schema("query_id string, query string").parquet(folder)
 
-    def step(batch: DataFrame, _: int) -> None:
-        store.add(batch.dropDuplicates(["query_id"]), retrieve)
+    def step(batch: DataFrame, number: int) -> None:
+        store.add(batch.dropDuplicates(["query_id"]), retrieve, f"stream-{number:012}")
 
     return arriving.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
