@@ -62,15 +62,109 @@ def top_k(scored: DataFrame, k: int, descending_ids: bool = False) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", docid.alias("docid"), "score")
 
 
+#: Rows of queries' terms that go to the executors at once.
+TERM_ROWS = 200_000
+
+
 def bm25(queries: DataFrame, passages: DataFrame | Index, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
     """The k best passages (an index, or docid and text) of each query (query_id, query); queries without a matching passage have no rows.
 
-    Only postings of the queries' terms leave the scan; scores are rounded before they are compared.
+    Queries go out in blocks of about TERM_ROWS distinct terms in all, one pass over the index for each. A task scores BLOCK_ROWS passages
+    at a time and hands on its k best of each query, so that pairs of queries and passages are never shuffled. Scores are rounded before
+    they are compared; ties go by docid, ascending.
     """
+    found = as_index(passages)
+    spark, s = found.spark, found.statistics
     asked = table(query_terms(queries), "query-terms")
-    weights = weighted_postings(passages, asked, k1, b)
-    scores = weights.join(bounded_broadcast(asked), "term").groupBy("query_id", "docid").agg(F.round(F.sum("weight"), DECIMALS).alias("score"))
-    return top_k(scores, k)
+    kind = asked.schema["query_id"].dataType
+    schema = f"query_id {kind.simpleString()}, docid {s['docid']}, score double"
+    blocks = -(-asked.count() // TERM_ROWS) or 1
+    dealt = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    known = found.frequencies.join(bounded_broadcast(asked.select("term").distinct()), "term", "left_semi").select("term", "df")
+    known = table(known, "frequencies")
+    out = spark.createDataFrame([], schema)
+    for block in range(blocks):
+        rows = dealt.where(F.col("_block") == block).join(known, "term").select("query_id", "term", "df").toPandas()  # TERM_ROWS, a tenth more or less
+        if not len(rows):
+            continue
+        terms = rows.drop_duplicates("term").reset_index(drop=True)
+        place = {t: n for n, t in enumerate(terms["term"])}
+        ids = list(dict.fromkeys(rows["query_id"].tolist()))
+        of = {q: n for n, q in enumerate(ids)}
+        wanted = np.array(sorted((of[q], place[t]) for q, t in zip(rows["query_id"], rows["term"], strict=True)), np.int64)
+        df = terms["df"].to_numpy(float)
+        idf = np.log(1 + (s["documents"] - df + 0.5) / (df + 0.5))
+        shared = spark.sparkContext.broadcast((ids, wanted, terms["term"].tolist(), idf, s["average_length"] or 1.0, k1, b))
+        out = out.union(found.documents.mapInArrow(_lexical_best(shared, k), schema))
+    return top_k(out, k)
+
+
+def _lexical_best(shared, k: int, tile: int = 1 << 22, block_rows: int = 20_000):
+    """The k best of every block of passages for each query. wanted: rows of (query, term), in order of queries."""
+
+    def run(batches):
+        ids, wanted, terms, idf, average, k1, b = shared.value
+        term_set = pa.array(terms, pa.string())
+        first = np.searchsorted(wanted[:, 0], np.arange(len(ids) + 1))
+        held: list[tuple] = []
+
+        def best():
+            docids = pa.concat_arrays([d for d, *_ in held])
+            order = pc.sort_indices(docids.cast(pa.string())).to_numpy()
+            at = np.empty(len(order), np.int64)
+            at[order] = np.arange(len(order))
+            starts = np.cumsum([0, *[len(d) for d, *_ in held[:-1]]])
+            doc = at[np.concatenate([n + d for n, (_, d, _, _) in zip(starts, held, strict=True)])]
+            term = np.concatenate([t for *_, t, _ in held])
+            weight = np.concatenate([w for *_, w in held])
+            by_term = np.argsort(term, kind="stable")
+            doc, weight = doc[by_term], weight[by_term]
+            upto = np.searchsorted(term[by_term], np.arange(len(terms) + 1))
+            step = max(1, tile // len(order))
+            for q in range(0, len(ids), step):
+                n = min(step, len(ids) - q)
+                rows = wanted[first[q] : first[q + n]]
+                sizes = upto[rows[:, 1] + 1] - upto[rows[:, 1]]
+                ends = np.cumsum(sizes)
+                posting = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes - upto[rows[:, 1]], sizes)
+                cell = np.repeat(rows[:, 0] - q, sizes) * len(order) + doc[posting]
+                scores = np.bincount(cell, weights=weight[posting], minlength=n * len(order)).reshape(n, len(order))
+                names, places, found = [], [], []
+                for line in range(n):
+                    near = np.flatnonzero(scores[line])
+                    value = np.round(scores[line][near], DECIMALS)
+                    if len(near) > k:
+                        kept = value >= -np.partition(-value, k - 1)[k - 1]
+                        near, value = near[kept], value[kept]
+                    top = np.argsort(-value, kind="stable")[:k]
+                    names.append(np.full(len(top), q + line))
+                    places.append(near[top])
+                    found.append(value[top])
+                names, places, found = np.concatenate(names), np.concatenate(places), np.concatenate(found)
+                if len(names):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(names)), docids.take(pa.array(order[places])), pa.array(found)], names=["query_id", "docid", "score"])
+
+        count = 0
+        for batch in batches:
+            lists = batch.column("terms")
+            flat = pc.list_flatten(lists)
+            if batch.num_rows == 0:
+                continue
+            number = pc.index_in(flat.field("term"), value_set=term_set)
+            hit = number.is_valid().to_numpy(zero_copy_only=False)
+            parent = pc.list_parent_indices(lists).to_numpy()[hit]
+            tf = flat.field("tf").to_numpy(zero_copy_only=False)[hit].astype(float)
+            term = number.filter(number.is_valid()).to_numpy().astype(np.int64)
+            length = batch.column("length").to_numpy(zero_copy_only=False)[parent]
+            held.append((batch.column("docid"), parent.astype(np.int64), term, idf[term] * tf / (tf + k1 * (1 - b + b * length / average))))
+            count += batch.num_rows
+            if count >= block_rows:
+                yield from best()
+                held, count = [], 0
+        if held:
+            yield from best()
+
+    return run
 
 
 def term_weights(pairs: DataFrame, passages: DataFrame | Index) -> DataFrame:

@@ -113,3 +113,33 @@ def test_dense_tiles_hold_few_scores_and_find_the_same():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == 210_000 and peak < 200 << 20  # all scores at once would take 280 MB, their order as much again
+
+
+def test_bm25_by_blocks_of_queries_and_passages(spark, monkeypatch):
+    """Against plain sums, with blocks of few terms, repeated passages that tie, and k beyond the passages found."""
+    from colloquy.operators import retrieval
+
+    rng = random.Random(8)
+    words = [f"t{k}" for k in range(12)]
+    docs = {f"d{k:03}": " ".join(rng.choice(words) for _ in range(rng.randint(0, 9))) for k in range(60)}
+    docs |= {f"e{k}": docs["d001"] or "t1 t2" for k in range(30)}
+    asks = {f"q{k}": " ".join(rng.sample([*words, "absent"], rng.randint(1, 5))) for k in range(15)} | {"none": "absent", "empty": ""}
+    average = sum(len(t.split()) for t in docs.values()) / len(docs)
+    df = collections.Counter(w for t in docs.values() for w in set(t.split()))
+    want = []
+    for k in (3, 500):
+        for q, text in asks.items():
+            scored = {}
+            for d, t in docs.items():
+                tf = collections.Counter(t.split())
+                parts = [math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] / (tf[w] + 0.9 * (0.6 + 0.4 * len(t.split()) / average)) for w in set(text.split()) if tf[w]]
+                if parts:
+                    scored[d] = round(sum(parts), 6)
+            want += [(k, q, n + 1, d) for n, d in enumerate(sorted(scored, key=lambda d: (-scored[d], d))[:k])]
+    corpus = spark.createDataFrame(list(docs.items()), "docid string, text string").repartition(3)
+    queries = spark.createDataFrame(list(asks.items()), "query_id string, query string")
+    for rows in (retrieval.TERM_ROWS, 10):
+        monkeypatch.setattr(retrieval, "TERM_ROWS", rows)
+        got = [(k, r.query_id, r["rank"], r.docid) for k in (3, 500) for r in retrieval.bm25(queries, corpus, k).collect()]
+        assert sorted(got) == sorted(want)
+    assert retrieval.bm25(queries.where("query = ''"), corpus, 3).count() == 0
