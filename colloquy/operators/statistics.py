@@ -219,36 +219,91 @@ def paired(df: DataFrame, unit: list[str], arm: str, left: object, right: object
     return named.withColumn("delta", F.round(F.col("right") - F.col("left"), DECIMALS))
 
 
-def null_monte_carlo(pools: DataFrame, draws: int = REPLICATES, seed: int = 7) -> DataFrame:
-    """Matched null of each group (group, needed int, pool array<double>, baseline double, observed double): `draws` times the best of `needed`
-    pool values drawn without replacement, less the baseline, at least 0. Gives group, null_mean, null_max and p = (draws at or above the
-    observed gain + 1) / (draws + 1)."""
-    asks = pools.select("needed", "pool", "baseline", F.array(F.struct("group", "observed")).alias("asks"))
-    return matched_nulls(asks, pools.schema["group"].dataType.simpleString(), draws, seed)
-
-
-def matched_nulls(asks: DataFrame, group: str = "string", draws: int = REPLICATES, seed: int = 7) -> DataFrame:
-    """null_monte_carlo of rows that hold a pool once for many groups: needed, pool, baseline and asks, a list of (group, observed). group:
-    the type of group. The best of n values without replacement is drawn by its rank: rank k or less has probability C(k, n) / C(N, n)."""
-
-    def kernel(batches):
+#: Ranks of a pool that share a key when draws are looked up (more where a pool has over a million times as many values), and groups
+#: that one task tests at most (on average).
+POOL_RANKS, POOL_GROUPS, POOL_PARTS = 64, 5_000, 1_000_000
+
+
+def _log_factorials(n: np.ndarray) -> np.ndarray:
+    """ln n!, from a table up to 255, from Stirling's series beyond."""
+    listed = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 256)))])
+    x = np.maximum(n, 256).astype(float)
+    return np.where(n < 256, listed[np.minimum(n, 255)], x * np.log(x) - x + 0.5 * np.log(2 * np.pi * x) + 1 / (12 * x) - 1 / (360 * x**3))
+
+
+def best_ranks(size: int, needed: int, u: np.ndarray) -> np.ndarray:
+    """The rank (1 to size) of the best of `needed` values drawn from `size` without replacement, for each uniform number: it is k or less
+    with probability C(k, needed) / C(size, needed)."""
+    low, high = np.full(len(u), needed), np.full(len(u), size)
+    whole = _log_factorials(np.array(size)) - _log_factorials(np.array(size - needed))
+    while (low < high).any():
+        middle = (low + high) // 2
+        reached = np.exp(_log_factorials(middle) - _log_factorials(middle - needed) - whole) > u
+        low, high = np.where(reached, low, np.minimum(middle + 1, high)), np.where(reached, middle, high)
+    return low
+
+
+def pooled_nulls(values: DataFrame, groups: DataFrame, by: list[str], draws: int = REPLICATES, seed: int = 7) -> DataFrame:
+    """Matched null of each group (by, group, needed, baseline, observed gain) against the values (by, value) of its pool: `draws` times the
+    best of `needed` values drawn without replacement, less the baseline, at least 0. Gives by, group, null_mean, null_max and
+    p = (draws at or above the observed gain + 1) / (draws + 1).
+
+    Draws are ranks, which are found without the values; groups of one pool and number share them, so each p is right by itself
+    and those of such groups go together. Values are counted and numbered by ranges, and drawn ranks meet them by short runs of ranks,
+    so no task holds a pool; groups meet their `draws` best values in parts of POOL_GROUPS. Null values don't count; where more
+    are needed than there are, all are drawn; without any, or with none needed, each draw gains 0.
+    """
+    counted = values.where("value is not null").groupBy(*by, F.col("value").cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    counted = table(counted, "pool-values")
+    sizes = counted.groupBy(*by).agg(F.sum("_c").alias("_all"))
+    asked = table(groups.select(*by, "group", "needed", "baseline", "observed"), "pool-groups")
+    kinds = matched(asked.groupBy(*by, "needed").agg(F.count("*").alias("_groups")), sizes, by, "left").withColumn("_all", F.coalesce("_all", F.lit(0)))
+    wide = lambda size: F.greatest(F.lit(POOL_RANKS), F.ceil(size / POOL_PARTS)).cast("long")
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.select(*by).schema.fields)
+    number = asked.schema["needed"].dataType.simpleString()
+
+    def draw(batches):
         for batch in batches:
             out = []
-            for needed, pool, baseline, groups in batch[["needed", "pool", "baseline", "asks"]].itertuples(index=False):
-                pool = np.sort(np.asarray(pool, float))
-                size, n = len(pool), min(int(needed), len(pool))
-                ranks = np.arange(size + 1)
-                logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, size + 1)))])
-                up_to = np.zeros(size + 1)
-                up_to[n:] = np.exp(logs[ranks[n:]] - logs[ranks[n:] - n] - logs[size] + logs[size - n])
-                up_to[-1] = 1.0
-                for g in groups:
-                    u = np.random.default_rng(seed_of(seed, g["group"])).random(draws)
-                    best = np.maximum(0.0, pool[np.searchsorted(up_to, u, "right") - 1] - baseline) if n else np.zeros(draws)
-                    out.append((g["group"], float(best.mean()), float(best.max()), (int((best >= g["observed"]).sum()) + 1) / (draws + 1)))
-            yield pd.DataFrame(out, columns=["group", "null_mean", "null_max", "p"])
-
-    return asks.mapInPandas(kernel, f"group {group}, null_mean double, null_max double, p double")
+            for row in batch.to_dict("records"):
+                key = tuple(row[c] for c in by)
+                n = min(int(row["needed"]), int(row["_all"]))
+                if n > 0:
+                    u = np.random.default_rng(seed_of(seed, *key, int(row["needed"]))).random(draws)
+                    ranks, times = np.unique(best_ranks(int(row["_all"]), n, u), return_counts=True)
+                    out += [(*key, row["needed"], int(row["_all"]), int(r) - 1, int(t)) for r, t in zip(ranks, times, strict=True)]
+            yield pd.DataFrame(out, columns=[*by, "needed", "_all", "_at", "_times"])
+
+    drawn = kinds.repartition(*by, "needed").mapInPandas(draw, f"{keys}, needed {number}, _all long, _at long, _times long").withColumn("_run", F.floor(F.col("_at") / wide(F.col("_all"))))
+    placed = matched(preceding(counted, by, [F.col("_v")], F.col("_c")), sizes, by)
+    width = wide(F.col("_all"))
+    runs = placed.select(*by, "_v", "_before", "_c", F.explode(F.sequence(F.floor(F.col("_before") / width), F.floor((F.col("_before") + F.col("_c") - 1) / width))).alias("_run"))
+    named = runs.withColumnsRenamed({c: f"_of_{c}" for c in [*by, "_run"]})
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*by, "_run"]])
+    inside = (F.col("_at") >= F.col("_before")) & (F.col("_at") < F.col("_before") + F.col("_c"))
+    best = drawn.join(named, same & inside).groupBy(*by, "needed", "_v").agg(F.sum("_times").alias("_times"))
+    parts = kinds.select(*by, "needed", F.ceil(F.col("_groups") / POOL_GROUPS).cast("int").alias("_parts"))
+    dealt = matched(asked, parts, [*by, "needed"]).withColumn("_part", F.pmod(F.xxhash64("group"), F.col("_parts")).cast("int")).drop("_parts")
+    spread = matched(best, parts, [*by, "needed"]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    together = [*by, "needed", "_part"]
+
+    def test(key: tuple, rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        v, times = (found["_v"].to_numpy(), found["_times"].to_numpy()) if len(found) else (np.array([-np.inf]), np.array([draws]))
+        out = []
+        for name, baseline, observed in rows[["group", "baseline", "observed"]].itertuples(index=False):
+            gains = np.maximum(v - baseline, 0.0)
+            out.append((*key[: len(by)], name, float((gains * times).sum() / draws), float(gains.max()), (int(times[gains >= observed].sum()) + 1) / (draws + 1)))
+        return pd.DataFrame(out, columns=[*by, "group", "null_mean", "null_max", "p"])
+
+    kind = asked.schema["group"].dataType.simpleString()
+    return dealt.groupBy(*together).cogroup(spread.groupBy(*together)).applyInPandas(test, f"{keys}, `group` {kind}, null_mean double, null_max double, p double")
+
+
+def null_monte_carlo(pools: DataFrame, draws: int = REPLICATES, seed: int = 7) -> DataFrame:
+    """pooled_nulls of groups with a pool each (group, needed int, pool array<double>, baseline double, observed double)."""
+    kept = table(pools.withColumn("_pool", F.col("group")), "pools")
+    values = kept.select("_pool", F.explode("pool").alias("value"))
+    return pooled_nulls(values, kept.drop("pool"), ["_pool"], draws, seed).drop("_pool")
 
 
 def padding_report(lengths: DataFrame, batch: int, order: list[Column], by: list[str] | None = None) -> DataFrame:

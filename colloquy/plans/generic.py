@@ -251,14 +251,13 @@ def cached_computation(spark, d):
 
 @query()
 def null_mc(spark, d):
-    """Matched null of each user's best event value of a type: draws of as many values from the whole type's. group is user/type."""
+    """Matched null of each user's best event value of a type, less the type's median: draws of as many values from the whole type's."""
     e = read(spark, d, "events").where("value is not null and user_id is not null and event_type is not null").select("user_id", "event_type", F.col("value").cast("double").alias("value"))
-    pools = e.groupBy("event_type").agg(F.collect_list("value").alias("pool"), F.percentile("value", F.lit(0.5)).alias("baseline"))
+    middle = statistics.quantiles(e, "value", ["event_type"], {"baseline": 0.5})
     per = e.groupBy("user_id", "event_type").agg(F.count("*").cast("int").alias("needed"), F.max("value").alias("best"))
-    per = per.join(F.broadcast(pools.select("event_type", "baseline")), "event_type")
-    named = per.select("event_type", "needed", F.struct(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("group"), (F.col("best") - F.col("baseline")).alias("observed")).alias("ask"))
-    asks = named.groupBy("event_type", "needed").agg(F.collect_list("ask").alias("asks")).join(pools, "event_type")
-    return statistics.matched_nulls(asks.select("needed", "pool", "baseline", "asks"))
+    per = statistics.matched(per, middle, ["event_type"])
+    groups = per.select("event_type", F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("group"), "needed", "baseline", (F.col("best") - F.col("baseline")).alias("observed"))
+    return statistics.pooled_nulls(e, groups, ["event_type"]).drop("event_type")
 
 
 @query("SELECT lang, sum((quality = 1 AND toxic = 0)::INT)::BIGINT AS tp, sum((quality = 0 AND toxic = 0)::INT)::BIGINT AS fp, sum((quality = 1 AND toxic = 1)::INT)::BIGINT AS fn, round(2 * sum((quality = 1 AND toxic = 0)::INT) / (2 * sum((quality = 1 AND toxic = 0)::INT) + sum((quality <> 1 - toxic)::INT)), 9) AS f1 FROM documents JOIN labels USING (doc_id) GROUP BY lang")

@@ -244,9 +244,10 @@ def candidate_fusion_patterns(spark, d):
 
 @query()
 def topic_bootstrap(spark, d):
-    """Intervals of first questions' lengths by topic letter, each topic by itself."""
-    s = samples(spark, d).where("turn_id = 1").select("sample_id", F.substring("question", 1, 1).alias("topic"), F.length("question").cast("double").alias("n")).where("topic is not null")
-    return statistics.stratified_bootstrap(s, "topic", "sample_id", "n", "topics", 1_000)
+    """Intervals of questions' lengths among turns that change the topic and those that don't, each by itself."""
+    named = samples(spark, d).withColumn("topic", F.regexp_extract(F.lower(F.coalesce("question", F.lit(""))), "[a-z0-9]+", 0))
+    s = conversation.with_topics(named).select("sample_id", F.when(F.col("topic_switch"), "switch").otherwise("same").alias("topic"), F.coalesce(F.length("question"), F.lit(0)).cast("double").alias("n"))
+    return statistics.stratified_bootstrap(s, "topic", "sample_id", "n", "topics")
 
 
 @query()
@@ -293,3 +294,22 @@ def streamed_log(spark, d):
     incremental.log_arriving(spark, folder, "event_id long, event_type string", path, "event_id", new_path(spark, "stream")).awaitTermination()
     writers.append_log(e.where("event_id % 5 = 0"), path, "event_id")
     return writers.read_log(spark, path, e.schema, "event_id")
+
+
+@query("""WITH b AS (SELECT epoch_us(min(ts)) AS low, epoch_us(max(ts)) AS high FROM events), c AS (SELECT low + (high - low) // 2 AS cut, high FROM b),
+  e AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, event_type, value FROM events, c WHERE NOT (event_id % 7 = 0 AND epoch_us(ts) < cut - 86400000000))
+  SELECT window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM e, c WHERE epoch_us(window_start) + 3600000000 <= high - 600000000 GROUP BY ALL""")
+def streamed_windows(spark, d):
+    """Hourly counts of a stream that arrives in two halves of time. Every seventh event from over a day before the second half comes with that half,
+    behind the watermark, and goes; every eleventh of the last ten minutes before it comes late too, within the watermark, and counts. Windows are written once
+    the watermark has passed them."""
+    e = read(spark, d, "events").where("ts is not null").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value").withColumn("us", F.unix_micros("ts"))
+    low, high = e.agg(F.min("us"), F.max("us")).first()
+    cut, day = (low or 0) + ((high or 0) - (low or 0)) // 2, 86_400_000_000
+    late = ((F.col("event_id") % 7 == 0) & (F.col("us") < cut - day)) | ((F.col("event_id") % 11 == 0) & (F.col("us") >= cut - 600_000_000))
+    first = (F.col("us") < cut) & ~late
+    folder, out, checkpoint = new_path(spark, "halves"), new_path(spark, "windows"), new_path(spark, "stream")
+    for half in (first, ~first):
+        e.where(half).select("ts", "event_type", "value").write.mode("append").parquet(folder)
+        found = incremental.windows_arriving(spark, folder, out, checkpoint)
+    return found.withColumn("window_start", F.col("window_start").cast(read(spark, d, "events").schema["ts"].dataType))  # a watermark needs times with a zone

@@ -46,12 +46,12 @@ DIALOGUE = "conv_id long, turn_id int, depth int, history array<string>, questio
 
 
 def growing_dialogues(messages: DataFrame, most: int = 1_000) -> DataFrame:
-    """A row for each question as it arrives, with the dialogue so far: messages (conv_id, turn, role, text) of a stream; a dialogue's
-    state is its last `most` texts. Within a micro-batch messages are taken by turn; a message that repeats a turn already seen is passed
-    over."""
+    """A row for each question as it arrives, with the dialogue so far: messages (conv_id, turn, role, text) of a stream. depth counts all
+    earlier messages, history holds the last `most` of them, which bounds the state. Within a micro-batch messages are taken by turn;
+    a message that repeats a turn already seen is passed over."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, turns, history = state.get if state.exists else (-1, 0, [])
+        seen, turns, depth, history = state.get if state.exists else (-1, 0, 0, [])
         history, out = list(history), []
         for m in sorted((m for rows in batches for m in rows.itertuples(index=False)), key=lambda m: m.turn):
             if m.turn <= seen:
@@ -59,12 +59,13 @@ def growing_dialogues(messages: DataFrame, most: int = 1_000) -> DataFrame:
             seen = int(m.turn)
             if m.role == "user":
                 turns += 1
-                out.append((key[0], turns, len(history), list(history), m.text))
+                out.append((key[0], turns, depth, list(history), m.text))
+            depth += 1
             history = [*history, m.text or ""][-most:]
-        state.update((seen, turns, history))
+        state.update((seen, turns, depth, history))
         yield pd.DataFrame(out, columns=["conv_id", "turn_id", "depth", "history", "question"])
 
-    return messages.groupBy("conv_id").applyInPandasWithState(step, DIALOGUE, "seen int, turns int, history array<string>", "append", "NoTimeout")
+    return messages.groupBy("conv_id").applyInPandasWithState(step, DIALOGUE, "seen int, turns int, depth int, history array<string>", "append", "NoTimeout")
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -72,3 +73,13 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
     timed = events.withWatermark("ts", late) if events.isStreaming else events
     g = timed.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
     return g.select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
+
+
+def windows_arriving(spark: SparkSession, folder: str, path: str, checkpoint: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """The windows (see windowed_counts) that are complete once all files (ts, event_type, value) now in the folder are taken in. Each is appended to
+    path when the watermark, the latest time seen less `late`, has passed its end; later calls with the same checkpoint go on from there.
+    Rows of windows that the watermark has passed go; those of others count, however late."""
+    arriving = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(folder)
+    counts = windowed_counts(arriving, width, late)
+    counts.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
+    return spark.read.schema("window_start timestamp, event_type string, n long, total double").parquet(path)
