@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import composites, conversations, generic, masks, modelled, pools, reports, search, studies
+from . import composites, conversations, evidence, generic, masks, modelled, pools, reports, search, studies
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _part in (search, conversations, masks, generic, composites, studies, reports, pools, modelled):
+for _part in (search, conversations, masks, generic, composites, studies, reports, pools, modelled, evidence):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
