@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import table
+from . import statistics
+
 DECIMALS = 9
 
 
@@ -82,3 +87,56 @@ def hit_patterns_of(fused: DataFrame, gold: DataFrame, lists: list[str], k: int
     named = F.array_join(F.filter(F.array(*map(F.lit, lists)), lambda x: F.array_contains("have", x)), "+")
     each = gold.select("query_id").distinct().join(found, "query_id", "left").select(F.when(F.col("have").isNull(), "neither").otherwise(named).alias("pattern"))
     return each.groupBy("pattern").agg(F.count("*").alias("n"))
+
+
+def endpoint_pairs(values: DataFrame, comparisons: dict[str, tuple[str, str]], endpoints: dict[str, int], route: str, unit: str, value: str, complete: bool = True) -> DataFrame:
+    """comparison, route, unit, left, right and delta (left less right) of the units of both systems of each comparison, each system at its
+    endpoint. values: system, epoch, route, unit and value. A unit that a system has twice at its endpoint raises, as does one that only one system of a
+    comparison has, unless not complete: then it goes. Null values count as missing."""
+    at = reduce(lambda x, y: x | y, [(F.col("system") == s) & (F.col("epoch") == e) for s, e in endpoints.items()])
+    ends = values.where(at & F.col(value).isNotNull()).select("system", route, unit, F.col(value).cast("double").alias("_v"))
+    ends = table(ends.groupBy("system", route, unit).agg(F.count("*").alias("_n"), F.max("_v").alias("_v")), "endpoints")
+    if twice := ends.where("_n > 1").head(1):
+        raise ValueError(f"{twice[0].system} has {twice[0][unit]} twice")
+    wide = ends.groupBy(route, unit).pivot("system", list(endpoints)).agg(F.first("_v"))
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("comparison"), F.col(f"`{left}`").alias("left"), F.col(f"`{right}`").alias("right")) for name, (left, right) in comparisons.items()]))
+    pairs = wide.select(route, unit, each.alias("x")).select("x.comparison", route, unit, "x.left", "x.right")
+    if complete and (odd := pairs.where(F.col("left").isNull() != F.col("right").isNull()).head(1)):
+        raise ValueError(f"{odd[0][unit]} lacks a side of {odd[0].comparison}")
+    return pairs.where("left is not null and right is not null").withColumn("delta", F.col("left") - F.col("right"))
+
+
+def contrast_summary(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """by, n, mean left and right, delta, and how many units are better, worse and equal on the left."""
+    sign = lambda test: F.count_if(test).alias
+    d = F.col("delta")
+    return pairs.groupBy(*by).agg(F.count("*").alias("n"), r(F.avg("left")).alias("left"), r(F.avg("right")).alias("right"), r(F.avg("delta")).alias("delta"), sign(d > 0)("better"), sign(d < 0)("worse"), sign(d == 0)("equal"))
+
+
+def endpoint_contrasts(pairs: DataFrame, route: str, unit: str, draws: int = statistics.REPLICATES, seed: int = 7) -> DataFrame:
+    """contrast_summary of endpoint_pairs by comparison and route with low and high, the 95 % interval of delta: units are drawn one by one."""
+    by = ["comparison", route]
+    pairs = table(pairs, "endpoint-pairs")
+    ends = statistics.singleton_bootstrap(pairs, unit, ["delta"], by, draws, seed).select(*by, r(F.col("low")).alias("low"), r(F.col("high")).alias("high"))
+    return statistics.matched(contrast_summary(pairs, by), ends, by)
+
+
+def design_contrasts(values: DataFrame, cells: list[str], comparisons: dict[str, tuple[str, str]], unit: list[str], cluster: str, by: list[str], draws: int = statistics.REPLICATES, seed: int = 7) -> DataFrame:
+    """by, comparison, n, left, right, delta, low and high: means of two cells of a complete design and the interval of their difference.
+
+    values: by, unit, cluster, cell and value. All cells and comparisons of a group come from the same draws of clusters. A unit without one of the cells, or
+    with one twice, raises.
+    """
+    counted = table(values.groupBy(*by, *unit, cluster).pivot("cell", cells).agg(F.max("value").cast("double").alias("v"), F.count("value").alias("n")), "design")
+    if odd := counted.where(reduce(lambda x, y: x | y, [F.coalesce(F.col(f"`{c}_n`"), F.lit(0)) != 1 for c in cells])).head(1):
+        raise ValueError(f"the design is not complete: {[odd[0][u] for u in unit]}")
+    names = {c: f"c{n}" for n, c in enumerate(cells)}
+    wide = counted.select(*by, *unit, cluster, *[F.col(f"`{c}_v`").alias(n) for c, n in names.items()])
+    sums = table(statistics.cluster_sums(wide, cluster, list(names.values()), by), "design-sums")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("comparison"), (F.col(names[a]) / F.col("rows")).alias("left"), (F.col(names[b]) / F.col("rows")).alias("right")) for k, (a, b) in comparisons.items()])).alias("x")
+    drawn = statistics.drawn_sums(sums, cluster, ["rows", *names.values()], by, draws, seed).select(*by, each).select(*by, "x.*")
+    ends = statistics.interval(drawn, F.col("left") - F.col("right"), [*by, "comparison"])
+    whole = sums.groupBy(*by).agg(F.sum("rows").alias("rows"), *[F.sum(n).alias(n) for n in names.values()])
+    means = whole.select(*by, F.col("rows").alias("n"), each).select(*by, "n", "x.*")
+    found = statistics.matched(means, ends, [*by, "comparison"])
+    return found.select(*by, "comparison", "n", r(F.col("left")).alias("left"), r(F.col("right")).alias("right"), r(F.col("left") - F.col("right")).alias("delta"), r(F.col("low")).alias("low"), r(F.col("high")).alias("high"))

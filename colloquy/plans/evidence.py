@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import conversation, evidence
+from ..functions import text as T
+from ..operators import conversation, evidence, routes, studies
 from ..session import read, table
 from .bindings import TURNS, indexed, samples
+from .composites import ASKED, BUDGETS, _evaluated
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +77,46 @@ def evidence_pieces(spark, d):
     p = evidence.piece_scores(e, evidence.gold_token_scores(s, gold, indexed(spark, d)), s)
     total = F.aggregate("scores", F.lit(0.0), lambda a, x: a + x)
     return p.select("sample_id", F.size(F.filter("segments", lambda x: x == 1)).alias("pieces"), F.size(F.filter("scores", lambda x: x > 0)).alias("with_evidence"), F.round(total, 6).alias("evidence"))
+
+
+#: Event types stand for systems, the last digit of an event's id by four for the epoch, and halves of the day for routes.
+ENDPOINTS = {"view": 0, "click": 3, "purchase": 3}
+COMPARISONS = {"purchase_minus_click": ("purchase", "click"), "click_minus_view": ("click", "view"), "purchase_minus_view": ("purchase", "view")}
+
+
+def _endpoints(spark, d):
+    half = F.when(F.hour("ts") < 12, "am").otherwise("pm").alias("route")
+    e = read(spark, d, "events").where("user_id is not null").groupBy(F.col("event_type").alias("system"), (F.col("event_id") % 4).alias("epoch"), half, "user_id").agg(F.avg("value").alias("v"))
+    return studies.endpoint_pairs(e, COMPARISONS, ENDPOINTS, "route", "user_id", "v", complete=False)
+
+
+@query("""WITH e AS (SELECT event_type AS system, CASE WHEN hour(ts) < 12 THEN 'am' ELSE 'pm' END AS route, user_id, avg(value) AS v FROM events WHERE user_id IS NOT NULL AND event_id % 4 = CASE event_type WHEN 'view' THEN 0 ELSE 3 END GROUP BY ALL HAVING avg(value) IS NOT NULL),
+  c AS (SELECT * FROM (VALUES ('purchase_minus_click', 'purchase', 'click'), ('click_minus_view', 'click', 'view'), ('purchase_minus_view', 'purchase', 'view')) AS t(comparison, l, r))
+  SELECT comparison, a.route, count(*) AS n, round(avg(a.v), 9) AS "left", round(avg(b.v), 9) AS "right", round(avg(a.v - b.v), 9) AS delta, count(*) FILTER (a.v > b.v) AS better, count(*) FILTER (a.v < b.v) AS worse, count(*) FILTER (a.v = b.v) AS equal
+  FROM c JOIN e a ON a.system = l JOIN e b ON b.system = r AND b.route = a.route AND b.user_id = a.user_id GROUP BY ALL""")
+def endpoint_contrasts(spark, d):
+    """Users' mean values at the endpoints of three systems, two by two."""
+    return studies.contrast_summary(_endpoints(spark, d), ["comparison", "route"])
+
+
+@query()
+def endpoint_intervals(spark, d):
+    """endpoint_contrasts with the interval of each difference."""
+    return studies.endpoint_contrasts(_endpoints(spark, d), "route", "user_id")
+
+
+@query()
+def paired_quality_intervals(spark, d):
+    """Routes against route I at each budget, and budgets against each other, all from the same draws of conversations."""
+    m = _evaluated(spark, d).select("sample_id", "conv_id", F.concat_ws("_", "route", F.col("budget").cast("string")).alias("cell"), F.col("mrr").alias("value"), F.lit("all").alias("design"))
+    cells = [f"{r}_{b}" for r in routes.ROUTES for b in BUDGETS]
+    pairs = {f"{r}_{b} - I_{b}": (f"{r}_{b}", f"I_{b}") for r in routes.ROUTES if r != "I" for b in BUDGETS}
+    pairs |= {f"{r}_{BUDGETS[1]} - {r}_{BUDGETS[0]}": (f"{r}_{BUDGETS[1]}", f"{r}_{BUDGETS[0]}") for r in routes.ROUTES}
+    return studies.design_contrasts(m, cells, pairs, ["sample_id"], "conv_id", ["design"]).drop("design")
+
+
+@query()
+def depth_strata_intervals(spark, d):
+    """Routes' mean reciprocal ranks and differences to route I by bin of history depth; routes of a bin share their population and draws."""
+    m = _evaluated(spark, d).where("budget = 64").select("sample_id", "conv_id", F.col("route").alias("cell"), F.col("mrr").alias("value"), T.bin_of(F.col("depth"), T.DEPTH_BINS).alias("bin"))
+    return studies.design_contrasts(m, list(routes.ROUTES), {f"{r} - I": (r, "I") for r in routes.ROUTES if r != "I"}, ["sample_id"], "conv_id", ["bin"])
