@@ -219,9 +219,9 @@ def paired(df: DataFrame, unit: list[str], arm: str, left: object, right: object
     return named.withColumn("delta", F.round(F.col("right") - F.col("left"), DECIMALS))
 
 
-#: Ranks of a pool that share a key when draws are looked up (more where a pool has over a million times as many values), and groups
-#: that one task tests at most (on average).
-POOL_RANKS, POOL_GROUPS, POOL_PARTS = 64, 5_000, 1_000_000
+#: Ranks of a pool that share a key when draws are looked up, such runs of a pool (larger pools have longer runs), and groups and kinds
+#: (pool and number) that one task tests and draws for (on average).
+POOL_RANKS, POOL_PARTS, POOL_GROUPS, POOL_KINDS = 64, 1_000_000, 5_000, 16
 
 
 def _log_factorials(n: np.ndarray) -> np.ndarray:
@@ -258,6 +258,8 @@ def pooled_nulls(values: DataFrame, groups: DataFrame, by: list[str], draws: int
     sizes = counted.groupBy(*by).agg(F.sum("_c").alias("_all"))
     asked = table(groups.select(*by, "group", "needed", "baseline", "observed"), "pool-groups")
     kinds = matched(asked.groupBy(*by, "needed").agg(F.count("*").alias("_groups")), sizes, by, "left").withColumn("_all", F.coalesce("_all", F.lit(0)))
+    kinds = table(kinds, "pool-kinds")
+    tasks = min(-(-kinds.count() // POOL_KINDS) or 1, 10_000)  # few bytes make many draws, so their number tells how to deal them
     wide = lambda size: F.greatest(F.lit(POOL_RANKS), F.ceil(size / POOL_PARTS)).cast("long")
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.select(*by).schema.fields)
     number = asked.schema["needed"].dataType.simpleString()
@@ -274,7 +276,7 @@ def pooled_nulls(values: DataFrame, groups: DataFrame, by: list[str], draws: int
                     out += [(*key, row["needed"], int(row["_all"]), int(r) - 1, int(t)) for r, t in zip(ranks, times, strict=True)]
             yield pd.DataFrame(out, columns=[*by, "needed", "_all", "_at", "_times"])
 
-    drawn = kinds.repartition(*by, "needed").mapInPandas(draw, f"{keys}, needed {number}, _all long, _at long, _times long").withColumn("_run", F.floor(F.col("_at") / wide(F.col("_all"))))
+    drawn = kinds.repartition(tasks, *by, "needed").mapInPandas(draw, f"{keys}, needed {number}, _all long, _at long, _times long").withColumn("_run", F.floor(F.col("_at") / wide(F.col("_all"))))
     placed = matched(preceding(counted, by, [F.col("_v")], F.col("_c")), sizes, by)
     width = wide(F.col("_all"))
     runs = placed.select(*by, "_v", "_before", "_c", F.explode(F.sequence(F.floor(F.col("_before") / width), F.floor((F.col("_before") + F.col("_c") - 1) / width))).alias("_run"))
