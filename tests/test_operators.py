@@ -282,6 +282,8 @@ def test_exact_subset_is_the_first_reached(spark):
             assert {r.conv for r in splits.exact_subset(df, "conv", "n", target, "s").collect()} == want, (seed, target)
     at = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((0, 13), (13, 14), (15, 27), (-3, 3))])
     assert one(spark, spans.kept_text(F.lit("Ada  Lovelace, ada lovelace!"), at)) == "Ada Ada Lovelace"
+    ends = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((0, 3), (4, 6))])
+    assert one(spark, spans.kept_text(F.lit("las ñ."), ends)) == "las ñ." and one(spark, spans.kept_text(F.lit("las ñ."), ends, r"\w")) == "las"
     assert one(spark, spans.kept_text(F.lit(None).cast("string"), at)) == "" and one(spark, spans.kept_text(F.lit(""), at)) == ""
 
 
