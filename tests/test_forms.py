@@ -21,3 +21,10 @@ def against_sql(spark, tmp_path, name, documents, turns):
 def test_kept_texts_without_an_ascii_letter(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "kept_texts", [(1, "a")], [(50, 1, "user", "Una las de ñ."), (50, 2, "assistant", "ja"), (100, 1, "user", "ñ. é"), (150, 1, "user", "Una las de ñ1")])
     assert got == want and len(got) == 3
+
+
+def test_path_fusion_searches_for_the_words_as_documents_have_them(spark, tmp_path):
+    documents = [(n, text) for n, text in enumerate(["eins ßlichbe wort", "sslichbe wort", "STRASSE hier", "straße dort", *[f"wort{k} anderes" for k in range(200)]])]
+    turns = [(50, 1, "user", "Die ßlichbe Strasse"), (50, 2, "assistant", "ja"), (100, 1, "user", "STRASSE dort"), (150, 1, "user", "straße dort")]
+    got, want = against_sql(spark, tmp_path, "path_fusion", documents, turns)
+    assert got == want and len(got) == 9
