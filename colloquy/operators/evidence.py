@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import text as T
+from ..llm.common import bounded
 from ..session import table
 from . import conversation, retrieval
 from .index import Index
-from .spans import tokens_with_offsets
+from .spans import TEXTS, tokens_with_offsets
 from .statistics import DECIMALS
 
 PIECES = "piece_ids array<int>, segments array<int>, starts array<int>, ends array<int>, kept int"
@@ -25,6 +26,7 @@ def history_tokens(samples: DataFrame, key: str = "sample_id") -> DataFrame:
     """key, turn_id, field (question or answer), start, end and text: the runs of anything but white space in every field of the history, with
     their places in the field in code points. Null fields have none."""
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"t.{f}").alias("said")) for f in ("question", "answer")])
+    bounded(samples.sparkSession)
     each = samples.select(key, F.explode("history").alias("t")).select(key, F.col("t.turn_id").alias("turn_id"), F.explode(fields).alias("f"))
     placed = each.select(key, "turn_id", F.col("f.field").alias("field"), F.explode(tokens_with_offsets("f.said")).alias("w"))
     return placed.select(key, "turn_id", "field", "w.start", "w.end", "w.text")
@@ -89,7 +91,7 @@ def encoded_pieces(pairs: DataFrame, path: str, most: int, opening: str, closing
         marks = t.token_to_id(opening), t.token_to_id(closing)
         if None in marks:
             raise ValueError("the tokenizer lacks a marker")
-        for batch in batches:
+        for batch in (b[at : at + TEXTS] for b in batches for at in range(0, len(b), TEXTS)):
             asked, said = (t.encode_batch([x if isinstance(x, str) else "" for x in batch[c]], add_special_tokens=False) for c in (first, second))
             rows = []
             for a, b in zip(asked, said, strict=True):
@@ -105,6 +107,7 @@ def encoded_pieces(pairs: DataFrame, path: str, most: int, opening: str, closing
             found = pd.DataFrame(rows, columns=["piece_ids", "segments", "starts", "ends", "kept"]).astype({"kept": "Int32"})
             yield pd.concat([batch[names].reset_index(drop=True), found], axis=1)
 
+    bounded(pairs.sparkSession)
     return pairs.mapInPandas(run, f"{schema}, {PIECES}")
 
 
@@ -115,21 +118,19 @@ def encoded_history(samples: DataFrame, path: str, most: int, opening: str, clos
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
-def _over(segments: pd.Series, starts: pd.Series, ends: pd.Series, scored: pd.Series) -> pd.Series:
-    def project(parts, low, high, found):
+def _over(segments: pd.Series, starts: pd.Series, ends: pd.Series, froms: pd.Series, tos: pd.Series, values: pd.Series) -> pd.Series:
+    def project(parts, low, high, at, to, score):
         if parts is None:
             return None
         out = np.zeros(len(parts))
-        spans = sorted((s["start"], s["end"], s["score"]) for s in found) if found is not None else []
-        if spans:
-            at, to, score = map(np.array, zip(*spans, strict=True))
+        if at is not None and len(at):
             first, last = np.searchsorted(to, low, "right"), np.searchsorted(at, high, "left")
             for n, part in enumerate(parts):
                 if part == 1 and high[n] > low[n] and last[n] > first[n]:
                     out[n] = max(0.0, score[first[n] : last[n]].max())
         return out
 
-    return pd.Series([project(*row) for row in zip(segments, starts, ends, scored, strict=True)])
+    return pd.Series([project(*row) for row in zip(segments, starts, ends, froms, tos, values, strict=True)])
 
 
 def piece_scores(encoded: DataFrame, scores: DataFrame, samples: DataFrame, recent_first: bool = False, key: str = "sample_id") -> DataFrame:
@@ -144,4 +145,6 @@ def piece_scores(encoded: DataFrame, scores: DataFrame, samples: DataFrame, rece
     placed = samples.select(key, F.explode(fields).alias("o")).select(key, F.col("o.turn_id").alias("turn_id"), F.explode(F.create_map(F.lit("question"), F.col("o.question_start"), F.lit("answer"), F.col("o.answer_start"))).alias("field", "_from"))
     positive = scores.where("score_norm > 0").join(placed, [key, "turn_id", "field"])
     spans = positive.groupBy(key).agg(F.collect_list(F.struct((F.col("start") + F.col("_from")).alias("start"), (F.col("end") + F.col("_from")).alias("end"), F.col("score_norm").alias("score"))).alias("_spans"))
-    return encoded.join(spans, key, "left").select(key, "piece_ids", "segments", _over("segments", "starts", "ends", "_spans").alias("scores"))
+    bounded(samples.sparkSession)
+    sorted_ = spans.withColumn("_spans", F.array_sort("_spans"))
+    return encoded.join(sorted_, key, "left").select(key, "piece_ids", "segments", _over("segments", "starts", "ends", "_spans.start", "_spans.end", "_spans.score").alias("scores"))
