@@ -1,9 +1,11 @@
 """Steps that must not grow with the product of two tables, or hold more than a bounded part of one."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import BATCH_BYTES, BATCH_ROWS
-from colloquy.operators import evidence
+from colloquy.operators import evidence, retrieval
 from colloquy.operators.spans import TEXTS, tokens_with_offsets
 
 
@@ -17,3 +19,33 @@ def test_history_tokens_come_in_bounded_batches(spark):
     got = {(r.sample_id, r.text, r.start, r.end) for r in found.collect()}
     assert got == {(str(n), t[a:b], a, b) for n, t in enumerate(texts) if t for a, b in ((0, t.index(" ")), (t.index("é"), t.index("é") + 1), (len(t) - 4, len(t)))}
     assert spark.range(0).select(tokens_with_offsets(F.lit("a"))).count() == 0
+
+
+class Shared:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_lexical_search_passes_over_what_cannot_be_best():
+    rng, n, k = np.random.default_rng(3), 3000, 5
+    vocabulary = [f"t{v}" for v in range(60)]
+    chance = np.array([0.6, 0.5, 0.4, *[0.02] * 57])
+    terms = [[{"term": t, "tf": int(rng.integers(1, 4))} for t, c in zip(vocabulary, chance, strict=True) if rng.random() < c] for _ in range(n)]
+    length = [sum(t["tf"] for t in listed) + 3 for listed in terms]
+    df = np.array([sum(any(t["term"] == v for t in listed) for listed in terms) for v in vocabulary])
+    idf, average = np.log(1 + (n - df + 0.5) / (df + 0.5)), float(np.mean(length))
+    queries = [sorted(rng.choice(60, size, replace=False).tolist()) for size in (1, 2, 5, 20, 60)] + [[0], [0, 1, 2], [0, 7]]
+    wanted = np.array([(q, t) for q, listed in enumerate(queries) for t in listed], np.int32)
+    ids = [f"q{q}" for q in range(len(queries))]
+    shared = Shared((pa.array(ids), wanted, pa.array(vocabulary), idf, average, 0.9, 0.4))
+    docids = rng.permutation(n)
+    kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())]))
+    batches = [pa.RecordBatch.from_arrays([pa.array(docids[a : a + 100]), pa.array(length[a : a + 100], pa.int32()), pa.array(terms[a : a + 100], kind)], names=["docid", "length", "terms"]) for a in range(0, n, 100)]
+    found = [r for b in retrieval._lexical_best(shared, k, block_rows=300, postings=10**9)(iter(batches)) for r in b.to_pylist()]
+    number = {v: j for j, v in enumerate(vocabulary)}
+    weights = [{number[t["term"]]: idf[number[t["term"]]] * t["tf"] / (t["tf"] + 0.9 * (1 - 0.4 + 0.4 * size / average)) for t in listed} for listed, size in zip(terms, length, strict=True)]
+    for q, listed in enumerate(queries):
+        every = [(-round(sum(w[t] for t in listed if t in w), 6), str(d)) for d, w in zip(docids, weights, strict=True) if any(t in w for t in listed)]
+        got = sorted((-r["score"], str(r["docid"])) for r in found if r["query_id"] == f"q{q}")[:k]
+        assert np.allclose([s for s, _ in got], [s for s, _ in sorted(every)[:k]]) and [d for _, d in got] == [d for _, d in sorted(every)[:k]], q
+    assert len(found) < len(queries) * k * 10 * 0.8  # ten blocks
