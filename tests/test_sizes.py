@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import BATCH_BYTES, BATCH_ROWS
-from colloquy.operators import evidence, retrieval
+from colloquy.operators import evidence, metrics, retrieval
 from colloquy.operators.spans import TEXTS, tokens_with_offsets
 
 
@@ -49,3 +49,20 @@ def test_lexical_search_passes_over_what_cannot_be_best():
         got = sorted((-r["score"], str(r["docid"])) for r in found if r["query_id"] == f"q{q}")[:k]
         assert np.allclose([s for s, _ in got], [s for s, _ in sorted(every)[:k]]) and [d for _, d in got] == [d for _, d in sorted(every)[:k]], q
     assert len(found) < len(queries) * k * 10 * 0.8  # ten blocks
+
+
+def test_gold_sets_that_queries_share_are_as_gold_of_each(spark):
+    queries = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), ("d", 3), ("e", None)], "query_id string, gold_set int")
+    sets = spark.createDataFrame([(1, "x"), (1, "y"), (1, "x"), (2, "z")], "gold_set int, docid string")
+    gold = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("b", "y"), ("c", "z")], "query_id string, docid string")
+    rows = [("a", 1, "y"), ("a", 2, "z"), ("b", 3, "x"), ("b", 1, "q"), ("c", 1, "x"), ("e", 1, "x")]
+    hits = spark.createDataFrame(rows, "query_id string, rank int, docid string")
+    one, two = (sorted(map(tuple, metrics.per_query(queries, hits, g, [1, 3]).collect())) for g in (gold, sets))
+    assert one == two and len(one) == 5
+    right = hits.where("rank > 1")
+    each = [sorted(map(tuple, metrics.union_recall(g, hits, right, [1, 5], queries).collect())) for g in (gold, sets)]
+    assert each[0] == each[1] and (5, "both", 1, 0.2) in each[0] and (1, "neither", 4, 0.8) in each[0] and len(each[0]) == 8
+    assert not metrics.union_recall(gold.limit(0), hits, right, [1]).collect()
+    # gold is looked up by set, never repeated for each query that shares it
+    plan = metrics.judged(queries, hits, sets)[0]
+    assert sorted(map(tuple, plan.collect())) == [("a", 2), ("b", 2), ("c", 1)]
