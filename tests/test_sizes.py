@@ -66,3 +66,11 @@ def test_gold_sets_that_queries_share_are_as_gold_of_each(spark):
     # gold is looked up by set, never repeated for each query that shares it
     plan = metrics.judged(queries, hits, sets)[0]
     assert sorted(map(tuple, plan.collect())) == [("a", 2), ("b", 2), ("c", 1)]
+
+
+def test_term_weights_list_the_named_passages_alone(spark):
+    passages = spark.createDataFrame([(1, "red fox fox"), (2, "red hen"), (3, "hen hen")], "docid long, text string")
+    wanted, named = spark.createDataFrame([("red",), ("hen",)], "term string"), spark.createDataFrame([(2,)], "docid long")
+    every = {(r.docid, r.term): r.weight for r in retrieval.weighted_postings(passages, wanted).collect()}
+    some = {(r.docid, r.term): r.weight for r in retrieval.weighted_postings(passages, wanted, docids=named).collect()}
+    assert set(every) == {(1, "red"), (2, "red"), (2, "hen"), (3, "hen")} and some == {k: v for k, v in every.items() if k[0] == 2}
