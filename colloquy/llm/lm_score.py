@@ -6,11 +6,10 @@ from a uniform base over the vocabulary and one unknown word. Seating is sampled
 * Given a restaurant's number of tables t, an auxiliary variable g ~ Gamma(strength / d + t) makes its dishes independent:
   a customer of dish w opens a new table with weight d g p(w) against n - d for each table of n customers. So all dishes of
   all restaurants are reseated in parallel.
-* Of each dish, MOVES customers drawn at random get up in every sweep, one after another, and each is seated anew given all
-  others: the one-customer step of the Chinese restaurant, scanned at random. The rule is the same for dishes of any size.
-  Dishes of one customer have one table. Larger ones begin with about the number of tables that their weight lets expect.
-* The tables below are the root's customers. Where their number has changed since the last sweep, a dish's tables at the root grow
-  or shrink in proportion, which takes no longer for more customers; then they are reseated in the same way.
+* All customers of a dish get up at once in every sweep. As only the number of their tables counts further on, it is drawn from
+  its whole distribution: t tables with weight S(n, t) x ** t for n customers and a new table's weight x, where S are the generalised
+  Stirling numbers. The rule is the same for dishes of any size, and nothing of the seating before is needed.
+* The tables below are the root's customers; their tables there are drawn in the same way.
 
 The model's probability of w after u is (n(u, w) - d t(u, w) + (strength + d t(u)) p(w)) / (strength + n(u)), averaged over
 the sweeps after the burn-in. Contexts, pairs and counts are those of all training texts, so they grow with the corpus.
@@ -23,7 +22,9 @@ buckets of words and of pairs tell each other tables and weights in every sweep.
 
 from __future__ import annotations
 
+import functools
 import itertools
+import math
 import pickle
 
 import numpy as np
@@ -36,7 +37,7 @@ from pyspark.sql.types import StructType
 
 from .common import LOWER, discard, fold, grouped, in_arrow, mix, packed, schema_with, squeezed, table, unpacked, unsqueezed
 
-SWEEPS, BURN_IN, MOVES = 4, 1, 4
+SWEEPS, BURN_IN = 4, 1
 STRENGTH = 0.5
 #: The end of a text as a word; no word holds a space.
 END = b" "
@@ -325,13 +326,13 @@ def resized(sizes: np.ndarray, t: np.ndarray, customers: np.ndarray) -> tuple[np
     return sizes, kept
 
 
-def reseated(sizes: np.ndarray, t: np.ndarray, customers: np.ndarray, weight: np.ndarray, discount: float, chance: Chance, moves: int = MOVES) -> tuple[np.ndarray, np.ndarray]:
-    """Tables (flat sizes, and how many a dish) after `moves` customers of each dish, drawn at random, have got up one after another and
-    been seated anew. Where `customers` differs from the tables', these grow or shrink in proportion first."""
+def reseated(sizes: np.ndarray, t: np.ndarray, customers: np.ndarray, weight: np.ndarray, discount: float, chance: Chance) -> tuple[np.ndarray, np.ndarray]:
+    """Tables (flat sizes, and how many a dish) after as many customers of each dish as it has, drawn at random, have got up one after
+    another and been seated anew. Where `customers` differs from the tables', these grow or shrink in proportion first. These are the
+    plain steps whose distribution tables_drawn() draws from at once; they give tables' sizes, which the model doesn't need."""
     sizes, t = resized(sizes, t, customers)
     first = np.cumsum(t) - t
-    room = np.maximum(t, np.minimum(customers, t + moves))
-    wide = 1 << np.ceil(np.log2(np.maximum(room, 1))).astype(np.int64)
+    wide = 1 << np.ceil(np.log2(np.maximum(customers, 1))).astype(np.int64)
     out_t, parts = np.zeros(len(t), np.int64), []
     for cap in np.unique(wide):
         members = np.flatnonzero(wide == cap)
@@ -341,11 +342,10 @@ def reseated(sizes: np.ndarray, t: np.ndarray, customers: np.ndarray, weight: np
             row = np.repeat(np.arange(len(m)), t[m])
             column = np.arange(t[m].sum()) - np.repeat(np.cumsum(t[m]) - t[m], t[m])
             x[row, column] = sizes[np.repeat(first[m], t[m]) + column]
-            draw = lambda rows, m=m: chance.uniform(m[rows])
-            every = np.arange(len(m))
-            for _ in range(moves):
-                _leave(x, every, draw(every))
-                _seat(x, every, weight[m], discount, draw(every))
+            for step in range(int(customers[m].max())):
+                rows = np.flatnonzero(customers[m] > step)
+                _leave(x, rows, chance.uniform(m[rows]))
+                _seat(x, rows, weight[m], discount, chance.uniform(m[rows]))
             out_t[m] = (x > 0).sum(axis=1)
             parts.append((np.repeat(m, out_t[m]), x[x > 0]))
     if not parts:
@@ -369,6 +369,82 @@ def _seat(x: np.ndarray, rows: np.ndarray, weight: np.ndarray, discount: float,
     x[rows, np.where(new, (mine == 0).argmax(axis=1), (sums <= r[:, None]).sum(axis=1))] += 1
 
 
+#: Customers of a dish up to which generalised Stirling numbers are listed, and nodes and cells of the integrals beyond.
+LISTED, NODES, CELLS = 1_024, 64, 1 << 20
+
+
+@functools.lru_cache(2)
+def stirling_logs(discount: float, upto: int = LISTED) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers S(n, t), n and t up to `upto`, by S(n + 1, t) = S(n, t - 1) + (n - t d) S(n, t)."""
+    out = np.full((upto + 1, upto + 1), -np.inf)
+    out[1, 1] = 0.0
+    for n in range(1, upto):
+        out[n + 1, 1 : n + 1] = np.logaddexp(out[n, :n], np.log(n - np.arange(1, n + 1) * discount) + out[n, 1 : n + 1])
+        out[n + 1, n + 1] = 0.0
+    return out
+
+
+def tables_drawn(customers: np.ndarray, weight: np.ndarray, discount: float, chance: Chance) -> np.ndarray:
+    """The number of tables of each dish, drawn with weight S(n, t) x ** t for t tables of its n customers, x its weight: the distribution
+    that seating all customers anew, over and over, leads to."""
+    u, out = chance.uniform(), np.minimum(customers, 1).astype(np.int64)
+    order = np.argsort(customers, kind="stable")
+    order = order[np.searchsorted(customers[order], 2) :]
+    for n, a, z in runs(customers[order]):
+        if n > LISTED:
+            out[order[a:z]] = [large_drawn(n, x, discount, y) for x, y in zip(weight[order[a:z]].tolist(), u[order[a:z]].tolist(), strict=True)]
+            continue
+        logs, t = stirling_logs(discount)[n, 1 : n + 1], np.arange(1, n + 1)
+        for at in range(a, z, CELLS // n):
+            m = order[at : min(z, at + CELLS // n)]
+            p = logs + np.log(weight[m])[:, None] * t
+            p = np.exp(p - p.max(axis=1, keepdims=True)).cumsum(axis=1)
+            out[m] = 1 + (p[:, :-1] <= (u[m] * p[:, -1])[:, None]).sum(axis=1)
+    return out
+
+
+def large_chances(n: int, weight: float, discount: float) -> tuple[int, np.ndarray]:
+    """The least t of the range that holds all but some 1e-16 of the tables of a large dish, and the chances of each t from there, up to a factor.
+
+    S(n, t) x ** t / n! is y ** t / t! times the coefficient of z ** n in (1 - (1 - z) ** d) ** t, with y = x / d: Cauchy's integral, by the
+    trapezoid rule on a path through the saddle point of their sum exp(y (1 - (1 - z) ** d)) / z ** n. With v = 1 - z the path is a parabola about
+    the cut of v ** d; where the saddle is nearer to z = 0, a circle about that.
+    """
+    d, y = discount, weight / discount
+    low, high = -700.0, -1e-12  # of ln v, where y d v ** (d - 1) (1 - v) = n
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if math.log(weight / n) + (d - 1) * middle + math.log(-math.expm1(middle)) > 0 else (low, middle)
+    v, z, mean = math.exp(low), -math.expm1(low), min(-y * math.expm1(d * low), n)
+    wide = 10 * math.sqrt(min(mean, n - mean)) + 30  # t is a sum of independent indicators
+    least, most = max(1, int(mean - wide)), min(n, int(mean + wide) + 1)
+    t = np.arange(least, most + 1)
+    if v < 0.1:
+        v = max(v, 3 / n)
+        curve = 4 * v * v * (y * d * (1 - d) * v ** (d - 2) + n / (1 - v) ** 2) + 2 * v * (n / (1 - v) - y * d * v ** (d - 1))
+        s = 1 + 1j * min(0.4 / math.sqrt(curve), 0.15) * np.arange(NODES)
+        path = v * s * s
+        each, factor = np.log(-np.expm1(d * np.log(path))), np.log(s) - (n + 1) * np.log1p(-path)
+        factor[0] -= math.log(2)
+    else:
+        step = 0.4 / math.sqrt(n * (1 + (1 - d) * z / v))
+        reach = 10 / math.sqrt(max(n * ((1 - d) * z / v - (n - mean) / mean), 1e-6))  # of one t; only all t together end within some steps
+        nodes = math.ceil(min(reach, math.pi) / step)
+        path = z * np.exp(1j * min(step, math.pi / nodes) * (np.arange(nodes) + 0.5))
+        each, factor = np.log(-np.expm1(d * np.log1p(-path))), -n * np.log(path)
+    logs = t * math.log(y) - np.cumsum(np.log(t))
+    top = (logs + t * each[0].real).max() + factor[0].real
+    rows = CELLS // len(path) + 1
+    found = [np.exp((logs[at : at + rows, None] - top) + t[at : at + rows, None] * each + factor).real.sum(axis=1) for at in range(0, len(t), rows)]
+    return least, np.maximum(np.concatenate(found), 0.0)
+
+
+def large_drawn(n: int, weight: float, discount: float, u: float) -> int:
+    least, chances = large_chances(n, weight, discount)
+    sums = np.cumsum(chances)
+    return least + int(np.searchsorted(sums[:-1], u * sums[-1], side="right"))
+
+
 #: What the steps of the sampler return. kind 0: a bucket's state; 1: what it tells a bucket of the other sort (block); 2: sums over
 #: its words (c: customers of the root, t: their tables, once and twice: words with one and two customers); 3: places asked for.
 _STEP = "kind int, bucket int, block int, state binary, c long, t long, once long, twice long"
@@ -419,8 +495,7 @@ def words_moved(state: DataFrame, places: DataFrame, told: DataFrame, model: dic
             if number:
                 g = Chance(np.array([number], np.uint64), 1000).gamma(np.array([STRENGTH / d0 + max(top["t"], 1)]))[0]
                 weight = np.full(len(c), g * d0 / size)
-                sizes, r = begun(c, weight, d0) if number == 1 else (x["sizes"], x["r"])
-                x["sizes"], x["r"] = reseated(sizes, r, c, weight, d0, Chance(x["h"] + np.uint64(5), number))
+                x["r"] = tables_drawn(c, weight, d0, Chance(x["h"] + np.uint64(5), number))
             else:
                 x["r"] = np.ones(len(c), np.int64)
             if keep:
@@ -457,9 +532,7 @@ def pairs_moved(state: DataFrame, told: DataFrame, model: dict, number: int, buc
             g = np.concatenate([y["g"] for y in told_])
             p = (np.concatenate([y["c"] - d0 * y["r"] for y in told_]) + mass) / top
             weight = d * g[x["u"]] * p[x["w"]]
-            sizes, t = begun(x["n"], weight, d) if number == 1 else (x["sizes"].astype(np.int64), x["t"].astype(np.int64))
-            sizes, t = reseated(sizes, t, x["n"], weight, d, Chance(mix(x["h"][x["w"]] * _ODD + x["h"][x["u"]]), number))
-            x["sizes"], x["t"] = (y.astype(np.int32 if x["n"].max() < 2**31 else np.int64) for y in (sizes, t))
+            t = tables_drawn(x["n"], weight, d, Chance(mix(x["h"][x["w"]] * _ODD + x["h"][x["u"]]), number))
             if keep:
                 x["kept"] = x["kept"] + t
             yield _rows(_STEP, kind=[0], bucket=[bucket], state=[frozen(**x)])

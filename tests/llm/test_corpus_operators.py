@@ -371,3 +371,40 @@ def test_pipeline(spark, sf_dir):
         docs = after
     out = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert out.join(docs.select("doc_id", F.col("text").alias("was")), "doc_id").where("not (text <=> coalesce(was, ''))").count() == 0
+
+
+@pytest.mark.parametrize("d", [0.1, 0.5, 0.8, 0.95])
+def test_tables_of_large_dishes(d):
+    """Chances beyond the list are those of the recurrence, from one table to almost one a customer, and draws follow them after one sweep."""
+    n, logs = 1_500, lm_score.stirling_logs(d, 1_500)[1_500, 1:]
+    for x in (1e-4, 0.5, 20.0, 300.0, 2_000.0, 1e5, 1e8):
+        want = logs + np.log(x) * np.arange(1, n + 1)
+        want = np.exp(want - want.max())
+        least, got = lm_score.large_chances(n, x, d)
+        whole = np.zeros(n)
+        whole[least - 1 : least - 1 + len(got)] = got / got.sum()
+        assert abs(whole - want / want.sum()).max() < 1e-6
+    want = logs + np.log(20.0) * np.arange(1, n + 1)
+    want = np.exp(want - want.max())
+    want /= want.sum()
+    mean, spread = want @ np.arange(1, n + 1), np.sqrt(want @ np.arange(1, n + 1) ** 2 - (want @ np.arange(1, n + 1)) ** 2)
+    for customers in (n, 1_000):
+        drawn = lm_score.tables_drawn(np.full(400, customers), np.full(400, 20.0), d, lm_score.Chance(np.arange(400, dtype=np.uint64), 1))
+        assert drawn.min() >= 1 and drawn.max() <= customers and (customers != n or abs(drawn.mean() - mean) < 5 * spread / 20)
+
+
+def test_small_dishes_are_drawn_whole():
+    """One draw has the distribution that many single steps lead to, whatever the dishes' sizes."""
+    for c, x, d in ((2, 0.3, 0.7), (9, 2.5, 0.4), (300, 4.0, 0.6)):
+        want = lm_score.stirling_logs(d)[c, 1 : c + 1] + np.log(x) * np.arange(1, c + 1)
+        want = np.exp(want - want.max())
+        drawn = lm_score.tables_drawn(np.full(20_000, c), np.full(20_000, x), d, lm_score.Chance(np.arange(20_000, dtype=np.uint64), 1))
+        assert abs(np.bincount(drawn, minlength=c + 1)[1:] / 20_000 - want / want.sum()).max() < 0.015
+    assert lm_score.tables_drawn(np.array([0, 1, 2]), np.ones(3), 0.5, lm_score.Chance(np.arange(3, dtype=np.uint64), 1))[:2].tolist() == [0, 1]
+
+
+def test_every_customer_gets_up():
+    """A dish of one table too many for its weight loses it in one sweep, though it has hundreds of customers."""
+    customers, sizes, t = np.full(50, 200), np.full(10_000, 1), np.full(50, 200)
+    _, t = lm_score.reseated(sizes, t, customers, np.full(50, 0.01), 0.1, lm_score.Chance(np.arange(50, dtype=np.uint64), 1))
+    assert t.max() < 150
