@@ -74,3 +74,39 @@ def test_term_weights_list_the_named_passages_alone(spark):
     every = {(r.docid, r.term): r.weight for r in retrieval.weighted_postings(passages, wanted).collect()}
     some = {(r.docid, r.term): r.weight for r in retrieval.weighted_postings(passages, wanted, docids=named).collect()}
     assert set(every) == {(1, "red"), (2, "red"), (2, "hen"), (3, "hen")} and some == {k: v for k, v in every.items() if k[0] == 2}
+
+
+def test_a_share_of_the_passages_bounds_a_search(spark, monkeypatch):
+    """What a share of the passages reaches leaves a search's hits as they are, and tasks then hand on far fewer."""
+    passages = spark.range(600).selectExpr("id AS docid", "concat_ws(' ', 'all', concat('m', id % 7), concat('r', id % 41), repeat('x ', int(id % 5))) AS text").repartition(6)
+    queries = spark.range(60).selectExpr("concat('q', id) AS query_id", "concat_ws(' ', 'all', concat('m', id % 7), concat('r', id % 41), 'x') AS query")
+    found = retrieval.as_index(passages)
+    whole = sorted(map(tuple, retrieval.bm25(queries, found, 3).collect()))
+    monkeypatch.setattr(retrieval, "SEED_FROM", 100)
+    monkeypatch.setattr(retrieval, "SEED_SHARE", 2)
+    assert sorted(map(tuple, retrieval.bm25(queries, found, 3).collect())) == whole and len(whole) == 180
+    kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array([2] * 50, pa.int32()), pa.array([[{"term": "a", "tf": 1 + n % 9}] for n in range(50)], kind)], names=["docid", "length", "terms"])
+    shared = Shared((pa.array(["q"]), np.array([[0, 0]], np.int32), pa.array(["a"]), np.array([1.0]), 2.0, 0.9, 0.4))
+    rows = lambda **more: sum(b.num_rows for b in retrieval._lexical_best(shared, 10, **more)(iter([batch])))
+    assert rows() == 10 and rows(floor=Shared(np.array([9 / 9.9]))) == 5
+
+
+def test_a_search_of_many_queries_reads_the_index_once(spark, monkeypatch):
+    """Some 580,000 terms of queries go out together: the index is read once, not once for each 400,000 of them."""
+    reads, lexical = [], retrieval._lexical_best
+    monkeypatch.setattr(retrieval, "_lexical_best", lambda *a, **b: reads.append(1) or lexical(*a, **b))
+    passages = spark.createDataFrame([(n, f"t{n}") for n in range(3_000)], "docid long, text string")
+    queries = spark.range(3_000).selectExpr("concat('q', id) AS query_id", "array_join(transform(sequence(0, 199), x -> concat('t', pmod(xxhash64(id, x), 3000))), ' ') AS query")
+    retrieval.bm25(queries, passages, 1).count()
+    assert len(reads) == 1
+
+
+def test_an_index_counts_terms_as_spark_finds_them(spark):
+    from colloquy.functions import text as T
+
+    texts = ["B b a-1 K İstanbul straße", "", None, "zz9 ZZ9, zz9٣", "Éa 한글a"]
+    passages = spark.createDataFrame(list(enumerate(texts)), "docid long, text string")
+    want = {r.docid: sorted(r.t) for r in passages.select("docid", T.terms(F.col("text")).alias("t")).collect()}
+    rows = retrieval.as_index(passages).documents.collect()
+    assert {r.docid: [t.term for t in r.terms for _ in range(t.tf)] for r in rows} == want and all(r.length == len(want[r.docid]) for r in rows)
