@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import conversation, evidence, routes, studies
 from ..session import read, table
 from .bindings import TURNS, indexed, samples
-from .composites import ASKED, BUDGETS, _evaluated
+from .composites import ASKED, BUDGETS, _all_inputs, _evaluated
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -107,8 +107,8 @@ def endpoint_intervals(spark, d):
 
 @query()
 def paired_quality_intervals(spark, d):
-    """Routes against route I at each budget, and budgets against each other, all from the same draws of conversations."""
-    m = _evaluated(spark, d).select("sample_id", "conv_id", F.concat_ws("_", "route", F.col("budget").cast("string")).alias("cell"), F.col("mrr").alias("value"), F.lit("all").alias("design"))
+    """Routes against route I at each budget, and budgets against each other, all from the same draws of all conversations."""
+    m = _evaluated(spark, d, _all_inputs).select("sample_id", "conv_id", F.concat_ws("_", "route", F.col("budget").cast("string")).alias("cell"), F.col("mrr").alias("value"), F.lit("all").alias("design"))
     cells = [f"{r}_{b}" for r in routes.ROUTES for b in BUDGETS]
     pairs = {f"{r}_{b} - I_{b}": (f"{r}_{b}", f"I_{b}") for r in routes.ROUTES if r != "I" for b in BUDGETS}
     pairs |= {f"{r}_{BUDGETS[1]} - {r}_{BUDGETS[0]}": (f"{r}_{BUDGETS[1]}", f"{r}_{BUDGETS[0]}") for r in routes.ROUTES}

@@ -3,7 +3,7 @@
 import pytest
 
 from colloquy.operators import routes
-from colloquy.plans import bindings, composites
+from colloquy.plans import bindings, composites, evidence
 
 CELLS = {(r, b) for r in routes.ROUTES for b in composites.BUDGETS}
 
@@ -18,3 +18,9 @@ def test_design_bootstrap_draws_from_every_conversation(spark, sf_dir):
     got = {r.metric: r for r in composites.design_bootstrap(spark, sf_dir).collect()}
     assert {m: r.mean for m, r in got.items()} == pytest.approx(means, abs=1e-8) and all(r.low <= r.mean <= r.high for r in got.values())
     assert any(r.low < r.high for r in got.values())  # the tables' one conversation divisible by 50 alone has no width
+
+
+def test_paired_quality_intervals_pair_every_turn(spark, sf_dir):
+    every = bindings.samples(spark, sf_dir).count()
+    got = evidence.paired_quality_intervals(spark, sf_dir).collect()
+    assert len(got) == 7 and all(r.n == every and r.low <= r.delta <= r.high for r in got)
